@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from clinframe.llm import mixing
+from clinframe.llm import mixing, tokenfile
 
-QUERIES = {"op10_poisson_mix": mixing.op10_poisson_mix}
-ORACLE = {"op10_poisson_mix": mixing.SQL_OP10}
+QUERIES = {
+    "op2_huffman_tokens": tokenfile.op2_huffman_tokens,
+    "op10_poisson_mix": mixing.op10_poisson_mix,
+}
+ORACLE = {
+    "op10_poisson_mix": mixing.SQL_OP10,
+}
