@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from clinframe.llm import mixing, tokenfile
+from clinframe.llm import decontam, editcounts, licenses, mixing, pseudonyms, quality, tokenfile, warc
 
 QUERIES = {
+    "op1_fertility": quality.op1_fertility,
     "op2_huffman_tokens": tokenfile.op2_huffman_tokens,
+    "op5_feistel_pii": pseudonyms.op5_feistel_pii,
+    "op6_license_digests": licenses.op6_license_digests,
+    "op7_edit_counts": editcounts.op7_edit_counts,
+    "op8_warc_segments": warc.op8_warc_segments,
+    "op9_suffix_decontam": decontam.op9_suffix_decontam,
     "op10_poisson_mix": mixing.op10_poisson_mix,
 }
 ORACLE = {
+    "op6_license_digests": licenses.SQL_OP6,
+    "op8_warc_segments": warc.SQL_OP8,
     "op10_poisson_mix": mixing.SQL_OP10,
 }

@@ -201,6 +201,11 @@ class Pool:
                 found[i] = self.add(keys[i], ids)
         return found[back]
 
+    def count(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of ids of each run of the chunk."""
+        which = self.find(chunk, starts, ends)
+        return self.lengths[which]
+
     def gather(self, which: np.ndarray) -> np.ndarray:
         """The ids of the runs, one after the other."""
         return self.ids[ragged(self.starts[which], self.lengths[which])]
