@@ -70,13 +70,13 @@ def bounded_join(left: DataFrame, right: DataFrame, on: list[str], spread: Colum
     return left.join(right, [*same, F.col("__salt") == F.col("__salt_r")], how).drop(*names, "__salt", "__salt_r")
 
 
-def dense_index(df: DataFrame, groups: list[str], order: list[str], spread: Column, rows: int, out: str, bucket_rows: int = 50_000) -> DataFrame:
+def dense_index(df: DataFrame, groups: list[str], order: list[str], spread: Column, rows: int, out: str, bucket_rows: int = 50_000, least: int = 64) -> DataFrame:
     """df with `out`: gapless numbers from 0 within each of the few groups, without one task for a group.
 
     Rows fall into hash buckets of about bucket_rows; a window numbers each (group, bucket), and the buckets'
     running totals, of which there are groups x buckets, are added. Numbers follow bucket, then `order`.
     """
-    n = max(1, -(-rows // bucket_rows))
+    n = max(least, -(-rows // bucket_rows))
     dealt = df.withColumn("__bucket", F.pmod(spread, F.lit(n)).cast("int"))
     keys = [*groups, "__bucket"]
     sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))

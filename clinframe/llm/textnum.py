@@ -64,11 +64,11 @@ def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Index ranges of texts with about `limit` code points each; a longer text stands alone."""
+def chunks(texts: list[str], limit: int = CHUNK, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Index ranges of at most `most` texts with about `limit` code points; a longer text stands alone."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > limit:
+        if i > first and (size + len(t) > limit or i - first >= most):
             yield first, i
             first, size = i, 0
         size += len(t)
