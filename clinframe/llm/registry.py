@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clinframe.llm import decontam, editcounts, licenses, mixing, neardups, pseudonyms, quality, tokenfile, warc
+from clinframe.llm import decontam, editcounts, licenses, mixing, neardups, pseudonyms, quality, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_fertility": quality.op1_fertility,
     "op2_huffman_tokens": tokenfile.op2_huffman_tokens,
     "op3_probminhash": neardups.op3_probminhash,
+    "op4_label_shards": sharding.op4_label_shards,
     "op5_feistel_pii": pseudonyms.op5_feistel_pii,
     "op6_license_digests": licenses.op6_license_digests,
     "op7_edit_counts": editcounts.op7_edit_counts,
