@@ -1,21 +1,86 @@
-"""Numbers in laboratory text, as Column expressions."""
+"""Numbers, reference ranges and units in laboratory text, as Column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What counts as "no result" when a trend point is parsed.
-TREND_NIL = ["", "-", "--", "---", "----", "none", "null", "nil", "n/a"]
+#: What counts as "no result" for a trend point, and for a stored value.
+TREND_NIL = ["", "-", "--", "---", "nil", "n/a", "na", "null", "none"]
+VALUE_NIL = ["", "-", "--", "---", "----", "-----", "------", "—", "–", "nil", "n/a", "na", "null", "none", "absent", "negativ"]
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?"
+#: Units by their lower-case spelling without blanks.
+UNITS = {
+    "g/dl": "g/dL", "g/l": "g/L", "mg/dl": "mg/dL", "mg/l": "mg/L", "mmol/l": "mmol/L", "umol/l": "umol/L", "µmol/l": "umol/L", "μmol/l": "umol/L",
+    "uiu/ml": "uIU/mL", "ui/ml": "uIU/mL", "miu/l": "mIU/L", "iu/l": "IU/L", "u/l": "U/L", "fl": "fL", "pg": "pg",
+}
+POWER_UNITS = [(r"10\^?3/?u?l", "10^3/uL"), (r"10\^?6/?u?l", "10^6/uL"), (r"10\^?9/?l", "10^9/L"), (r"10\^?12/?l", "10^12/L")]
+
+
+def plain_signs(text: Column) -> Column:
+    """Decimal commas and the various dashes made plain."""
+    return F.translate(text, ",−–—", ".---")
 
 
 def first_number(text: Column) -> Column:
     """The first decimal number in text, else null."""
-    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
+    return F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def lab_value(value: Column) -> Column:
-    """A trend point's number: decimal commas and minus signs are normalised, nil words give null."""
-    t = F.lower(F.trim(F.translate(value, ",−–—", ".---")))
-    return F.when(t.isin(*TREND_NIL), None).otherwise(first_number(t))
+    """A trend point's number; nil words give null."""
+    t = F.lower(F.trim(plain_signs(value)))
+    return F.when(~t.isin(*TREND_NIL), first_number(t))
+
+
+def normalise_value(value: Column) -> Column:
+    """A result as decimal text: only digits, signs and points; null if nothing is left."""
+    kept = F.regexp_replace(plain_signs(value), "[^0-9.+-]", "")
+    kept = F.when(kept.startswith("."), F.concat(F.lit("0"), kept)).otherwise(kept)
+    empty = F.lower(F.trim(value)).isin(*VALUE_NIL) | kept.isin("", "+", "-", ".", "+.", "-.", *VALUE_NIL)
+    return F.when(~empty, kept)
+
+
+def exact_number(text: Column) -> Column:
+    """The number that the whole text is, else null (3-5 is none)."""
+    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("double"))
+
+
+def range_bounds(text: Column) -> tuple[Column, Column]:
+    """Low and high of a reference range as text: its first two numbers, in order of size."""
+    found = F.regexp_extract_all(plain_signs(text), F.lit(f"({NUMBER})"), F.lit(1))
+    a, b = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(2))
+    # In 3-5 the second number's sign is the dash between them.
+    b = F.when(b.startswith("-") & ~a.startswith("-"), F.substring(b, 2, 100)).otherwise(b)
+    swap = b.try_cast("double") < a.try_cast("double")
+    return F.when(b.isNotNull(), F.when(swap, b).otherwise(a)), F.when(b.isNotNull(), F.when(swap, a).otherwise(b))
+
+
+def normalise_range(text: Column) -> Column:
+    low, high = range_bounds(text)
+    return F.concat(low, F.lit(" - "), high)
+
+
+FUSED = [r"^([0-9]+\.[0-9]{2})([0-9]+\.[0-9]{2})$", r"^([0-9]+\.[0-9])([0-9]{2}\.[0-9])$"]
+
+
+def split_fused(text: Column) -> Column:
+    """Two decimals printed without a gap (3.936.08) as a range; both have as many decimals, and the second is larger."""
+    out = F.lit(None).cast("string")
+    for pattern in reversed(FUSED):
+        a, b = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+        fits = (a != "") & (b.try_cast("double") > a.try_cast("double"))
+        out = F.when(fits, F.concat(a, F.lit(" - "), b)).otherwise(out)
+    return out
+
+
+def normalise_unit(unit: Column) -> Column:
+    """The usual spelling of a unit; unknown ones are kept."""
+    compact = F.replace(F.trim(unit), F.lit(" "), F.lit(""))
+    low = F.lower(compact)
+    out = F.when(F.trim(unit) == "", None)
+    for pattern, name in POWER_UNITS:
+        out = out.when(low.rlike(pattern), name)
+    for spelled, name in UNITS.items():
+        out = out.when(low == spelled, name)
+    return out.when(compact == "%", "%").otherwise(F.trim(unit))

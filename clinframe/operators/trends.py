@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clinframe.functions import numbers
+from clinframe.functions import flags, numbers
 from clinframe.sources.bindings import LAB_ORDER
 
 
@@ -26,3 +26,16 @@ def recency_window():
 def last_points(pts: DataFrame, n: int = 5) -> DataFrame:
     """The n most recent points of each (patient, test), rn = 1 the latest."""
     return pts.withColumn("rn", F.row_number().over(recency_window())).where(F.col("rn") <= n)
+
+
+def summary(last: DataFrame) -> DataFrame:
+    """Of each (patient, test): points kept, latest and previous value, their difference, and the latest flag."""
+    at = lambda column, n: F.max(F.when(F.col("rn") == n, F.col(column)))
+    per = last.groupBy("patient_id", "test_key").agg(F.count(F.lit(1)).alias("n_points"), at("value_num", 1).alias("latest"), at("value_num", 2).alias("previous"), at("flag", 1).alias("latest_flag"))
+    return per.withColumn("delta", F.round(F.col("latest") - F.col("previous"), 2))
+
+
+def ordered(summaries: DataFrame) -> DataFrame:
+    """Tests of a patient with the abnormal ones first, then by name."""
+    w = Window.partitionBy("patient_id").orderBy(flags.trend_abnormal(F.col("latest_flag")).desc(), F.coalesce("test_key", F.lit("")))
+    return summaries.withColumn("place", F.row_number().over(w).cast("int"))
