@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clinframe.plans import chart
+from clinframe.plans import chart, scalars
 
-QUERIES = {**chart.QUERIES}
-ORACLE = {**chart.ORACLE}
+QUERIES = {**chart.QUERIES, **scalars.QUERIES}
+ORACLE = {**chart.ORACLE, **scalars.ORACLE}
 FLAGSHIP = "trend_last5"
