@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clinframe.plans import chart, scalars
+from clinframe.plans import chart, extract, scalars
 
-QUERIES = {**chart.QUERIES, **scalars.QUERIES}
-ORACLE = {**chart.ORACLE, **scalars.ORACLE}
+QUERIES = {**chart.QUERIES, **scalars.QUERIES, **extract.QUERIES}
+ORACLE = {**chart.ORACLE, **scalars.ORACLE, **extract.ORACLE}
 FLAGSHIP = "trend_last5"
