@@ -33,6 +33,8 @@ from clinframe.llm import common, textnum
 from clinframe.llm.tokenfile import vocabulary
 
 LEAF = 32
+#: Trees opened at a time.
+STEP = 200
 BEFORE, AFTER = 2, 4
 EDIT = "array<struct<seq:long,at:long,remove:long,insert:string>>"
 #: lengths and tokens: of each pre-token, little-endian unsigned 32 bit. leaves: pre-tokens in each.
@@ -152,6 +154,16 @@ class Document:
         return {"text": "".join(x[0] for x in self.leaves), "lengths": flat[0], "tokens": flat[1], "leaves": [len(x[1]) for x in self.leaves], "char_sums": self.chars, "token_sums": self.toks, "n_reencoded": self.n_reencoded, "n_edits": self.n_edits}
 
 
+def edited(state: dict, edits: list[dict], pool: textnum.Pool) -> dict:
+    def order(e: dict) -> tuple:
+        return tuple((v is not None, v if v is not None else 0) for v in (e["seq"], e["at"], e["remove"])) + (e["insert"] or "",)
+
+    doc = Document(state, pool)
+    for e in sorted(edits, key=order):
+        doc.edit(e["at"], e["remove"], e["insert"])
+    return doc.state()
+
+
 def build(docs: DataFrame, vocabulary_path: str | None = None, out: str = "tree") -> DataFrame:
     """docs with their trees in one struct column."""
     path, out = vocabulary_path or vocabulary(), common.free_name(docs, out)
@@ -183,22 +195,18 @@ def apply(state: DataFrame, edits: str = "edits", tree: str = "tree", vocabulary
     path, names = vocabulary_path or vocabulary(), state.columns
     edits_at, tree_at = names.index(edits), names.index(tree)
 
-    def order(e: dict) -> tuple:
-        return tuple((v is not None, v if v is not None else 0) for v in (e["seq"], e["at"], e["remove"])) + (e["insert"] or "",)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = textnum.byte_bpe(path)
         for batch in batches:
-            trees = batch.column(tree_at).to_pylist()
-            for i, todo in enumerate(batch.column(edits_at).to_pylist()):
-                if todo:
-                    doc = Document(trees[i], pool)
-                    for e in sorted(todo, key=order):
-                        doc.edit(e["at"], e["remove"], e["insert"])
-                    trees[i] = doc.state()
-            columns = list(batch.columns)
-            columns[tree_at] = pa.array(trees, ARROW_TREE)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for first in range(0, len(batch), STEP):
+                part = batch.slice(first, STEP)
+                trees = part.column(tree_at).to_pylist()
+                for i, todo in enumerate(part.column(edits_at).to_pylist()):
+                    if todo:
+                        trees[i] = edited(trees[i], todo, pool)
+                columns = list(part.columns)
+                columns[tree_at] = pa.array(trees, ARROW_TREE)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return state.mapInArrow(run, state.schema)
 

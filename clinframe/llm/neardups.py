@@ -8,8 +8,8 @@ after every register's first. Two registers agree with the probability Jaccard s
   1. One map over the texts gives each a digest and BANDS hashes of ROWS registers. Equal digests are one class,
      whose representative has the smallest doc_id.
   2. Representatives that share a band hash are candidates. They are not paired all with all: a bucket's members are
-     compared with its pivot, first the smallest, then the largest id, skipping those already in one component.
-     What is left then, pairs of different components in a bucket, is compared pair by pair.
+     compared with its pivot, first the text that meets most others, then texts of the other components, skipping
+     those in the pivot's component. When few pairs of different components are left, they are compared one by one.
   3. A candidate is verified on the two whole texts: its exact probability Jaccard must reach the threshold.
   4. Verified links become components by minimum labels and pointer jumping, in joins.
 
@@ -25,7 +25,6 @@ tables; extra columns aren't read, or pass through keep_one().
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ WORDS, BANDS, ROWS = 5, 40, 7
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 NULL_ID = -(1 << 63)
+#: Rounds of pivots, and the pairs a bucket's member that may be left for comparing them one by one.
+MOST_PIVOTS, PAIRS_A_MEMBER = 8, 2
 EDGES = "a long, b long"
 
 
@@ -152,24 +153,42 @@ def _verify(threshold: float):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc, label): the smallest document of each one's component, for documents with links (a, b)."""
+    """(doc, label): the smallest document of each one's component, for documents with links (a, b).
+
+    A step takes the smallest label among a document's neighbours and itself, then that label's label.
+    """
     both = common.materialise(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "near-graph")
     labels = common.materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("label")), "near-labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("doc")).groupBy("a").agg(F.min("label").alias("near"))
-        nearer = common.materialise(labels.join(near, F.col("doc") == F.col("a")).select("doc", F.least("label", "near").alias("next"), "label"), "near-step")
-        jump = nearer.select(F.col("doc").alias("__via"), F.col("next").alias("__far"))
+        # Each document's own label goes into the minimum as if it were its own neighbour.
+        said = both.join(labels, F.col("b") == F.col("doc")).select(F.col("a").alias("doc"), "label", F.lit(None).cast("long").alias("own"))
+        near = said.unionByName(labels.withColumn("own", F.col("label"))).groupBy("doc").agg(F.min("label").alias("next"), F.max("own").alias("own"))
         # A label is a document of the component, so it has a label of its own.
-        jumped = common.materialise(nearer.join(jump, F.col("next") == F.col("__via")).select("doc", F.least("next", "__far").alias("now"), "label"), "near-labels")
-        changed = jumped.where("now <> label").limit(1).count()
-        common.discard(nearer)
+        jump = labels.toDF("__via", "__far")
+        now = common.materialise(near.join(jump, F.col("next") == F.col("__via")).select("doc", F.least("next", "__far").alias("label"), "own"), "near-labels")
         common.discard(labels)
-        labels = jumped.select("doc", F.col("now").alias("label"))
-        if not changed:
+        labels = now.select("doc", "label")
+        if now.where("label <> own").isEmpty():
             common.discard(both)
             return labels
 
 
+def extend(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: these are read as links between the components known so far."""
+    if labels is None:
+        return components(links)
+    of_a, of_b = labels.toDF("da", "la"), labels.toDF("db", "lb")
+    between = links.join(of_a, F.col("a") == F.col("da"), "left").join(of_b, F.col("b") == F.col("db"), "left")
+    between = between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct()
+    between = common.materialise(between, "near-between")
+    if between.isEmpty():
+        return labels
+    roots = components(between).toDF("root", "smallest")
+    old = labels.join(roots, F.col("label") == F.col("root"), "left").select("doc", F.coalesce("smallest", "label").alias("label"))
+    new = roots.join(labels, F.col("root") == F.col("doc"), "left_anti").select("root", "smallest")
+    return common.materialise(old.union(new), "near-labels")
+
+
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, copy_of (smallest id with the same text) and class_id (of its near-duplicates)."""
     spark = docs.sparkSession
@@ -178,44 +197,63 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = common.materialise(plain.mapInArrow(_sign, "doc long, digest string, bands array<long>"), "near-signed")
     classes = common.materialise(rows.groupBy("digest").agg(F.min(F.struct("doc", "bands")).alias("m")).select("digest", F.col("m.doc").alias("rep"), F.col("m.bands").alias("bands")), "near-classes")
     keys = classes.select("rep", F.explode("bands").alias("h"))
-    buckets = common.materialise(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("bucket")), "near-buckets")
-    members = common.materialise(keys.join(buckets, F.col("h") == F.col("bucket")).select("h", "rep"), "near-members")
+    buckets = common.materialise(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("bucket"), "n"), "near-buckets")
+    found = common.materialise(keys.join(buckets, F.col("h") == F.col("bucket")).select("h", "rep", "n"), "near-found")
+    # How often a text meets others: the source of many copies meets more of them than they meet each other.
+    met = found.groupBy("rep").agg(F.sum("n").alias("met")).withColumnRenamed("rep", "__rep")
+    members = common.materialise(found.join(met, F.col("rep") == F.col("__rep")).select("h", "rep", "met"), "near-members")
+    n_members = members.count()
     common.discard(buckets)
+    common.discard(found)
     involved = common.materialise(members.select(F.col("rep").alias("one")).distinct(), "near-involved")
     texts = common.materialise(plain.select("doc", "text").join(involved, F.col("doc") == F.col("one"), "left_semi").distinct(), "near-texts", compression="zstd")
 
     checked: list[DataFrame] = []
-    links: list[DataFrame] = []
-    labels = spark.createDataFrame([], "doc long, label long")
-    for step in ("min", "max", "rest"):
-        labelled = members.join(labels, F.col("rep") == F.col("doc"), "left").select("h", "rep", F.coalesce("label", "rep").alias("label"))
+    labels = None
+    unlabelled = spark.createDataFrame([], "doc long, label long")
+    for step in range(MOST_PIVOTS + 1):
+        labelled = members.join(labels, F.col("rep") == F.col("doc"), "left").select("h", "rep", "met", F.coalesce("label", "rep").alias("label")) if labels else members.withColumn("label", F.col("rep"))
         labelled = common.materialise(labelled, "near-labelled")
-        torn = labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("min"), F.max("rep").alias("max")).where("low < high")
-        torn = common.materialise(torn.select(F.col("h").alias("bucket"), "min", "max"), "near-torn")
-        if step == "rest":
-            open_ = common.materialise(labelled.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label"), "near-open")
-            other = open_.toDF("h2", "rep2", "label2")
+        torn = common.materialise(labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("met", "rep", "label")).alias("top")).where("low < high").select(F.col("h").alias("bucket"), "top"), "near-torn")
+        if torn.isEmpty():
+            break
+        open_ = common.materialise(labelled.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label", "top"), "near-open")
+        common.discard(labelled)
+        parts = open_.groupBy("h", "label").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        left = parts.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
+        if step == MOST_PIVOTS or step and left <= PAIRS_A_MEMBER * n_members:
+            other = open_.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("label").alias("label2"))
             pairs = open_.join(other, (F.col("h") == F.col("h2")) & (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+            last = True
         else:
-            pairs = labelled.join(torn, F.col("h") == F.col("bucket")).where(F.col("rep") != F.col(step)).select(F.least("rep", step).alias("a"), F.greatest("rep", step).alias("b"))
-            if step == "max":
-                of = labels.toDF("da", "la"), labels.toDF("db", "lb")
-                pairs = pairs.distinct().join(of[0], F.col("a") == F.col("da"), "left").join(of[1], F.col("b") == F.col("db"), "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+            # First the text that meets most; then, from the other components, one drawn by a hash.
+            if step:
+                drawn = open_.where(F.col("label") != F.col("top.label")).groupBy("h").agg(F.max(F.struct(F.xxhash64("rep", F.lit(step)).alias("draw"), "rep", "label")).alias("pivot"))
+                chosen = open_.join(drawn.withColumnRenamed("h", "bucket"), F.col("h") == F.col("bucket"))
+            else:
+                chosen = open_.withColumn("pivot", F.col("top"))
+            chosen = chosen.where(F.col("label") != F.col("pivot.label"))
+            pairs = chosen.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
+            last = False
         pairs = pairs.distinct()
         for done in checked:
             pairs = pairs.join(done.toDF("ca", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left_anti")
         pairs = common.materialise(pairs, "near-pairs")
-        common.discard(labelled)
+        common.discard(open_)
         if pairs.isEmpty():
-            break
+            if last:
+                break
+            continue
         one, two = texts.toDF("da", "left"), texts.toDF("db", "right")
         with_left = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-left", compression="zstd")
         sided = with_left.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right")
-        links.append(common.materialise(sided.mapInArrow(_verify(threshold), EDGES), "near-links"))
+        links = common.materialise(sided.mapInArrow(_verify(threshold), EDGES), "near-links")
         common.discard(with_left)
         checked.append(pairs)
-        labels = components(reduce(DataFrame.union, links))
-    out = rows.select("doc", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).join(labels.toDF("ldoc", "label"), F.col("rep") == F.col("ldoc"), "left")
+        labels = extend(labels, links)
+        if last:
+            break
+    out = rows.select("doc", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).join((labels or unlabelled).toDF("ldoc", "label"), F.col("rep") == F.col("ldoc"), "left")
     plain_id = lambda c: F.when(c != NULL_ID, c)
     return out.select(plain_id(F.col("doc")).alias("doc_id"), plain_id(F.col("rep")).alias("copy_of"), plain_id(F.coalesce("label", "rep")).alias("class_id"))
 

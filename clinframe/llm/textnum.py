@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 LONG = 64
-POOL = 300_000
+POOL = 1_000_000
+#: Runs encoded end to end at a time.
+JOINED = 256
 SPACE, LETTER, NUMBER, OTHER = range(4)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -157,49 +159,64 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Pool:
-    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs."""
+    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    encode: from runs to their ids, one after the other, and the number of ids of each.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.lengths = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def add(self, key: int | str, ids: list[int]) -> int:
-        k, n = len(self.index), len(ids)
-        if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.int32)])
-        if k == len(self.starts):
+        #: Hashes in order, and the number under which each run's ids are kept.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.long: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lengths, self.held = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def _add(self, runs: list[str]) -> np.ndarray:
+        """Encode runs; the numbers under which they are kept."""
+        ids, lengths = self.encode(runs)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.held + len(runs) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.ids[self.used : self.used + n] = ids
-        self.starts[k], self.lengths[k] = self.used, n
-        self.used += n
-        self.index[key] = k
-        return k
+        at = np.arange(self.held, self.held + len(runs))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.used, self.held = self.used + len(ids), self.held + len(runs)
+        return at
 
     def find(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The pool's index of each run of the chunk."""
-        if len(self.index) > POOL:
+        """The number under which each run of the chunk is kept."""
+        if self.held > POOL:
             self.clear()
-        hashes = run_hashes(chunk.points, starts, ends)
-        distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys: list = distinct.tolist()
-        sizes = (ends - starts)[at]
-        for i in np.flatnonzero(sizes > LONG).tolist():
-            keys[i] = chunk.joined[starts[at[i]] : ends[at[i]]]
-        get = self.index.get
-        found = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(found < 0)
+        out = np.empty(len(starts), np.int64)
+        short = ends - starts <= LONG
+        if not short.all():
+            far = np.flatnonzero(~short)
+            runs = [chunk.joined[i:j] for i, j in zip(starts[far].tolist(), ends[far].tolist())]
+            if new := [r for r in dict.fromkeys(runs) if r not in self.long]:
+                self.long |= zip(new, self._add(new).tolist())
+            out[far] = [self.long[r] for r in runs]
+            starts, ends = starts[short], ends[short]
+        distinct, at, back = np.unique(run_hashes(chunk.points, starts, ends), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == distinct[inside]
+        found = np.empty(len(distinct), np.int64)
+        found[known] = self.slots[place[known]]
+        new = np.flatnonzero(~known)
         if len(new):
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            for i, ids in zip(new.tolist(), self.encode([chunk.joined[a:b] for a, b in spans])):
-                found[i] = self.add(keys[i], ids)
-        return found[back]
+            found[new] = self._add([chunk.joined[i:j] for i, j in spans])
+            self.keys = np.insert(self.keys, place[new], distinct[new])
+            self.slots = np.insert(self.slots, place[new], found[new])
+        out[short] = found[back]
+        return out
 
     def count(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of ids of each run of the chunk."""
@@ -211,13 +228,19 @@ class Pool:
         return self.ids[ragged(self.starts[which], self.lengths[which])]
 
 
-def byte_bpe(path: str, name: str = "byte-bpe") -> Pool:
+def _flat(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter((i for ids in each for i in ids), np.int32, int(lengths.sum())), lengths
+
+
+def byte_bpe(path: str) -> Pool:
     """A pool over a byte-level BPE file of the tokenizers library; one per worker and file.
 
     The library's pre-tokeniser cuts by the pattern of pretokens() and merges never cross a cut, so that
-    encoding a text is encoding its pre-tokens one by one.
+    encoding a text is encoding its pre-tokens one by one. Runs that begin with a space and go on with
+    something else are cut from whatever stands before and after them, so they are encoded end to end.
     """
-    key = f"{name}:{path}"
+    key = f"byte:{path}"
     if key not in _pools:
         import os
 
@@ -226,7 +249,23 @@ def byte_bpe(path: str, name: str = "byte-bpe") -> Pool:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        _pools[key] = Pool(lambda runs: [e.ids for e in t.encode_batch_fast(runs, add_special_tokens=False)])
+
+        def encode(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            apart = np.fromiter((len(r) > 1 and r[0] == " " and classes()[ord(r[1])] != SPACE for r in runs), bool, len(runs))
+            ids: list[list[int] | None] = [None] * len(runs)
+            together, single = np.flatnonzero(apart).tolist(), np.flatnonzero(~apart).tolist()
+            for i in range(0, len(together), JOINED):
+                part = together[i : i + JOINED]
+                e = t.encode("".join([runs[k] for k in part]), add_special_tokens=False)
+                bounds = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)).tolist()
+                all_ids = e.ids
+                for k, a, b in zip(part, bounds, bounds[1:]):
+                    ids[k] = all_ids[a:b]
+            for k, e in zip(single, t.encode_batch_fast([runs[k] for k in single], add_special_tokens=False)):
+                ids[k] = e.ids
+            return _flat(ids)
+
+        _pools[key] = Pool(encode)
     return _pools[key]
 
 
@@ -242,7 +281,7 @@ def rank_bpe(path: str, prefix: str = "") -> Pool:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         e = tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _pools[key] = Pool(lambda runs: [e.encode_ordinary(prefix + r) for r in runs])
+        _pools[key] = Pool(lambda runs: _flat([e.encode_ordinary(prefix + r) for r in runs]))
     return _pools[key]
 
 
@@ -253,7 +292,7 @@ def piece_bpe(path: str) -> Pool:
         import sentencepiece
 
         s = sentencepiece.SentencePieceProcessor(model_file=path)
-        _pools[key] = Pool(lambda runs: s.encode(runs, num_threads=1))
+        _pools[key] = Pool(lambda runs: _flat(s.encode(runs, num_threads=1)))
     return _pools[key]
 
 
