@@ -8,9 +8,11 @@ after every register's first. Two registers agree with the probability Jaccard s
   1. One map over the texts gives each a digest and BANDS hashes of ROWS registers. Equal digests are one class,
      whose representative has the smallest doc_id.
   2. Representatives that share a band hash are candidates. They are not paired all with all: a bucket's members are
-     compared with its pivot, first the text that meets most others, then texts of the other components, skipping
-     those in the pivot's component. When few pairs of different components are left, they are compared one by one.
-  3. A candidate is verified on the two whole texts: its exact probability Jaccard must reach the threshold.
+     compared with its pivot, the text that meets most others, first in a few bands, then in all of them. Later rounds
+     only look at buckets whose members are in several components, and in them at texts outside the pivot's
+     component. When few pairs of different components are left, they are compared one by one.
+  3. A candidate whose registers agree is verified on the two whole texts: its exact probability Jaccard must reach
+     the threshold.
   4. Verified links become components by minimum labels and pointer jumping, in joins.
 
 A pair at the threshold shares no band with probability (1 - 0.8^7)^40 < 1e-4; no other link is lost. Texts are shuffled
@@ -37,8 +39,12 @@ WORDS, BANDS, ROWS = 5, 40, 7
 REGISTERS = BANDS * ROWS
 THRESHOLD = 0.8
 NULL_ID = -(1 << 63)
-#: Rounds of pivots, and the pairs a bucket's member that may be left for comparing them one by one.
-MOST_PIVOTS, PAIRS_A_MEMBER = 8, 2
+#: The first round uses these bands only: they merge large groups of copies before all bands are looked at.
+FIRST_BANDS = 6
+#: Rounds of pivots, and the pairs for each text that may be left for comparing them one by one.
+MOST_PIVOTS, PAIRS_A_TEXT = 2, 2
+#: A pair at the threshold whose registers agree less than this many standard deviations below it has a chance of 3e-7.
+DEVIATIONS = 5
 EDGES = "a long, b long"
 
 
@@ -102,11 +108,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(2).to_pylist()
         for a, b in textnum.chunks(texts, most=4096):
             of, h, count = shingles(texts[a:b])
-            bands = band_hashes(registers(b - a, of, h, count))
+            winners = registers(b - a, of, h, count)
+            bands, low = band_hashes(winners), (textnum.mix(winners) >> np.uint64(56)).astype(np.uint8)
             has = np.bincount(of, minlength=b - a) > 0
             offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], ["doc", "digest", "bands"])
+            sketches = pa.array([x.tobytes() for x in low], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, sketches], ["doc", "digest", "bands", "sketch"])
+
+
+def _likely(threshold: float):
+    """Pairs whose registers, a byte of each, agree as often as those of a pair at the threshold can (DEVIATIONS)."""
+    least = REGISTERS * threshold - DEVIATIONS * (REGISTERS * threshold * (1 - threshold)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((left == right).sum(1) >= least))
+
+    return run
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -189,71 +209,114 @@ def extend(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return common.materialise(old.union(new), "near-labels")
 
 
+def _first_pivots(classes: DataFrame) -> DataFrame:
+    """classes with met: how many texts each meets in its first bands, over all of their buckets.
+
+    The source of many copies meets more of them than they meet each other, so it makes a good pivot.
+    """
+    keys = classes.select("rep", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("h"))
+    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("h", "bucket")
+    met = keys.join(shared, F.col("h") == F.col("bucket")).groupBy("rep").agg(F.sum("n").alias("met")).withColumnRenamed("rep", "__rep")
+    return classes.join(met, F.col("rep") == F.col("__rep"), "left").select("rep", "bands", F.coalesce("met", F.lit(0)).alias("met"))
+
+
+def _buckets(reps: DataFrame, n_bands: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, torn): a row per text and band, and the buckets whose texts are in several components.
+
+    A torn bucket's pivot is the text of its lowest component that meets most others. Keys are made anew from the
+    texts' arrays wherever they are used; they are never written out.
+    """
+    keys = reps.select("rep", "label", "met", F.explode(F.slice("bands", 1, n_bands)).alias("h"))
+    low = F.min(F.struct("label", (-F.col("met")).alias("rank"), "rep"))
+    torn = keys.groupBy("h").agg(low.alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low.label < high")
+    torn = common.materialise(torn.select(F.col("h").alias("bucket"), F.col("low.label").alias("low"), F.col("low.rep").alias("pivot"), "n"), "near-torn")
+    return keys, torn
+
+
+def _bounded(df: DataFrame, rows: int, row_bytes: int = 48) -> DataFrame:
+    return F.broadcast(df) if rows * row_bytes <= common.BROADCAST_BYTES else df
+
+
+def _cross_pairs(others: DataFrame, torn: DataFrame) -> int:
+    """How many pairs of different components the torn buckets have. others: the texts beyond the lowest component."""
+    parts = others.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").cast("double").alias("k"), F.sum(F.col("k") * F.col("k")).cast("double").alias("kk"))
+    both = parts.join(torn, F.col("h") == F.col("bucket"))
+    return both.agg(F.sum(F.col("k") * (F.col("n") - F.col("k")) + (F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
+
+
+def _links(pairs: DataFrame, plain: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar. Only texts of pairs whose registers agree move."""
+    one, two = sketches.toDF("da", "left"), sketches.toDF("db", "right")
+    half = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-half")
+    agreeing = half.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right").mapInArrow(_likely(threshold), EDGES)
+    pairs = common.materialise(agreeing, "near-likely")
+    common.discard(half)
+    ends = common.materialise(pairs.select(F.col("a").alias("one")).union(pairs.select("b")).distinct(), "near-ends")
+    texts = plain.select("doc", "text").join(_bounded(ends, ends.count()), F.col("doc") == F.col("one"), "left_semi").distinct()
+    texts = common.materialise(texts, "near-texts", compression="zstd")
+    one, two = texts.toDF("da", "left"), texts.toDF("db", "right")
+    with_left = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-left", compression="zstd")
+    sided = with_left.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right")
+    links = common.materialise(sided.mapInArrow(_verify(threshold), EDGES), "near-links")
+    for done in (ends, texts, with_left):
+        common.discard(done)
+    return links
+
+
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, copy_of (smallest id with the same text) and class_id (of its near-duplicates)."""
     spark = docs.sparkSession
     text = common.text_or_empty(docs)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
-    rows = common.materialise(plain.mapInArrow(_sign, "doc long, digest string, bands array<long>"), "near-signed")
-    classes = common.materialise(rows.groupBy("digest").agg(F.min(F.struct("doc", "bands")).alias("m")).select("digest", F.col("m.doc").alias("rep"), F.col("m.bands").alias("bands")), "near-classes")
-    keys = classes.select("rep", F.explode("bands").alias("h"))
-    buckets = common.materialise(keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("bucket"), "n"), "near-buckets")
-    found = common.materialise(keys.join(buckets, F.col("h") == F.col("bucket")).select("h", "rep", "n"), "near-found")
-    # How often a text meets others: the source of many copies meets more of them than they meet each other.
-    met = found.groupBy("rep").agg(F.sum("n").alias("met")).withColumnRenamed("rep", "__rep")
-    members = common.materialise(found.join(met, F.col("rep") == F.col("__rep")).select("h", "rep", "met"), "near-members")
-    n_members = members.count()
-    common.discard(buckets)
-    common.discard(found)
-    involved = common.materialise(members.select(F.col("rep").alias("one")).distinct(), "near-involved")
-    texts = common.materialise(plain.select("doc", "text").join(involved, F.col("doc") == F.col("one"), "left_semi").distinct(), "near-texts", compression="zstd")
+    rows = common.materialise(plain.mapInArrow(_sign, "doc long, digest string, bands array<long>, sketch binary"), "near-signed")
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc", "bands", "sketch")).alias("m")).select("digest", F.col("m.doc").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"))
+    firsts = common.materialise(firsts, "near-firsts")
+    # Rows with one doc_id and different texts are one document; their bands come together.
+    sketches = firsts.where(F.size("bands") > 0).select("rep", "sketch")
+    classes = common.materialise(_first_pivots(firsts.where(F.size("bands") > 0).select("rep", "bands")), "near-classes")
+    n_reps = classes.count()
 
     checked: list[DataFrame] = []
     labels = None
-    unlabelled = spark.createDataFrame([], "doc long, label long")
     for step in range(MOST_PIVOTS + 1):
-        labelled = members.join(labels, F.col("rep") == F.col("doc"), "left").select("h", "rep", "met", F.coalesce("label", "rep").alias("label")) if labels else members.withColumn("label", F.col("rep"))
-        labelled = common.materialise(labelled, "near-labelled")
-        torn = common.materialise(labelled.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("met", "rep", "label")).alias("top")).where("low < high").select(F.col("h").alias("bucket"), "top"), "near-torn")
-        if torn.isEmpty():
+        reps = classes.withColumn("label", F.col("rep"))
+        if labels:
+            reps = classes.join(labels, F.col("rep") == F.col("doc"), "left").select("rep", "bands", "met", F.coalesce("label", "rep").alias("label"))
+            reps = common.materialise(reps, "near-labelled")
+        keys, torn = _buckets(reps, BANDS if step else FIRST_BANDS)
+        n_torn = torn.count()
+        if n_torn == 0 and step:
             break
-        open_ = common.materialise(labelled.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label", "top"), "near-open")
-        common.discard(labelled)
-        parts = open_.groupBy("h", "label").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        left = parts.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
-        if step == MOST_PIVOTS or step and left <= PAIRS_A_MEMBER * n_members:
-            other = open_.select(F.col("h").alias("h2"), F.col("rep").alias("rep2"), F.col("label").alias("label2"))
-            pairs = open_.join(other, (F.col("h") == F.col("h2")) & (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-            last = True
+        inside = keys.join(_bounded(torn, n_torn), (F.col("h") == F.col("bucket")) & (F.col("label") != F.col("low")))
+        others = common.materialise(inside.select("h", "rep", "label", "pivot"), "near-others")
+        last = step > 0 and (_cross_pairs(others, torn) <= PAIRS_A_TEXT * n_reps or step == MOST_PIVOTS)
+        if last:
+            # Every pair of different components that a bucket still has, one by one.
+            of_torn = common.materialise(keys.join(_bounded(torn, n_torn), F.col("h") == F.col("bucket")).select("h", "rep", "label"), "near-open")
+            other = of_torn.toDF("h2", "rep2", "label2")
+            pairs = of_torn.join(other, (F.col("h") == F.col("h2")) & (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         else:
-            # First the text that meets most; then, from the other components, one drawn by a hash.
-            if step:
-                drawn = open_.where(F.col("label") != F.col("top.label")).groupBy("h").agg(F.max(F.struct(F.xxhash64("rep", F.lit(step)).alias("draw"), "rep", "label")).alias("pivot"))
-                chosen = open_.join(drawn.withColumnRenamed("h", "bucket"), F.col("h") == F.col("bucket"))
+            # By turns the best pivot of the lowest component, and one drawn by a hash from the other components.
+            if step > 1:
+                drawn = others.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("drawn"), F.min_by("label", F.xxhash64("rep", F.lit(step))).alias("of"))
+                drawn = common.materialise(drawn.withColumnRenamed("h", "bucket"), "near-drawn")
+                chosen = keys.join(_bounded(drawn, n_torn), (F.col("h") == F.col("bucket")) & (F.col("label") != F.col("of"))).select("rep", F.col("drawn").alias("pivot"))
+                chosen = chosen.union(others.select("rep", "pivot"))
             else:
-                chosen = open_.withColumn("pivot", F.col("top"))
-            chosen = chosen.where(F.col("label") != F.col("pivot.label"))
-            pairs = chosen.select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-            last = False
+                chosen = others
+            pairs = chosen.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         pairs = pairs.distinct()
         for done in checked:
             pairs = pairs.join(done.toDF("ca", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left_anti")
         pairs = common.materialise(pairs, "near-pairs")
-        common.discard(open_)
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        one, two = texts.toDF("da", "left"), texts.toDF("db", "right")
-        with_left = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-left", compression="zstd")
-        sided = with_left.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right")
-        links = common.materialise(sided.mapInArrow(_verify(threshold), EDGES), "near-links")
-        common.discard(with_left)
-        checked.append(pairs)
-        labels = extend(labels, links)
+        common.discard(others)
+        if not pairs.isEmpty():
+            checked.append(pairs)
+            labels = extend(labels, _links(pairs, plain, sketches, threshold))
         if last:
             break
-    out = rows.select("doc", "digest").join(classes.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).join((labels or unlabelled).toDF("ldoc", "label"), F.col("rep") == F.col("ldoc"), "left")
+    labels = labels or spark.createDataFrame([], "doc long, label long")
+    out = rows.select("doc", "digest").join(firsts.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).join(labels.toDF("ldoc", "label"), F.col("rep") == F.col("ldoc"), "left")
     plain_id = lambda c: F.when(c != NULL_ID, c)
     return out.select(plain_id(F.col("doc")).alias("doc_id"), plain_id(F.col("rep")).alias("copy_of"), plain_id(F.coalesce("label", "rep")).alias("class_id"))
 
