@@ -1,5 +1,8 @@
+import base64
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import public_tokenizers as P
@@ -78,3 +81,41 @@ def test_small_tables(spark):
     got = quality.annotate(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.quality_.n_words for r in got) == [0, 0, 0, 100_000]
     assert quality.keep_good(spark.createDataFrame(rows, schema)).count() == 0
+
+
+def junk():
+    rng = random.Random(7)
+    pick = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(200))
+    blob = base64.b64encode(rng.randbytes(3000)).decode()
+    return {"base64": "\n".join(blob[i : i + 76] for i in range(0, len(blob), 76)), "lower": pick(string.ascii_lowercase), "alphanumeric": pick(string.ascii_letters + string.digits)}
+
+
+@pytest.mark.parametrize("kind,lang", [(k, lang) for k in ("base64", "lower", "alphanumeric") for lang in ("en", "de", "fr", "es", "pl", None)])
+def test_junk_is_rejected(kind, lang):
+    got = quality.measure([junk()[kind]], [lang], quality.Rules())
+    assert not got["base_failed"][0] and not got["kept"][0]
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_bands_tell_clean_prose_from_its_garbled_copies(spark, lang):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.where(f"lang = '{lang}' AND n_chars BETWEEN 300 AND 20000").join(labels.where("quality = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(40).collect()
+    texts = [r.text for r in rows]
+    verdicts = lambda t: (lambda got: got["kept"][~got["base_failed"]])(quality.measure(t, [lang] * len(t), quality.Rules()))
+    assert len(verdicts(texts)) > 5 and verdicts(texts).all()
+    for symbols in ("***", "$$$", "%%%", "###", "&&&"):
+        assert not verdicts([re.sub(r"(\S)(?=\s)", rf"\1{symbols}", t) for t in texts]).any()
+    if lang == "fr":
+        assert not verdicts([t.encode().decode("latin-1") for t in texts]).any()
+
+
+@pytest.mark.parametrize("lang,text", [
+    ("en", "The committee met on a rainy Tuesday and agreed to publish its findings before the end of the month."),
+    ("fr", "Le conseil municipal a décidé hier soir de rénover la vieille bibliothèque avant la fin de cette année."),
+    ("de", "Die Stadtverwaltung hat gestern beschlossen, die alte Bücherei noch vor dem Ende des Jahres gründlich zu renovieren."),
+    ("es", "El ayuntamiento decidió ayer por la noche renovar la antigua biblioteca antes de que termine este año."),
+    ("vi", "Hội đồng thành phố tối qua đã quyết định sửa chữa thư viện cũ trước khi kết thúc năm nay."),
+    ("lv", "Pilsētas dome vakar vakarā nolēma atjaunot veco bibliotēku vēl pirms šī gada beigām un atvērt to no jauna."),
+])
+def test_clean_prose_is_kept(lang, text):
+    assert quality.measure([text], [lang], quality.Rules())["kept"][0]
