@@ -20,6 +20,11 @@ Map-only, one pass over whole texts. Defined cases: null stays null with no find
 rows are treated alike; empty tables give empty tables; all columns pass through, the result is a struct column.
 Where findings would overlap, the one that starts first counts, at the same start the kind that stands first in
 KINDS.
+
+A run may hold more than the value: a word, an amount, an expiry date. So its parts at blanks and hyphens are tried too,
+and the first that validates is taken: an IBAN by its country's length, then the whole run (for countries without a
+known length, also shorter parts); a card by its issuer's length, also behind leading groups, then from 19 to 13 digits,
+and only then the run as an account; a phone number from the longest part.
 """
 
 from __future__ import annotations
@@ -54,6 +59,15 @@ PATTERN = re.compile(
     re.ASCII,
 )
 HINT = re.compile(r"[0-9@]")
+#: Lengths of IBANs by country.
+IBAN_LENGTHS = {country: int(n) for n, countries in {
+    "15": "NO", "16": "BE", "18": "DK FO FI FK GL NL SD", "19": "MK SI", "20": "AT BA EE KZ LT LU MN XK", "21": "CH HR LI LV",
+    "22": "BG BH CR DE GB GE IE ME RS VA", "23": "AE GI IL IQ OM SO TL", "24": "AD CZ ES MD PK RO SA SE SK TN VG", "25": "LY PT ST",
+    "26": "IS TR", "27": "BI DJ FR GR IT MC MR SM", "28": "AL AZ BY CY DO GT HN HU LB NI PL SV", "29": "BR EG PS QA UA", "30": "JO KW MU YE",
+    "31": "MT SC", "32": "LC", "33": "RU",
+}.items() for country in countries.split()}
+#: Digits of a card of its issuer's length.
+ISSUED = re.compile(r"(?:4[0-9]{15}|(?:5[1-5]|2[2-7]|6[05]|35)[0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12})", re.ASCII)
 
 
 class Feistel:
@@ -183,14 +197,37 @@ def email(f: Feistel, found: str) -> str | None:
     return relayout(low, out) + dot + rest
 
 
-def number(f: Feistel, found: str) -> str | None:
-    return card(f, found) or account(f, found)
-
-
-MAKERS = {"email": email, "iban": iban, "date": date, "ipv4": ipv4, "ssn": ssn, "phone": phone, "number": number}
+MAKERS = {"email": email, "iban": iban, "date": date, "ipv4": ipv4, "ssn": ssn, "phone": phone, "card": card, "account": account}
+
+
+def trials(kind: str, found: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the parts of a run that may be the value, in the order in which they are tried."""
+    whole = (kind, 0, len(found))
+    if kind not in ("iban", "number", "phone"):
+        return [whole]
+    signs = " " if kind == "iban" else " -" if kind == "number" else " .-"
+    ends = [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] in signs)]
+    if kind == "phone":
+        return [(kind, 0, e) for e in ends]
+    if kind == "iban":
+        size = IBAN_LENGTHS.get(found[:2])
+        if not size:
+            return [(kind, 0, e) for e in ends]
+        return [*((kind, 0, e) for e in ends if e - found.count(" ", 0, e) == size), whole]
+    starts = [0, *(i + 1 for i, c in enumerate(found) if c in signs)]
+    issued = [("card", s, e) for s in starts for e in ends if s < e and ISSUED.fullmatch(re.sub("[ -]", "", found[s:e]))]
+    return [*issued, *(("card", 0, e) for e in ends), ("account", 0, len(found))]
+
+
+def settle(f: Feistel, kind: str, found: str) -> tuple[str, int, int, str] | None:
+    """(kind, start, end, pseudonym) of the first part of a run that validates."""
+    for name, start, end in trials(kind, found):
+        if new := MAKERS[name](f, found[start:end]):
+            return name, start, end, new
+    return None
 
 
-def replace(f: Feistel, text: str, held: dict[tuple[str, str], tuple[str, str] | None]) -> tuple[str, list[dict]]:
+def replace(f: Feistel, text: str, held: dict[tuple[str, str], tuple[str, int, int, str] | None]) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and what was found where."""
     parts, spans, done, at = [], [], 0, 0
     while m := PATTERN.search(text, at):
@@ -198,13 +235,12 @@ def replace(f: Feistel, text: str, held: dict[tuple[str, str], tuple[str, str] |
         if (kind, found) not in held:
             if len(held) > 100_000:
                 held.clear()
-            new = MAKERS[kind](f, found)
-            name = ("card" if card(f, found) else "account") if kind == "number" else kind
-            held[kind, found] = new and (name, new)
+            held[kind, found] = settle(f, kind, found)
         if got := held[kind, found]:
-            parts += [text[done : m.start()], got[1]]
-            spans.append({"kind": got[0], "start": m.start(), "length": len(found), "pseudonym": got[1]})
-            done = at = m.end()
+            name, start, end, new = got
+            parts += [text[done : m.start() + start], new]
+            spans.append({"kind": name, "start": m.start() + start, "length": end - start, "pseudonym": new})
+            done = at = m.start() + end
         else:
             # Not valid as this kind: look again from the next character that can begin something.
             at = m.start() + 1

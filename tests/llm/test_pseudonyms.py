@@ -97,3 +97,24 @@ def test_small_tables(spark):
     got = p.annotate(spark.createDataFrame(rows, schema), "k").collect()
     assert sorted(len(r.private_.spans) for r in got) == [0, 0, 0, 20_000]
     assert [r.private_.text for r in got[:3]] == [None, "", ""] and [r.private for r in got] == ["x", None, None, "y"]
+
+
+@pytest.mark.parametrize("value", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " EUR 250", " 2024-01-01", " 250", " Bank", ". Next", " BIC COBADEFFXXX EUR 1000 PAID"])
+def test_iban_before_words_and_numbers(value, after):
+    text, spans = run(f"IBAN {value}{after}")
+    assert (spans[0]["kind"], spans[0]["start"], spans[0]["length"]) == ("iban", 5, len(value))
+    assert spans[0]["pseudonym"] == run(value)[1][0]["pseudonym"] and value not in text
+
+
+@pytest.mark.parametrize("value", ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "5555 5555 5555 4444"])
+@pytest.mark.parametrize("before,after", [("", " 12/25"), ("", " 123"), ("", " 12 25"), ("", "-123"), ("", " 7"), ("12 ", ""), ("7 ", " 12/25"), ("", " 012")])
+def test_card_beside_other_digits(value, before, after):
+    text, spans = run(f"no {before}{value}{after}")
+    assert [(s["kind"], s["start"], s["length"]) for s in spans] == [("card", 3 + len(before), len(value))]
+    assert spans[0]["pseudonym"] == run(value)[1][0]["pseudonym"] and text == f"no {before}{spans[0]['pseudonym']}{after}"
+
+
+def test_other_runs_stay_whole():
+    assert [(s["kind"], s["length"]) for s in run("5927243074273352 12")[1]] == [("account", 19)]
+    assert [(s["kind"], s["length"]) for s in run("+49 30 90182012 12345 12345 x")[1]] == [("phone", 15)]
