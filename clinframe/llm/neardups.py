@@ -19,9 +19,13 @@ A pair at the threshold shares no band with probability (1 - 0.8^7)^40 < 1e-4; n
 only where they have candidates; every join is between written tables, so that AQE can split hot keys. Tables are
 in the shared folder; nothing per document reaches the driver.
 
+What is compared, linked and labelled is a text. It is named by its smallest doc_id (pivots of low ids are good ones); where
+that is null or is the name of several texts, by 63 bits of its digest, as a negative number. So rows with null or repeated
+ids and different texts are judged apart.
+
 Defined cases: null and empty texts have no shingles and only their exact copies (null counts as empty); rows with
-one doc_id are one document, whatever their texts; a null doc_id counts as the smallest id; empty tables give empty
-tables; extra columns aren't read, or pass through keep_one().
+one doc_id and different texts are different documents; a null doc_id counts as the smallest id; at equal ids the smaller
+digest comes first; empty tables give empty tables; extra columns aren't read, or pass through keep_one().
 """
 
 from __future__ import annotations
@@ -244,16 +248,19 @@ def _cross_pairs(others: DataFrame, torn: DataFrame) -> int:
     return both.agg(F.sum(F.col("k") * (F.col("n") - F.col("k")) + (F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
 
 
-def _links(pairs: DataFrame, plain: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, plain: DataFrame, owners: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar. Only texts of pairs whose registers agree move."""
     one, two = sketches.toDF("da", "left"), sketches.toDF("db", "right")
     half = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-half")
     agreeing = half.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right").mapInArrow(_likely(threshold), EDGES)
     pairs = common.materialise(agreeing, "near-likely")
     common.discard(half)
-    ends = common.materialise(pairs.select(F.col("a").alias("one")).union(pairs.select("b")).distinct(), "near-ends")
-    texts = plain.select("doc", "text").join(_bounded(ends, ends.count()), F.col("doc") == F.col("one"), "left_semi").distinct()
-    texts = common.materialise(texts, "near-texts", compression="zstd")
+    named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(owners, "rep")
+    ends = common.materialise(named.select("rep", F.col("doc").alias("owner"), F.col("digest").alias("form")), "near-ends")
+    # Of a text's copies only those with its smallest id, which are seldom several.
+    of_ends = (F.col("doc") == F.col("owner")) & (F.col("digest") == F.col("form"))
+    texts = plain.join(_bounded(ends, ends.count(), 96), of_ends)
+    texts = common.materialise(texts.select("rep", "text").distinct(), "near-texts", compression="zstd")
     one, two = texts.toDF("da", "left"), texts.toDF("db", "right")
     with_left = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-left", compression="zstd")
     sided = with_left.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right")
@@ -263,15 +270,24 @@ def _links(pairs: DataFrame, plain: DataFrame, sketches: DataFrame, threshold: f
     return links
 
 
-def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, copy_of (smallest id with the same text) and class_id (of its near-duplicates)."""
+def _judge(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc and digest of each row of docs, and of each digest its smallest doc and its class's head.
+
+    A class's head is its smallest (doc, digest): head_doc and head_digest.
+    """
     spark = docs.sparkSession
     text = common.text_or_empty(docs)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
     rows = common.materialise(plain.mapInArrow(_sign, "doc long, digest string, bands array<long>, sketch binary"), "near-signed")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc", "bands", "sketch")).alias("m")).select("digest", F.col("m.doc").alias("rep"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch"))
-    firsts = common.materialise(firsts, "near-firsts")
-    # Rows with one doc_id and different texts are one document; their bands come together.
+    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc", "bands", "sketch")).alias("m"))
+    firsts = common.materialise(firsts.select("digest", F.col("m.doc").alias("doc"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "near-firsts")
+    shared = firsts.where(F.col("doc") != NULL_ID).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc < 0")
+    shared = common.materialise(shared.select(F.col("doc").alias("shared")), "near-shared")
+    firsts = firsts.join(_bounded(shared, shared.count()), F.col("doc") == F.col("shared"), "left")
+    by_digest = (F.col("doc") == NULL_ID) | F.col("shared").isNotNull()
+    name = F.when(by_digest, F.xxhash64("digest").bitwiseOR(F.lit(NULL_ID))).otherwise(F.col("doc"))
+    firsts = common.materialise(firsts.select("digest", name.alias("rep"), "doc", "bands", "sketch"), "near-named")
+    owners = firsts.select("rep", "doc", "digest")
     sketches = firsts.where(F.size("bands") > 0).select("rep", "sketch")
     classes = common.materialise(_first_pivots(firsts.where(F.size("bands") > 0).select("rep", "bands")), "near-classes")
     n_reps = classes.count()
@@ -312,24 +328,38 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         common.discard(others)
         if not pairs.isEmpty():
             checked.append(pairs)
-            labels = extend(labels, _links(pairs, plain, sketches, threshold))
+            labels = extend(labels, _links(pairs, plain, owners, sketches, threshold))
         if last:
             break
     labels = labels or spark.createDataFrame([], "doc long, label long")
-    out = rows.select("doc", "digest").join(firsts.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d")).join(labels.toDF("ldoc", "label"), F.col("rep") == F.col("ldoc"), "left")
-    plain_id = lambda c: F.when(c != NULL_ID, c)
-    return out.select(plain_id(F.col("doc")).alias("doc_id"), plain_id(F.col("rep")).alias("copy_of"), plain_id(F.coalesce("label", "rep")).alias("class_id"))
+    linked = firsts.select("digest", "rep", "doc").join(labels.toDF("linked", "label"), F.col("rep") == F.col("linked"), "left")
+    linked = common.materialise(linked.select("digest", "doc", "label"), "near-linked")
+    heads = linked.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc", "digest")).alias("head")).withColumnRenamed("label", "of")
+    heads = common.materialise(heads, "near-heads")
+    both = linked.join(_bounded(heads, heads.count(), 96), F.col("label") == F.col("of"), "left")
+    judged = both.select("digest", "doc", F.coalesce("head.doc", "doc").alias("head_doc"), F.coalesce("head.digest", "digest").alias("head_digest"))
+    return rows.select("doc", "digest"), common.materialise(judged, "near-judged")
+
+
+def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of docs: doc_id, copy_of (smallest id with the same text) and class_id (of its near-duplicates)."""
+    rows, classes = _judge(docs, threshold)
+    out = rows.join(classes.toDF("d", "first", "head", "head_digest"), F.col("digest") == F.col("d"))
+    plain_id = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(plain_id("doc").alias("doc_id"), plain_id("first").alias("copy_of"), plain_id("head").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: that with the smallest doc_id (one of its rows, if it has several)."""
-    found = find(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("doc_id", "__id")
-    found = common.materialise(found, "near-kept")
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
-    several = kept.where("__n > 1")
-    if several.isEmpty():
-        return kept.drop("__id", "__n")
-    return kept.where("__n = 1").unionByName(several.dropDuplicates(["doc_id"])).drop("__id", "__n")
+    rows, classes = _judge(docs, threshold)
+    heads = classes.where("digest = head_digest").select(F.col("doc").alias("__id"), F.col("digest").alias("__digest"))
+    several = rows.groupBy(F.col("doc").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n"))
+    found = common.materialise(heads.join(several, ["__id", "__digest"]), "near-kept")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.md5(common.text_or_empty(docs)) == F.col("__digest"))
+    kept = docs.join(found, same)
+    if found.where("__n > 1").isEmpty():
+        return kept.drop("__id", "__digest", "__n")
+    return kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__digest"])).drop("__id", "__digest", "__n")
 
 
 def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

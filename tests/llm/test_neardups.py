@@ -123,3 +123,16 @@ def test_keep_one(spark):
     got = neardups.keep_one(spark.createDataFrame(rows, schema))
     assert got.columns == ["doc_id", "text", "class_id", "h"]
     assert sorted(r.h for r in got.collect()) == [2, 3, 4, 5, 7]
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark):
+    rng = random.Random(5)
+    a, b, c = (words(rng, 60, 10**6) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    schema = "doc_id long, text string, h int"
+    unlike = [(None, " ".join(words(rng, 30, 10**6)), 10 + i) for i in range(5)] + [(7, " ".join(words(rng, 30, 10**6)), 20 + i) for i in range(3)]
+    rows = [(None, " ".join(a), 0), (None, " ".join(b), 1), (1, near(a), 2), (2, near(b), 3), (3, " ".join(c), 4), (8, near(c), 5), (8, "quite another text of one id", 6), (None, " ".join(a), 0), *unlike]
+    got = sorted(r.h for r in neardups.keep_one(spark.createDataFrame(rows, schema)).collect())
+    assert got == [0, 1, 4, 6, *range(10, 15), *range(20, 23)]
+    both = Counter(tuple(r) for r in neardups.find(spark.createDataFrame(rows, schema)).collect())
+    assert both[8, 8, 3] == both[8, 8, 8] == both[1, 1, None] == both[2, 2, None] == 1 and both[7, 7, 7] == 3
