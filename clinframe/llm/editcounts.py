@@ -34,7 +34,7 @@ from clinframe.llm.tokenfile import vocabulary
 
 LEAF = 32
 #: Trees opened at a time.
-STEP = 200
+STEP = 500
 BEFORE, AFTER = 2, 4
 EDIT = "array<struct<seq:long,at:long,remove:long,insert:string>>"
 #: lengths and tokens: of each pre-token, little-endian unsigned 32 bit. leaves: pre-tokens in each.
@@ -67,7 +67,7 @@ class Document:
     """A tree opened for edits: each leaf's text, and its pre-tokens' lengths and tokens."""
 
     def __init__(self, state: dict, pool: textnum.Pool):
-        self.pool, self.leaves = pool, []
+        self.pool, self.leaves, self.open = pool, [], ()
         n = len(state["lengths"]) // 4
         lengths, tokens = (struct.unpack(f"<{n}I", state[k]) for k in ("lengths", "tokens"))
         self.chars, self.toks = list(state["char_sums"]), list(state["token_sums"])
@@ -89,7 +89,11 @@ class Document:
                 node += 1
         return min(max(0, node - self.size), len(self.leaves) - 1), begin
 
-    def edit(self, at: int | None, remove: int | None, insert: str | None) -> None:
+    def cut(self, at: int | None, remove: int | None, insert: str | None) -> tuple[str, int]:
+        """Begin an edit: the region that has to be encoded anew with what follows it, and the region's own length.
+
+        put() ends it with the region's pre-tokens.
+        """
         whole = self.chars[1]
         at = min(max(at or 0, 0), whole)
         remove, insert = min(max(remove or 0, 0), whole - at), insert or ""
@@ -113,13 +117,16 @@ class Document:
             if len(follows) >= AFTER:
                 break
             follows += x[0][:AFTER]
-        region = textnum.Chunk([changed[left:right_now] + follows])
-        starts, ends = textnum.pretokens(region)
-        inside = starts < right_now - left
-        starts, ends = starts[inside], np.minimum(ends[inside], right_now - left)
-        found = self.pool.count(region, starts, ends) if len(starts) else starts
-        lengths[i:j], tokens[i:j] = (ends - starts).tolist(), found.tolist()
-        self.n_reencoded += len(starts)
+        self.open = (first, last, changed, lengths, tokens, i, j)
+        return changed[left:right_now] + follows, right_now - left
+
+    def edit(self, at: int | None, remove: int | None, insert: str | None) -> None:
+        wave([(self, (at, remove, insert))], self.pool)
+
+    def put(self, new_lengths: list[int], new_tokens: list[int]) -> None:
+        first, last, changed, lengths, tokens, i, j = self.open
+        lengths[i:j], tokens[i:j] = new_lengths, new_tokens
+        self.n_reencoded += len(new_lengths)
         self.n_edits += 1
         self._put_back(first, last, changed, lengths, tokens)
 
@@ -154,14 +161,35 @@ class Document:
         return {"text": "".join(x[0] for x in self.leaves), "lengths": flat[0], "tokens": flat[1], "leaves": [len(x[1]) for x in self.leaves], "char_sums": self.chars, "token_sums": self.toks, "n_reencoded": self.n_reencoded, "n_edits": self.n_edits}
 
 
-def edited(state: dict, edits: list[dict], pool: textnum.Pool) -> dict:
+def in_order(edits: list[dict]) -> list[dict]:
     def order(e: dict) -> tuple:
         return tuple((v is not None, v if v is not None else 0) for v in (e["seq"], e["at"], e["remove"])) + (e["insert"] or "",)
 
-    doc = Document(state, pool)
-    for e in sorted(edits, key=order):
-        doc.edit(e["at"], e["remove"], e["insert"])
-    return doc.state()
+    return sorted(edits, key=order)
+
+
+def wave(edits: list[tuple[Document, tuple]], pool: textnum.Pool) -> None:
+    """One edit (at, remove, insert) of each of many documents: their regions are encoded as one chunk."""
+    regions = [d.cut(*e) for d, e in edits]
+    for a, b in textnum.chunks([text for text, _ in regions]):
+        chunk = textnum.Chunk([text for text, _ in regions[a:b]])
+        starts, ends = textnum.pretokens(chunk)
+        of = chunk.text_of(starts)
+        stop = (chunk.bounds[:-1] + np.array([n for _, n in regions[a:b]], np.int64))[of]
+        inside = starts < stop
+        starts, ends, of = starts[inside], np.minimum(ends, stop)[inside], of[inside]
+        lengths, tokens = (ends - starts).tolist(), pool.count(chunk, starts, ends).tolist()
+        cut = np.searchsorted(of, np.arange(b - a + 1)).tolist()
+        for (d, _), i, j in zip(edits[a:b], cut, cut[1:]):
+            d.put(lengths[i:j], tokens[i:j])
+
+
+def edited(states: list[dict], edits: list[list[dict]], pool: textnum.Pool) -> list[dict]:
+    """The trees of many documents after their edits; the k-th edits of all of them are a wave."""
+    documents, todo = [Document(s, pool) for s in states], [in_order(e) for e in edits]
+    for k in range(max(map(len, todo), default=0)):
+        wave([(d, (e[k]["at"], e[k]["remove"], e[k]["insert"])) for d, e in zip(documents, todo) if k < len(e)], pool)
+    return [d.state() for d in documents]
 
 
 def build(docs: DataFrame, vocabulary_path: str | None = None, out: str = "tree") -> DataFrame:
@@ -186,8 +214,9 @@ def build(docs: DataFrame, vocabulary_path: str | None = None, out: str = "tree"
 
 def attach_edits(state: DataFrame, edits: DataFrame, out: str = "edits") -> DataFrame:
     """state with each document's edits (doc_id, seq, at, remove, insert) as an array."""
-    of = edits.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("seq", "at", "remove", "insert")).cast(EDIT).alias(common.free_name(state, out)))
-    return state.join(of, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    of_doc = common.free_name(state, "edits_of")
+    of = edits.groupBy(F.col("doc_id").alias(of_doc)).agg(F.collect_list(F.struct("seq", "at", "remove", "insert")).cast(EDIT).alias(common.free_name(state, out)))
+    return state.join(of, F.col("doc_id") == F.col(of_doc), "left").drop(of_doc)
 
 
 def apply(state: DataFrame, edits: str = "edits", tree: str = "tree", vocabulary_path: str | None = None) -> DataFrame:
@@ -201,9 +230,10 @@ def apply(state: DataFrame, edits: str = "edits", tree: str = "tree", vocabulary
             for first in range(0, len(batch), STEP):
                 part = batch.slice(first, STEP)
                 trees = part.column(tree_at).to_pylist()
-                for i, todo in enumerate(part.column(edits_at).to_pylist()):
-                    if todo:
-                        trees[i] = edited(trees[i], todo, pool)
+                edits_of = part.column(edits_at).to_pylist()
+                touched = [i for i, todo in enumerate(edits_of) if todo]
+                for i, tree_now in zip(touched, edited([trees[i] for i in touched], [edits_of[i] for i in touched], pool)):
+                    trees[i] = tree_now
                 columns = list(part.columns)
                 columns[tree_at] = pa.array(trees, ARROW_TREE)
                 yield pa.RecordBatch.from_arrays(columns, names)

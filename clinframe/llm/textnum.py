@@ -14,7 +14,9 @@ import numpy as np
 
 CHUNK = 1_000_000
 LONG = 64
-POOL = 1_000_000
+POOL, POOL_CHARS = 500_000, 8_000_000
+#: New hashes that are searched apart before they are merged.
+MERGE_AT = 4096
 #: Runs encoded end to end at a time.
 JOINED = 256
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -158,8 +160,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def _look_up(keys: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The slot of each wanted key in sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, slots[place], -1)
+
+
+def _merged(keys: np.ndarray, slots: np.ndarray, more: np.ndarray, more_slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.searchsorted(keys, more)
+    return np.insert(keys, place, more), np.insert(slots, place, more_slots)
+
+
 class Pool:
-    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs.
+    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs or POOL_CHARS.
+
+    New hashes go to a small sorted array of their own, which is merged into the large one now and then.
 
     encode: from runs to their ids, one after the other, and the number of ids of each.
     """
@@ -171,7 +188,9 @@ class Pool:
     def clear(self) -> None:
         #: Hashes in order, and the number under which each run's ids are kept.
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.new_keys, self.new_slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.long: dict[str, int] = {}
+        self.long_chars = 0
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths, self.held = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
@@ -191,7 +210,7 @@ class Pool:
 
     def find(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number under which each run of the chunk is kept."""
-        if self.held > POOL:
+        if self.held > POOL or self.used > POOL_CHARS or self.long_chars > POOL_CHARS:
             self.clear()
         out = np.empty(len(starts), np.int64)
         short = ends - starts <= LONG
@@ -200,24 +219,27 @@ class Pool:
             runs = [chunk.joined[i:j] for i, j in zip(starts[far].tolist(), ends[far].tolist())]
             if new := [r for r in dict.fromkeys(runs) if r not in self.long]:
                 self.long |= zip(new, self._add(new).tolist())
+                self.long_chars += sum(map(len, new))
             out[far] = [self.long[r] for r in runs]
             starts, ends = starts[short], ends[short]
         distinct, at, back = np.unique(run_hashes(chunk.points, starts, ends), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == distinct[inside]
-        found = np.empty(len(distinct), np.int64)
-        found[known] = self.slots[place[known]]
-        new = np.flatnonzero(~known)
-        if len(new):
+        found = _look_up(self.keys, self.slots, distinct)
+        rest = np.flatnonzero(found < 0)
+        if len(rest):
+            found[rest] = _look_up(self.new_keys, self.new_slots, distinct[rest])
+            new = rest[found[rest] < 0]
             spans = zip(starts[at[new]].tolist(), ends[at[new]].tolist())
-            found[new] = self._add([chunk.joined[i:j] for i, j in spans])
-            self.keys = np.insert(self.keys, place[new], distinct[new])
-            self.slots = np.insert(self.slots, place[new], found[new])
+            found[new] = self._add([chunk.joined[i:j] for i, j in spans]) if len(new) else 0
+            self._remember(distinct[new], found[new])
         out[short] = found[back]
         return out
 
+    def _remember(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        self.new_keys, self.new_slots = _merged(self.new_keys, self.new_slots, keys, slots)
+        if len(self.new_keys) > MERGE_AT + len(self.keys) // 8:
+            self.keys, self.slots = _merged(self.keys, self.slots, self.new_keys, self.new_slots)
+            self.new_keys, self.new_slots = self.new_keys[:0].copy(), self.new_slots[:0].copy()
+
     def count(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of ids of each run of the chunk."""
         which = self.find(chunk, starts, ends)
