@@ -5,19 +5,22 @@ as weights. Each shingle is a Poisson process whose rate is its weight: its arri
 random registers; a register keeps the shingle that arrived first. Processes end as soon as their next arrival comes
 after every register's first. Two registers agree with the probability Jaccard similarity of the texts.
 
-  1. One map over the texts gives each a digest and BANDS hashes of ROWS registers. Equal digests are one class,
-     whose representative has the smallest doc_id.
-  2. Representatives that share a band hash are candidates. They are not paired all with all: a bucket's members are
-     compared with its pivot, the text that meets most others, first in a few bands, then in all of them. Later rounds
-     only look at buckets whose members are in several components, and in them at texts outside the pivot's
-     component. When few pairs of different components are left, they are compared one by one.
-  3. A candidate whose registers agree is verified on the two whole texts: its exact probability Jaccard must reach
-     the threshold.
-  4. Verified links become components by minimum labels and pointer jumping, in joins.
-
-A pair at the threshold shares no band with probability (1 - 0.8^7)^40 < 1e-4; no other link is lost. Texts are shuffled
-only where they have candidates; every join is between written tables, so that AQE can split hot keys. Tables are
-in the shared folder; nothing per document reaches the driver.
+  1. One map over the texts gives each a digest and a sketch: a byte of each register. ROWS bytes of it are a band.
+     Equal digests are one class, whose representative has the smallest doc_id.
+  2. Representatives that share a band are candidates. They are not paired all with all: a bucket's members are compared
+     with its pivot, the text that meets most others, first in FIRST_BANDS bands, then in all of them.
+  3. What is left are buckets with members of several components that aren't similar to the pivot. Their texts get a
+     second sketch of LONG_REGISTERS, and a bucket goes to tasks in blocks of BLOCK members, two at a time; a task compares
+     sketches of different components, and gives out only those pairs that agree as often as a pair at the threshold can.
+     Blocks of the bucket's largest component aren't put together with each other.
+  4. Every pair is verified on the two whole texts: its exact probability Jaccard must reach the threshold.
+  5. Verified links become components by minimum labels and pointer jumping, in joins.
+
+A pair at the threshold shares no band with probability (1 - 0.8^7)^40 < 1e-4, and its second sketches agree less than step 3
+asks for with 3e-7; no other link is lost. Texts are shuffled only where they have candidates; every join is between written
+tables, so that AQE can split hot keys. Tables are in the shared folder; nothing per document reaches the driver. Step 3
+compares bytes in memory, which is quadratic in what a bucket holds beyond its largest component; rows are so only divided by
+BLOCK. Capping it would lose links.
 
 What is compared, linked and labelled is a text. It is named by its smallest doc_id (pivots of low ids are good ones); where
 that is null or is the name of several texts, by 63 bits of its digest, as a negative number. So rows with null or repeated
@@ -45,8 +48,8 @@ THRESHOLD = 0.8
 NULL_ID = -(1 << 63)
 #: The first round uses these bands only: they merge large groups of copies before all bands are looked at.
 FIRST_BANDS = 6
-#: Rounds of pivots, and the pairs for each text that may be left for comparing them one by one.
-MOST_PIVOTS, PAIRS_A_TEXT = 2, 2
+#: Step 3: registers of the second sketch, and members of a block.
+LONG_REGISTERS, BLOCK = 1024, 512
 #: A pair at the threshold whose registers agree less than this many standard deviations below it has a chance of 3e-7.
 DEVIATIONS = 5
 EDGES = "a long, b long"
@@ -76,10 +79,10 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of[new], h[new], np.diff(np.append(new, len(h)))
 
 
-def registers(n_texts: int, of: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """ProbMinHash: for each text, the shingle that came first into each register (0 for texts without shingles)."""
-    first = np.full(n_texts * REGISTERS, np.inf)
-    winner = np.zeros(n_texts * REGISTERS, np.uint64)
+def registers(n_texts: int, of: np.ndarray, h: np.ndarray, weight: np.ndarray, m: int = REGISTERS) -> np.ndarray:
+    """ProbMinHash: for each text, the shingle that came first into each of m registers (0 for texts without shingles)."""
+    first = np.full(n_texts * m, np.inf)
+    winner = np.zeros(n_texts * m, np.uint64)
     time, step = np.zeros(len(h)), 0
     live = np.arange(len(h))
     rate = weight.astype(np.float64)
@@ -88,47 +91,70 @@ def registers(n_texts: int, of: np.ndarray, h: np.ndarray, weight: np.ndarray) -
         with np.errstate(over="ignore"):
             x = textnum.mix(h[live] + np.uint64(step) * textnum.BASE)
         time = time + -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[live]
-        register = ((x & np.uint64(0xFFFFF)) * np.uint64(REGISTERS) >> np.uint64(20)).astype(np.int64)
-        slot = of[live] * REGISTERS + register
+        register = ((x & np.uint64(0xFFFFF)) * np.uint64(m) >> np.uint64(20)).astype(np.int64)
+        slot = of[live] * m + register
         np.minimum.at(first, slot, time)
         won = time == first[slot]
         winner[slot[won]] = h[live[won]]
-        last = first.reshape(n_texts, REGISTERS).max(1) if n_texts else first
+        last = first.reshape(n_texts, m).max(1) if n_texts else first
         going = time < last[of[live]]
         live, time = live[going], time[going]
-    return winner.reshape(n_texts, REGISTERS)
+    return winner.reshape(n_texts, m)
 
 
-def band_hashes(winners: np.ndarray) -> np.ndarray:
-    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(winners), 1))
-    with np.errstate(over="ignore"):
-        for k in range(ROWS):
-            out = out * textnum.BASE + winners[:, k * BANDS : (k + 1) * BANDS]
-    return textnum.mix(out).view(np.int64)
+def _sign(m: int):
+    """Batches whose last column is a text, with a sketch of m registers in its place (null for texts without shingles)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in textnum.chunks(texts, most=(1 << 20) // m):
+                of, h, count = shingles(texts[a:b])
+                low = (textnum.mix(registers(b - a, of, h, count, m)) >> np.uint64(56)).astype(np.uint8)
+                has = np.bincount(of, minlength=b - a) > 0
+                sketches = pa.array([x.tobytes() if any_ else None for x, any_ in zip(low, has)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], sketches], [*batch.schema.names[:-1], "sketch"])
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows with equal values in the first `keys` columns, of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in textnum.chunks(texts, most=4096):
-            of, h, count = shingles(texts[a:b])
-            winners = registers(b - a, of, h, count)
-            bands, low = band_hashes(winners), (textnum.mix(winners) >> np.uint64(56)).astype(np.uint8)
-            has = np.bincount(of, minlength=b - a) > 0
-            offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].reshape(-1)))
-            sketches = pa.array([x.tobytes() for x in low], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists, sketches], ["doc", "digest", "bands", "sketch"])
-
-
-def _likely(threshold: float):
-    """Pairs whose registers, a byte of each, agree as often as those of a pair at the threshold can (DEVIATIONS)."""
-    least = REGISTERS * threshold - DEVIATIONS * (REGISTERS * threshold * (1 - threshold)) ** 0.5
+        if not len(batch):
+            continue
+        values = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and tuple(values[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(values[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close(threshold: float):
+    """Pairs of different labels whose sketches agree often enough, of the blocks in each task (h, i, j)."""
+    least = LONG_REGISTERS * threshold - DEVIATIONS * (LONG_REGISTERS * threshold * (1 - threshold)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((left == right).sum(1) >= least))
+        for group in _groups(batches, 3):
+            _, i, j, block, rep, label = (group.column(k).to_numpy() for k in range(6))
+            sketch = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(-1, LONG_REGISTERS)
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            found = [np.zeros((0, 2), np.int64)]
+            for k in left.tolist():
+                others = right[label[right] != label[k]]
+                if i[0] == j[0]:
+                    others = others[others > k]
+                near = others[np.count_nonzero(sketch[others] == sketch[k], 1) >= least]
+                found.append(np.stack([np.minimum(rep[near], rep[k]), np.maximum(rep[near], rep[k])], 1))
+            pairs = np.concatenate(found)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -213,153 +239,178 @@ def extend(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return common.materialise(old.union(new), "near-labels")
 
 
-def _first_pivots(classes: DataFrame) -> DataFrame:
-    """classes with met: how many texts each meets in its first bands, over all of their buckets.
-
-    The source of many copies meets more of them than they meet each other, so it makes a good pivot.
-    """
-    keys = classes.select("rep", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("h"))
-    shared = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("h", "bucket")
-    met = keys.join(shared, F.col("h") == F.col("bucket")).groupBy("rep").agg(F.sum("n").alias("met")).withColumnRenamed("rep", "__rep")
-    return classes.join(met, F.col("rep") == F.col("__rep"), "left").select("rep", "bands", F.coalesce("met", F.lit(0)).alias("met"))
+def _bounded(df: DataFrame, rows: int, row_bytes: int = 48) -> DataFrame:
+    return F.broadcast(df) if rows * row_bytes <= common.BROADCAST_BYTES else df
 
 
-def _buckets(reps: DataFrame, n_bands: int) -> tuple[DataFrame, DataFrame]:
-    """(keys, torn): a row per text and band, and the buckets whose texts are in several components.
+def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """df with the label of each rep, itself where it has no links yet."""
+    if labels is None:
+        return df.withColumn("label", F.col("rep"))
+    known = labels.toDF("of_rep", "found")
+    return df.join(_bounded(known, labels.count()), F.col("rep") == F.col("of_rep"), "left").withColumn("label", F.coalesce("found", "rep")).drop("of_rep", "found")
 
-    A torn bucket's pivot is the text of its lowest component that meets most others. Keys are made anew from the
-    texts' arrays wherever they are used; they are never written out.
-    """
-    keys = reps.select("rep", "label", "met", F.explode(F.slice("bands", 1, n_bands)).alias("h"))
-    low = F.min(F.struct("label", (-F.col("met")).alias("rank"), "rep"))
-    torn = keys.groupBy("h").agg(low.alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low.label < high")
-    torn = common.materialise(torn.select(F.col("h").alias("bucket"), F.col("low.label").alias("low"), F.col("low.rep").alias("pivot"), "n"), "near-torn")
-    return keys, torn
 
+def _members(classes: DataFrame, n_bands: int, labels: DataFrame | None) -> DataFrame:
+    """(h, rep, label): the texts of the buckets, of the first n_bands, whose texts are in several components."""
+    keys = _labelled(classes, labels).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))))
+    keys = keys.select(F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("h"), "rep", "label")
+    torn = keys.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    torn = common.materialise(torn.select(F.col("h").alias("bucket")), "near-torn")
+    members = common.materialise(keys.join(_bounded(torn, torn.count()), F.col("h") == F.col("bucket")).select("h", "rep", "label"), "near-members")
+    common.discard(torn)
+    return members
 
-def _bounded(df: DataFrame, rows: int, row_bytes: int = 48) -> DataFrame:
-    return F.broadcast(df) if rows * row_bytes <= common.BROADCAST_BYTES else df
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's pivot, unless they are in one component.
 
-def _cross_pairs(others: DataFrame, torn: DataFrame) -> int:
-    """How many pairs of different components the torn buckets have. others: the texts beyond the lowest component."""
-    parts = others.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.sum("k").cast("double").alias("k"), F.sum(F.col("k") * F.col("k")).cast("double").alias("kk"))
-    both = parts.join(torn, F.col("h") == F.col("bucket"))
-    return both.agg(F.sum(F.col("k") * (F.col("n") - F.col("k")) + (F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
+    The pivot is in the bucket's largest component. It is the member that meets most others, over all buckets: the source
+    of many copies meets more of them than they meet each other.
+    """
+    in_bucket = members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("h", "bucket")
+    met = members.join(in_bucket, F.col("h") == F.col("bucket")).groupBy("rep").agg(F.sum("n").alias("met")).withColumnRenamed("rep", "met_by")
+    sized = members.join(met, F.col("rep") == F.col("met_by")).join(_sizes(members), F.col("label") == F.col("sized"))
+    best = F.max(F.struct("size", (-F.col("label")).alias("label"), "met", (-F.col("rep")).alias("rep")))
+    best = sized.groupBy("h").agg(best.alias("best")).select(F.col("h").alias("bucket"), (-F.col("best.label")).alias("low"), (-F.col("best.rep")).alias("pivot"))
+    beyond = members.join(best, (F.col("h") == F.col("bucket")) & (F.col("label") != F.col("low")))
+    return beyond.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    return members.select("rep", "label").distinct().groupBy(F.col("label").alias("sized")).agg(F.count(F.lit(1)).alias("size"))
+
+
+def _left_over(members: DataFrame, plain: DataFrame, owners: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of different components that share a bucket and whose second sketches agree (step 3)."""
+    of_bucket = members.join(_sizes(members), F.col("label") == F.col("sized"))
+    best = of_bucket.groupBy("h").agg(F.max(F.struct("size", (-F.col("label")).alias("label"))).alias("best"), F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
+    torn = best.where("least < most").select(F.col("h").alias("bucket"), (-F.col("best.label")).alias("low"), "n")
+    left = common.materialise(members.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label", "n", (F.col("label") == F.col("low")).alias("inside")), "near-left-over")
+    texts = _texts_of(left.select("rep").distinct(), plain, owners)
+    sketches = common.materialise(texts.select("rep", "text").mapInArrow(_sign(LONG_REGISTERS), "rep long, sketch binary").withColumnRenamed("rep", "of"), "near-long")
+    common.discard(texts)
+    outside = left.groupBy("h").agg(F.count_if(~F.col("inside")).alias("n_out")).withColumnRenamed("h", "bucket")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    one = F.col("n") <= BLOCK
+    dealt = left.join(outside, F.col("h") == F.col("bucket")).withColumn("n_low", F.when(one, 0).otherwise(blocks(F.col("n") - F.col("n_out")))).withColumn("n_out", F.when(one, 1).otherwise(blocks(F.col("n_out"))))
+    number = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    dealt = dealt.withColumn("inside", F.col("inside") & ~one).withColumn("block", F.when(F.col("inside"), number(F.col("n_low"))).otherwise(F.col("n_low") + number(F.col("n_out"))))
+    other = F.explode(F.sequence(F.when(F.col("inside"), F.col("n_low")).otherwise(F.lit(0)), F.col("n_low") + F.col("n_out") - 1))
+    tasks = dealt.join(sketches, F.col("rep") == F.col("of")).withColumn("other", other)
+    tasks = tasks.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sketch")
+    pairs = common.materialise(tasks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_close(threshold), EDGES), "near-close")
+    for done in (left, sketches):
+        common.discard(done)
+    return pairs.distinct()
 
 
-def _links(pairs: DataFrame, plain: DataFrame, owners: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts are similar. Only texts of pairs whose registers agree move."""
-    one, two = sketches.toDF("da", "left"), sketches.toDF("db", "right")
-    half = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-half")
-    agreeing = half.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right").mapInArrow(_likely(threshold), EDGES)
-    pairs = common.materialise(agreeing, "near-likely")
-    common.discard(half)
-    named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(owners, "rep")
-    ends = common.materialise(named.select("rep", F.col("doc").alias("owner"), F.col("digest").alias("form")), "near-ends")
+def _texts_of(reps: DataFrame, plain: DataFrame, owners: DataFrame) -> DataFrame:
+    """(rep, text), written out, for a table of distinct reps."""
+    ends = common.materialise(reps.join(owners, "rep").select("rep", F.col("doc").alias("owner"), F.col("digest").alias("form")), "near-ends")
+    n_ends = ends.count()
     # Of a text's copies only those with its smallest id, which are seldom several.
     of_ends = (F.col("doc") == F.col("owner")) & (F.col("digest") == F.col("form"))
-    texts = plain.join(_bounded(ends, ends.count(), 96), of_ends)
-    texts = common.materialise(texts.select("rep", "text").distinct(), "near-texts", compression="zstd")
+    texts = common.materialise(plain.join(_bounded(ends, n_ends, 96), of_ends).select("rep", "text"), "near-texts", compression="zstd")
+    common.discard(ends)
+    return texts if texts.count() == n_ends else texts.dropDuplicates(["rep"])
+
+
+def _links(pairs: DataFrame, plain: DataFrame, owners: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar. Only the texts of these pairs move."""
+    texts = _texts_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), plain, owners)
     one, two = texts.toDF("da", "left"), texts.toDF("db", "right")
     with_left = common.materialise(pairs.join(one, F.col("a") == F.col("da")).select("a", "b", "left"), "near-left", compression="zstd")
     sided = with_left.join(two, F.col("b") == F.col("db")).select("a", "b", "left", "right")
     links = common.materialise(sided.mapInArrow(_verify(threshold), EDGES), "near-links")
-    for done in (ends, texts, with_left):
+    for done in (texts, with_left):
         common.discard(done)
     return links
 
 
-def _judge(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc and digest of each row of docs, and of each digest its smallest doc and its class's head.
-
-    A class's head is its smallest (doc, digest): head_doc and head_digest.
-    """
-    spark = docs.sparkSession
+def _plain(docs: DataFrame) -> DataFrame:
     text = common.text_or_empty(docs)
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.md5(text).alias("digest"), text.alias("text"))
-    rows = common.materialise(plain.mapInArrow(_sign, "doc long, digest string, bands array<long>, sketch binary"), "near-signed")
-    firsts = rows.groupBy("digest").agg(F.min(F.struct("doc", "bands", "sketch")).alias("m"))
-    firsts = common.materialise(firsts.select("digest", F.col("m.doc").alias("doc"), F.col("m.bands").alias("bands"), F.col("m.sketch").alias("sketch")), "near-firsts")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+
+
+def _named(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(owners, classes): of each distinct text its name (rep), smallest doc and digest; and name and sketch, if it has shingles."""
+    signed = common.materialise(plain.mapInArrow(_sign(REGISTERS), "doc long, digest binary, sketch binary"), "near-signed")
+    firsts = signed.groupBy("digest").agg(F.min(F.struct("doc", "sketch")).alias("m")).select("digest", "m.doc", "m.sketch")
+    firsts = common.materialise(firsts, "near-firsts")
+    common.discard(signed)
     shared = firsts.where(F.col("doc") != NULL_ID).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc < 0")
     shared = common.materialise(shared.select(F.col("doc").alias("shared")), "near-shared")
-    firsts = firsts.join(_bounded(shared, shared.count()), F.col("doc") == F.col("shared"), "left")
+    named = firsts.join(_bounded(shared, shared.count()), F.col("doc") == F.col("shared"), "left")
     by_digest = (F.col("doc") == NULL_ID) | F.col("shared").isNotNull()
     name = F.when(by_digest, F.xxhash64("digest").bitwiseOR(F.lit(NULL_ID))).otherwise(F.col("doc"))
-    firsts = common.materialise(firsts.select("digest", name.alias("rep"), "doc", "bands", "sketch"), "near-named")
-    owners = firsts.select("rep", "doc", "digest")
-    sketches = firsts.where(F.size("bands") > 0).select("rep", "sketch")
-    classes = common.materialise(_first_pivots(firsts.where(F.size("bands") > 0).select("rep", "bands")), "near-classes")
-    n_reps = classes.count()
-
-    checked: list[DataFrame] = []
-    labels = None
-    for step in range(MOST_PIVOTS + 1):
-        reps = classes.withColumn("label", F.col("rep"))
-        if labels:
-            reps = classes.join(labels, F.col("rep") == F.col("doc"), "left").select("rep", "bands", "met", F.coalesce("label", "rep").alias("label"))
-            reps = common.materialise(reps, "near-labelled")
-        keys, torn = _buckets(reps, BANDS if step else FIRST_BANDS)
-        n_torn = torn.count()
-        if n_torn == 0 and step:
-            break
-        inside = keys.join(_bounded(torn, n_torn), (F.col("h") == F.col("bucket")) & (F.col("label") != F.col("low")))
-        others = common.materialise(inside.select("h", "rep", "label", "pivot"), "near-others")
-        last = step > 0 and (_cross_pairs(others, torn) <= PAIRS_A_TEXT * n_reps or step == MOST_PIVOTS)
-        if last:
-            # Every pair of different components that a bucket still has, one by one.
-            of_torn = common.materialise(keys.join(_bounded(torn, n_torn), F.col("h") == F.col("bucket")).select("h", "rep", "label"), "near-open")
-            other = of_torn.toDF("h2", "rep2", "label2")
-            pairs = of_torn.join(other, (F.col("h") == F.col("h2")) & (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2"))).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        else:
-            # By turns the best pivot of the lowest component, and one drawn by a hash from the other components.
-            if step > 1:
-                drawn = others.groupBy("h").agg(F.min_by("rep", F.xxhash64("rep", F.lit(step))).alias("drawn"), F.min_by("label", F.xxhash64("rep", F.lit(step))).alias("of"))
-                drawn = common.materialise(drawn.withColumnRenamed("h", "bucket"), "near-drawn")
-                chosen = keys.join(_bounded(drawn, n_torn), (F.col("h") == F.col("bucket")) & (F.col("label") != F.col("of"))).select("rep", F.col("drawn").alias("pivot"))
-                chosen = chosen.union(others.select("rep", "pivot"))
-            else:
-                chosen = others
-            pairs = chosen.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        pairs = pairs.distinct()
+    named = named.select(name.alias("rep"), "doc", "digest", "sketch")
+    owners = common.materialise(named.drop("sketch"), "near-owners")
+    classes = common.materialise(named.where("sketch IS NOT NULL").select("rep", "sketch"), "near-classes")
+    for done in (firsts, shared):
+        common.discard(done)
+    return owners, classes
+
+
+def _judge(docs: DataFrame, threshold: float) -> DataFrame:
+    """Of each digest in docs its smallest doc and its class's head: the class's smallest (doc, digest)."""
+    plain = _plain(docs)
+    owners, classes = _named(plain)
+    checked, labels, members = [], None, None
+
+    def link(pairs: DataFrame) -> None:
+        nonlocal labels
         for done in checked:
             pairs = pairs.join(done.toDF("ca", "cb"), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left_anti")
         pairs = common.materialise(pairs, "near-pairs")
-        common.discard(others)
+        checked.append(pairs)
         if not pairs.isEmpty():
-            checked.append(pairs)
-            labels = extend(labels, _links(pairs, plain, owners, sketches, threshold))
-        if last:
-            break
-    labels = labels or spark.createDataFrame([], "doc long, label long")
-    linked = firsts.select("digest", "rep", "doc").join(labels.toDF("linked", "label"), F.col("rep") == F.col("linked"), "left")
-    linked = common.materialise(linked.select("digest", "doc", "label"), "near-linked")
+            links = _links(pairs, plain, owners, threshold)
+            before, labels = labels, extend(labels, links)
+            common.discard(links)
+            if before is not None and before is not labels:
+                common.discard(before)
+
+    for n_bands in (FIRST_BANDS, BANDS):
+        if members:
+            common.discard(members)
+        members = _members(classes, n_bands, labels)
+        link(_pivots(members))
+    # Buckets that were in one piece stay so: their members with the labels of now are all that is left.
+    link(_left_over(_labelled(members.drop("label"), labels), plain, owners, threshold))
+
+    labels = labels if labels is not None else docs.sparkSession.createDataFrame([], "doc long, label long")
+    linked = owners.join(labels.toDF("linked", "label"), F.col("rep") == F.col("linked"), "left").select("digest", "doc", "label")
+    linked = common.materialise(linked, "near-linked")
     heads = linked.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc", "digest")).alias("head")).withColumnRenamed("label", "of")
     heads = common.materialise(heads, "near-heads")
     both = linked.join(_bounded(heads, heads.count(), 96), F.col("label") == F.col("of"), "left")
     judged = both.select("digest", "doc", F.coalesce("head.doc", "doc").alias("head_doc"), F.coalesce("head.digest", "digest").alias("head_digest"))
-    return rows.select("doc", "digest"), common.materialise(judged, "near-judged")
+    judged = common.materialise(judged, "near-judged")
+    for done in (owners, classes, members, linked, heads, labels, *checked):
+        common.discard(done)
+    return judged
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, copy_of (smallest id with the same text) and class_id (of its near-duplicates)."""
-    rows, classes = _judge(docs, threshold)
-    out = rows.join(classes.toDF("d", "first", "head", "head_digest"), F.col("digest") == F.col("d"))
+    classes = _judge(docs, threshold).toDF("of_digest", "first", "head", "head_digest")
+    out = _plain(docs).select("doc", "digest").join(classes, F.col("digest") == F.col("of_digest"))
     plain_id = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(plain_id("doc").alias("doc_id"), plain_id("first").alias("copy_of"), plain_id("head").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: that with the smallest doc_id (one of its rows, if it has several)."""
-    rows, classes = _judge(docs, threshold)
-    heads = classes.where("digest = head_digest").select(F.col("doc").alias("__id"), F.col("digest").alias("__digest"))
-    several = rows.groupBy(F.col("doc").alias("__id"), F.col("digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n"))
-    found = common.materialise(heads.join(several, ["__id", "__digest"]), "near-kept")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__id")) & (F.md5(common.text_or_empty(docs)) == F.col("__digest"))
+    id_, digest, n = (common.free_name(docs, x) for x in ("kept_id", "kept_digest", "kept_n"))
+    heads = _judge(docs, threshold).where("digest = head_digest").select(F.col("doc").alias(id_), F.col("digest").alias(digest))
+    several = _plain(docs).groupBy(F.col("doc").alias(id_), F.col("digest").alias(digest)).agg(F.count(F.lit(1)).alias(n))
+    found = common.materialise(heads.join(several, [id_, digest]), "near-kept")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(id_)) & (F.unhex(F.md5(common.text_or_empty(docs))) == F.col(digest))
     kept = docs.join(found, same)
-    if found.where("__n > 1").isEmpty():
-        return kept.drop("__id", "__digest", "__n")
-    return kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__id", "__digest"])).drop("__id", "__digest", "__n")
+    if found.where(F.col(n) > 1).isEmpty():
+        return kept.drop(id_, digest, n)
+    return kept.where(F.col(n) == 1).unionByName(kept.where(F.col(n) > 1).dropDuplicates([id_, digest])).drop(id_, digest, n)
 
 
 def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,25 @@ def test_null_and_repeated_ids_are_judged_by_text(spark):
     assert got == [0, 1, 4, 6, *range(10, 15), *range(20, 23)]
     both = Counter(tuple(r) for r in neardups.find(spark.createDataFrame(rows, schema)).collect())
     assert both[8, 8, 3] == both[8, 8, 8] == both[1, 1, None] == both[2, 2, None] == 1 and both[7, 7, 7] == 3
+
+
+def test_blocks_of_a_torn_bucket(spark, monkeypatch):
+    """Two hubs with near copies around them, all in the same buckets: what the pivots leave is compared in blocks."""
+    monkeypatch.setattr(neardups, "BLOCK", 7)
+    rng = random.Random(6)
+    w = words(rng, 100, 10**6)
+    rows = []
+    for i in range(90):
+        v = list(w)
+        for _ in range(rng.randint(0, 6)):
+            v[rng.randrange(len(v))] = f"n{rng.randrange(30)}"
+        rows.append((i, " ".join(v)))
+    assert found(spark, rows) == brute(rows)
+    few = neardups._close(0.8)(iter([]))
+    assert list(few) == []
+
+
+def test_keep_one_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y"), (2, "a b c d e f", 3, 4, "y")], "doc_id long, text string, kept_n int, rep int, KEPT_ID string")
+    got = neardups.keep_one(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 1, 2, "x")]
