@@ -11,8 +11,8 @@ after every register's first. Two registers agree with the probability Jaccard s
      with its pivot, the text that meets most others, first in FIRST_BANDS bands, then in all of them.
   3. What is left are buckets with members of several components that aren't similar to the pivot. Their texts get a
      second sketch of LONG_REGISTERS, and a bucket goes to tasks in blocks of BLOCK members, two at a time; a task compares
-     sketches of different components, and gives out only those pairs that agree as often as a pair at the threshold can.
-     Blocks of the bucket's largest component aren't put together with each other.
+     sketches of different components, in the first band that a pair shares, and gives out only those pairs that agree as
+     often as a pair at the threshold can. Blocks of the bucket's largest component aren't put together with each other.
   4. Every pair is verified on the two whole texts: its exact probability Jaccard must reach the threshold.
   5. Verified links become components by minimum labels and pointer jumping, in joins.
 
@@ -50,6 +50,7 @@ NULL_ID = -(1 << 63)
 FIRST_BANDS = 6
 #: Step 3: registers of the second sketch, and members of a block.
 LONG_REGISTERS, BLOCK = 1024, 512
+TEXTS_A_TASK = 1000
 #: A pair at the threshold whose registers agree less than this many standard deviations below it has a chance of 3e-7.
 DEVIATIONS = 5
 EDGES = "a long, b long"
@@ -137,19 +138,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _close(threshold: float):
-    """Pairs of different labels whose sketches agree often enough, of the blocks in each task (h, i, j)."""
+    """Pairs of different labels whose long sketches agree often enough, of the blocks in each task (h, i, j).
+
+    A pair that shares several bands is in as many buckets, which are all torn; only the first one looks at it.
+    """
     least = LONG_REGISTERS * threshold - DEVIATIONS * (LONG_REGISTERS * threshold * (1 - threshold)) ** 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            _, i, j, block, rep, label = (group.column(k).to_numpy() for k in range(6))
-            sketch = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(-1, LONG_REGISTERS)
+            _, i, j, block, rep, label, band = (group.column(k).to_numpy() for k in range(7))
+            bands, sketch = (np.frombuffer(b"".join(group.column(k).to_pylist()), np.uint8).reshape(len(group), -1) for k in (7, 8))
             left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             found = [np.zeros((0, 2), np.int64)]
             for k in left.tolist():
                 others = right[label[right] != label[k]]
                 if i[0] == j[0]:
                     others = others[others > k]
+                shared = (bands[others] == bands[k]).reshape(-1, BANDS, ROWS).all(2)
+                others = others[shared.argmax(1) == band[0]]
                 near = others[np.count_nonzero(sketch[others] == sketch[k], 1) >= least]
                 found.append(np.stack([np.minimum(rep[near], rep[k]), np.maximum(rep[near], rep[k])], 1))
             pairs = np.concatenate(found)
@@ -252,12 +258,12 @@ def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _members(classes: DataFrame, n_bands: int, labels: DataFrame | None) -> DataFrame:
-    """(h, rep, label): the texts of the buckets, of the first n_bands, whose texts are in several components."""
+    """(h, rep, label, band): the texts of the buckets, of the first n_bands, whose texts are in several components."""
     keys = _labelled(classes, labels).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(n_bands - 1))))
-    keys = keys.select(F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("h"), "rep", "label")
+    keys = keys.select("band", F.xxhash64("band", F.substring("sketch", F.col("band") * ROWS + 1, F.lit(ROWS))).alias("h"), "rep", "label")
     torn = keys.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     torn = common.materialise(torn.select(F.col("h").alias("bucket")), "near-torn")
-    members = common.materialise(keys.join(_bounded(torn, torn.count()), F.col("h") == F.col("bucket")).select("h", "rep", "label"), "near-members")
+    members = common.materialise(keys.join(_bounded(torn, torn.count()), F.col("h") == F.col("bucket")).select("h", "rep", "label", "band"), "near-members")
     common.discard(torn)
     return members
 
@@ -281,14 +287,17 @@ def _sizes(members: DataFrame) -> DataFrame:
     return members.select("rep", "label").distinct().groupBy(F.col("label").alias("sized")).agg(F.count(F.lit(1)).alias("size"))
 
 
-def _left_over(members: DataFrame, plain: DataFrame, owners: DataFrame, threshold: float) -> DataFrame:
+def _left_over(members: DataFrame, classes: DataFrame, plain: DataFrame, owners: DataFrame, threshold: float) -> DataFrame:
     """(a, b): the pairs of different components that share a bucket and whose second sketches agree (step 3)."""
     of_bucket = members.join(_sizes(members), F.col("label") == F.col("sized"))
     best = of_bucket.groupBy("h").agg(F.max(F.struct("size", (-F.col("label")).alias("label"))).alias("best"), F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
     torn = best.where("least < most").select(F.col("h").alias("bucket"), (-F.col("best.label")).alias("low"), "n")
-    left = common.materialise(members.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label", "n", (F.col("label") == F.col("low")).alias("inside")), "near-left-over")
+    left = common.materialise(members.join(torn, F.col("h") == F.col("bucket")).select("h", "rep", "label", "band", "n", (F.col("label") == F.col("low")).alias("inside")), "near-left-over")
     texts = _texts_of(left.select("rep").distinct(), plain, owners)
-    sketches = common.materialise(texts.select("rep", "text").mapInArrow(_sign(LONG_REGISTERS), "rep long, sketch binary").withColumnRenamed("rep", "of"), "near-long")
+    # Long sketches are dear for their bytes, so texts are dealt to tasks by number.
+    dealt = texts.select("rep", "text").repartition(max(1, -(-texts.count() // TEXTS_A_TASK)))
+    sketches = dealt.mapInArrow(_sign(LONG_REGISTERS), "rep long, sketch binary").toDF("of", "long_sketch")
+    sketches = common.materialise(sketches.join(classes, F.col("of") == F.col("rep")).select("of", F.col("sketch").alias("short"), "long_sketch"), "near-long")
     common.discard(texts)
     outside = left.groupBy("h").agg(F.count_if(~F.col("inside")).alias("n_out")).withColumnRenamed("h", "bucket")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
@@ -298,7 +307,7 @@ def _left_over(members: DataFrame, plain: DataFrame, owners: DataFrame, threshol
     dealt = dealt.withColumn("inside", F.col("inside") & ~one).withColumn("block", F.when(F.col("inside"), number(F.col("n_low"))).otherwise(F.col("n_low") + number(F.col("n_out"))))
     other = F.explode(F.sequence(F.when(F.col("inside"), F.col("n_low")).otherwise(F.lit(0)), F.col("n_low") + F.col("n_out") - 1))
     tasks = dealt.join(sketches, F.col("rep") == F.col("of")).withColumn("other", other)
-    tasks = tasks.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "sketch")
+    tasks = tasks.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "band", "short", "long_sketch")
     pairs = common.materialise(tasks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_close(threshold), EDGES), "near-close")
     for done in (left, sketches):
         common.discard(done)
@@ -377,7 +386,7 @@ def _judge(docs: DataFrame, threshold: float) -> DataFrame:
         members = _members(classes, n_bands, labels)
         link(_pivots(members))
     # Buckets that were in one piece stay so: their members with the labels of now are all that is left.
-    link(_left_over(_labelled(members.drop("label"), labels), plain, owners, threshold))
+    link(_left_over(_labelled(members.drop("label"), labels), classes, plain, owners, threshold))
 
     labels = labels if labels is not None else docs.sparkSession.createDataFrame([], "doc long, label long")
     linked = owners.join(labels.toDF("linked", "label"), F.col("rep") == F.col("linked"), "left").select("digest", "doc", "label")
