@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clinframe.functions import numbers
+from clinframe.functions import texts
 
 #: Codes in report order, and the default unit of each.
 CBC_UNITS = {
@@ -14,57 +16,93 @@ CBC_UNITS = {
     "MONO#": "10^3/uL", "MONO%": "%", "EO#": "10^3/uL", "EO%": "%", "BASO#": "10^3/uL", "BASO%": "%", "IG#": "10^3/uL", "IG%": "%",
 }
 CBC_ORDER = list(CBC_UNITS)
+#: Other spellings that name a test by themselves, and prefixes of the differential count.
+ALIASES = [
+    "HB", "RDW", "RDWSD", "RDWCV", "PLCR", "NRBC", "NEUT", "LYMPH", "MONO", "EO", "EOS#", "EOS", "EOS%", "BASO", "IG", "GLU", "GLUCOSE", "GLUCOZA", "GLICEMIE", "CREATININA",
+    "CREATININE", "UREE", "UREA", "BUN", "ALT", "ALAT", "TGP", "AST", "ASAT", "TGO", "GGT", "TSH", "CRP", "HDL", "LDL",
+]
 PREFIXES = ["NRBC", "NEUT", "LYMPH", "MONO", "EO", "BASO", "IG"]
+#: Codes that have no reference range.
+NO_REFERENCE = ["NRBC#", "NRBC%", "IG#", "IG%"]
+#: Units of spellings that aren't in report order.
+MORE_UNITS = {"HB": "g/dL", "RDW": "%", "NRBC": "10^3/uL", "NEUT": "10^3/uL", "LYMPH": "10^3/uL", "MONO": "10^3/uL", "EO": "10^3/uL", "BASO": "10^3/uL", "IG": "10^3/uL"}
 RANGE = r"[0-9]+(?:\.[0-9]+)? *- *[0-9]+(?:\.[0-9]+)?"
-UNIT_ONLY = r"^(10\^[0-9]+/u?l|m?g/d?l|[um]mol/l|u?m?iu/m?l|u/l|fl|pg|%)$"
 
 
-def cbc_key(text: Column) -> Column:
-    """The code that text is, however it is spaced, else null."""
-    t = F.regexp_replace(F.upper(text), "[ .]", "")
-    t = F.regexp_replace(F.replace(t, F.lit("_"), F.lit("-")), "M[O0]N[O0]", "MONO")
-    out = F.when(t == "RDWSD", "RDW-SD").when(t == "RDWCV", "RDW-CV").when(t.isin("PLCR", "P-LCR%"), "P-LCR")
-    for p in PREFIXES:
-        out = out.when(t.rlike(f"^{p}.*#"), f"{p}#").when(t.rlike(f"^{p}.*%"), f"{p}%")
-    return out.when(t.isin(*CBC_ORDER), t)
+def _differential(t: Column) -> Column:
+    """Prefix and sign of a differential count, whatever stands between or behind them."""
+    prefix = F.regexp_extract(t, f"^({'|'.join(PREFIXES)})", 1)
+    sign = F.when(t.contains("#"), "#").otherwise("%")
+    return F.when(t.rlike("[#%]") & (prefix != ""), F.concat(prefix, sign)).when(t == "EOS", "EO").otherwise(t)
 
 
-def order_of(key: Column) -> Column:
-    """Place of a code in report order; 999 for others."""
-    at = F.array_position(F.array(*[F.lit(k) for k in CBC_ORDER]), key)
-    return F.when(at > 0, at).otherwise(F.lit(999)).cast("int")
+def _token_forms(parts: Column) -> Column:
+    """A test token without blanks and points, its usual misreadings mended."""
+    plain = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.translate(F.upper(x), "_", "-"), "[ .]", ""), "M0N[0O]|MON0", "MONO"))
+    return F.transform(plain, lambda t: F.when(t == "RDWSD", "RDW-SD").when(t == "RDWCV", "RDW-CV").when(t.isin("PLCR", "P-LCR%"), "P-LCR").otherwise(_differential(t)))
 
 
-def default_unit(key: Column) -> Column:
-    pairs = [F.lit(x) for kv in CBC_UNITS.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+def _cell_forms(parts: Column) -> Column:
+    """As _token_forms, but for table cells: also zeros read for O, and parts of P-LCR cut off."""
+    plain = F.transform(parts, lambda x: F.regexp_replace(F.translate(F.upper(x), "_", "-"), "[ .]", ""))
+    letters = F.transform(plain, lambda t: F.when(t.rlike("[A-Z]"), F.translate(t, "0", "O")).otherwise(t))
+    for fused, whole in (("RDWSD", "RDW-SD"), ("RDWCV", "RDW-CV"), ("PLCR", "P-LCR")):
+        letters = F.transform(letters, lambda t: F.replace(t, F.lit(fused), F.lit(whole)))  # noqa: B023
+    return F.transform(letters, lambda t: F.when(t.isin("-LCR", "LCR", "P-LCR%"), "P-LCR").otherwise(_differential(t)))
+
+
+def token_key(text: Column) -> Column:
+    """The form in which a test token of running text is known."""
+    return _token_forms(F.array(texts.clean(text)))[0]
+
+
+def normal_key(text: Column) -> Column:
+    """The form in which a test token of a table is known."""
+    return _cell_forms(F.array(texts.normal(text)))[0]
+
 
+def first_known(t: Column, forms: Callable[[Column], Column]) -> Column:
+    """The form of the whole text if it is a known test, else of the first of its parts that is one. t: cleaned text."""
+    parts = forms(F.concat(F.array(t), F.split(t, r"[\s:;|/]+")))
+    return F.try_element_at(F.filter(parts, lambda k: k.isin(*CBC_ORDER, *ALIASES)), F.lit(1))
 
-def is_range(text: Column) -> Column:
-    return numbers.plain_signs(text).rlike(RANGE)
 
+def detect_key(text: Column) -> Column:
+    """The test that a cell or line of a table names, else null."""
+    return texts.let(texts.normal(text), lambda t: first_known(t, _cell_forms))
 
-def is_result(text: Column) -> Column:
-    """One number and no range."""
-    return text.rlike(r"^[^0-9]*[0-9]+(?:[.,][0-9]+)?[^0-9]*$") & ~is_range(text) & cbc_key(text).isNull()
 
+def detect_token_key(text: Column) -> Column:
+    """The test that a piece of plain text names, else null."""
+    return texts.let(texts.clean(text), lambda t: first_known(t, _token_forms))
 
-def is_unit(text: Column) -> Column:
-    return F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("")).rlike(UNIT_ONLY)
 
+def merge_key(raw_name: Column, canonical: Column, display: Column) -> Column:
+    """What competing rows of one test share."""
+    return F.lower(normal_key(F.coalesce(texts.first_filled(raw_name, canonical, display), F.lit(""))))
 
-FLAG_WORDS = ["h", "high", "l", "low", "normal", "crescut", "scazut", "scăzut"]
-ROLES = ["test", "result", "reference", "unit", "flag"]
 
+def identity(raw_name: Column, canonical: Column, display: Column) -> Column:
+    """cbc:<code> for blood-count codes, else the first name that isn't empty, in lower case."""
+    code = cbc_code(raw_name)
+    return F.when(code.isNotNull(), F.concat(F.lit("cbc:"), F.lower(code))).otherwise(F.lower(F.trim(F.coalesce(texts.first_filled(raw_name, canonical, display), F.lit("")))))
 
-def role_scores(text: Column) -> dict[str, Column]:
-    """How much a cell looks like each column role."""
-    yes = lambda c, n: F.when(c, F.lit(float(n))).otherwise(0.0)
-    key, range_, unit = cbc_key(text).isNotNull(), is_range(text), is_unit(text)
-    return {
-        "test": yes(key, 12) + yes(text.rlike("[A-Za-z]") & ~text.rlike("[0-9]"), 1),
-        "result": yes(is_result(text), 7) + yes(range_, -7) + yes(unit, -4) + yes(key, -8),
-        "reference": yes(range_, 9) + yes(unit, 1.5) + yes(key, -8),
-        "unit": yes(unit, 7) + yes(range_, -2) + yes(key, -6),
-        "flag": yes(F.lower(F.trim(text)).isin(*FLAG_WORDS), 5),
-    }
+
+def cbc_code(text: Column) -> Column:
+    """The blood-count code that text is, however it is spaced, else null."""
+    t = F.regexp_replace(F.replace(F.upper(texts.clean_string(text)), F.lit("_"), F.lit("-")), "[ .]", "")
+    t = F.translate(t, "＃％", "#%")
+    t = F.when(t == "RDWSD", "RDW-SD").when(t == "RDWCV", "RDW-CV").when(t.isin("PLCR", "P-LCR%"), "P-LCR").otherwise(t)
+    return F.when(t.isin(*CBC_ORDER), t)
+
+
+def order_of(key: Column) -> Column:
+    """Place of a code in report order; 999 for others."""
+    at = F.array_position(F.array(*[F.lit(k) for k in CBC_ORDER]), key)
+    return F.when(at > 0, at).otherwise(F.lit(999)).cast("int")
+
+
+def default_unit(key: Column, more: dict[str, str] = MORE_UNITS) -> Column:
+    """The unit that a test has where none is named; with more = {} of codes in report order only."""
+    pairs = [F.lit(x) for kv in {**CBC_UNITS, **more}.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\r\n\f\x0B\x{A0}]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty, else null."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
@@ -21,6 +29,56 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, BLANKS, " "))
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters whose compatibility form (NFKC) is one other character, and that form: Latin, superscript, full-width, blanks."""
+    ranges = [range(0xA0, 0x250), range(0x2000, 0x200B), range(0x2070, 0x20A0), range(0xFF01, 0xFF5F)]
+    pairs = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for r in ranges for i in r]
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def normal(text: Column) -> Column:
+    """clean() with compatibility forms made plain, and Greek capitals that look like Latin ones replaced."""
+    t = F.translate(clean(text), *_compatible())
+    t = F.translate(t, "ΜΟΝΑΒΕΙΚΡΤΧμον", "MONABEIKPTXuov")
+    return F.trim(F.regexp_replace(t, BLANKS, " "))
+
+
+def clean_string(text: Column) -> Column:
+    """Plain dashes, collapsed blanks, no blanks, colons or semicolons at the ends; null for nothing."""
+    t = F.regexp_replace(F.translate(text, "−–—\ufeff", "---"), r"[\s\x{A0}]+", " ")
+    return F.nullif(F.regexp_replace(t, r"^[ ;:]+|[ ;:]+$", ""), F.lit(""))
+
+
+def clean_spaces(text: Column) -> Column:
+    """Header text on one line: pipes as blanks, no blanks, colons, semicolons or dashes at the ends; null for nothing."""
+    t = F.regexp_replace(F.translate(text, "|−–—", " ---"), r"[\s\x{A0}\x{FEFF}]+", " ")
+    return F.nullif(F.regexp_replace(t, r"^[ :;-]+|[ :;-]+$", ""), F.lit(""))
+
+
+def clean_block(text: Column) -> Column:
+    """Each line cleaned; empty lines dropped."""
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda l: F.trim(F.regexp_replace(l, r"[ \t\f\x0B\x{A0}\x{FEFF}]+", " ")))
+    return F.array_join(F.filter(lines, lambda l: l != ""), "\n")
+
+
+def section_of(blob: Column, marker: str) -> Column:
+    """What follows a marker line, up to the next one (--- WORDS ---); the whole text where the marker is missing."""
+    t = F.coalesce(blob, F.lit(""))
+    rest = F.element_at(F.split(t, _quoted(marker), 2), -1)
+    return F.when(t.contains(marker), F.element_at(F.split(rest, r"\n--- [A-Z ]+ ---", 2), 1)).otherwise(t)
+
+
+def _quoted(words: str) -> str:
+    return "\\Q" + words + "\\E"
+
+
+def lines_of(blob: Column, marker: str | None = None) -> Column:
+    """The non-empty normalised lines of a text, or of its section after a marker."""
+    t = section_of(blob, marker) if marker else F.coalesce(blob, F.lit(""))
+    return F.filter(F.transform(F.split(t, "\r\n|\r|\n"), normal), lambda l: l != "")
+
+
 def compact_key(text: Column) -> Column:
     """Only what tells names apart: a-z, 0-9, % and #."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9%#]", "")
@@ -31,6 +89,12 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, "ăâîșşțţĂÂÎȘŞȚŢáàäãåéèêëíìïóòôöõúùûüñçÁÀÄÃÅÉÈÊËÍÌÏÓÒÔÖÕÚÙÛÜÑÇ", "aaissttAAISSTTaaaaaeeeeiiiooooouuuuncAAAAAEEEEIIIOOOOOUUUUNC")
 
 
+def catalogue_name(text: Column) -> Column:
+    """A test name for matching: no accents, lower case, only letters, digits, % + # . / and dashes."""
+    t = F.regexp_replace(F.translate(F.lower(strip_accents(text)), "_:", "  "), r"[^a-z0-9%+#./ -]", " ")
+    return F.trim(F.regexp_replace(t, " +", " "))
+
+
 def preview(text: Column, n: int = 180) -> Column:
     """The first n characters, with dots if there are more; null for empty."""
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(F.nullif(text, F.lit("")))
