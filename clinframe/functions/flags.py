@@ -40,3 +40,38 @@ def infer(value: Column, low: Column, high: Column) -> Column:
     a, b = F.least(low, high), F.greatest(low, high)
     known = value.isNotNull() & low.isNotNull() & high.isNotNull()
     return F.when(known, F.when(value < a, "Low").when(value > b, "High").otherwise("Normal"))
+
+
+#: What pages take for no result.
+PAGE_NIL = ["", "nil", "null", "none", "n/a", "na", "-", "--", "---", "—", "–"]
+
+
+def page_nil(value: Column) -> Column:
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return v.isin(*PAGE_NIL) | v.rlike("^-+$")
+
+
+def page_abnormal(value: Column, flag: Column) -> Column:
+    """Abnormal on a document's page: by its word, and never where there is no value."""
+    return ~page_nil(value) & ui_abnormal(flag)
+
+
+def differs_from_normal(flag: Column, exact: bool = False) -> Column:
+    """Abnormal on a trend: any flag but Normal; exact compares the case too."""
+    f = F.coalesce(flag, F.lit(""))
+    return (f != "") & ((f != "Normal") if exact else (F.lower(f) != "normal"))
+
+
+def style(value: Column, flag: Column) -> Column:
+    """nil, none, normal, abnormal or other."""
+    w = _word(F.coalesce(flag, F.lit("")))
+    return F.when(page_nil(value), "nil").when(w == "", "none").when(w == "normal", "normal").when(w.isin(*UI_ABNORMAL), "abnormal").otherwise("other")
+
+
+def shown_value(value: Column) -> Column:
+    return F.when(page_nil(value), "nil").otherwise(value)
+
+
+def saved_flag(value: Column, reference: Column, flag: Column) -> Column:
+    """A flag is saved only beside a value and a range."""
+    return F.when(~page_nil(value) & (F.trim(F.coalesce(reference, F.lit(""))) != ""), flag)

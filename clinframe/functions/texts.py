@@ -89,6 +89,11 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, "ăâîșşțţĂÂÎȘŞȚŢáàäãåéèêëíìïóòôöõúùûüñçÁÀÄÃÅÉÈÊËÍÌÏÓÒÔÖÕÚÙÛÜÑÇ", "aaissttAAISSTTaaaaaeeeeiiiooooouuuuncAAAAAEEEEIIIOOOOOUUUUNC")
 
 
+def strip_accents_ro(text: Column) -> Column:
+    """Romanian letters without their accents, case kept."""
+    return F.translate(text, "ăĂâÂîÎșȘşŞțȚţŢ", "aAaAiIsSsStTtT")
+
+
 def catalogue_name(text: Column) -> Column:
     """A test name for matching: no accents, lower case, only letters, digits, % + # . / and dashes."""
     t = F.regexp_replace(F.translate(F.lower(strip_accents(text)), "_:", "  "), r"[^a-z0-9%+#./ -]", " ")
@@ -109,13 +114,54 @@ def title_of(section: Column) -> Column:
     return F.initcap(F.replace(section, F.lit("_"), F.lit(" ")))
 
 
-def ocr_quality(text: Column, keywords: list[str]) -> Column:
-    """0 .. 1 from length, letters, digits, lines and keywords found."""
-    low = F.lower(text)
-    letters = F.length(F.regexp_replace(low, r"[^a-z\x{C0}-\x{24F}]", ""))
-    digits = F.length(F.regexp_replace(low, "[^0-9]", ""))
-    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
-    hits = sum((F.when(low.contains(k), 1).otherwise(0) for k in keywords), F.lit(0))
-    part = lambda x, full: F.least(x / F.lit(float(full)), F.lit(1.0))
-    score = part(F.length(text), 800) * 0.25 + part(letters, 300) * 0.2 + part(digits, 80) * 0.2 + part(lines, 20) * 0.15 + part(hits, 4) * 0.2
-    return F.when(F.trim(text) == "", F.lit(0.0)).otherwise(F.least(F.round(score, 2), F.lit(1.0)))
+#: Words that laboratory reports hold.
+LAB_WORDS = [
+    "hemoglobin", "hemoglobina", "hemoglobină", "leucocyte", "leukocyte", "leucocite", "eritrocite", "creatinina", "creatinine", "glucoza", "glucose", "colesterol", "cholesterol", "trigliceride", "triglycerides",
+    "tsh", "alt", "ast", "wbc", "rbc", "hgb", "hct", "plt", "mcv", "mch", "mchc", "neut", "lymph", "mono",
+]
+
+
+def ocr_quality(text: Column, keywords: list[str] = LAB_WORDS) -> Column:
+    """score (0 .. 1), level and warnings of a scanned text: steps of length, letters, digits, lines and words of reports."""
+
+    def judged(t: Column) -> Column:
+        count = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
+        lines = F.size(F.filter(F.split(t, "\r\n|\r|\n"), lambda x: F.trim(x) != ""))
+        hits = texts_hits(F.lower(t), keywords)
+        step = lambda *cases: F.coalesce(*[F.when(c, F.lit(n)) for c, n in cases], F.lit(0.0))
+        n = F.length(t)
+        score = step((n >= 200, 0.25), (n >= 80, 0.15)) + step((count(r"\p{L}") >= 80, 0.2)) + step((count("[0-9]") >= 10, 0.2)) + step((lines >= 5, 0.15)) + let(hits, lambda h: step((h >= 3, 0.2), (h >= 1, 0.1)))
+        return let(F.when(t == "", F.lit(0.0)).otherwise(F.round(score, 2)), lambda s: F.struct(s.alias("score"), level_of(t, s).alias("level"), warning_of(t, s).alias("warning")))
+
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), judged)
+
+
+def texts_hits(low: Column, keywords: list[str]) -> Column:
+    return sum((F.when(low.contains(k), 1).otherwise(0) for k in keywords), F.lit(0))
+
+
+def level_of(t: Column, score: Column) -> Column:
+    return F.when(t == "", "empty").when(score >= 0.7, "high").when(score >= 0.4, "medium").otherwise("low")
+
+
+def warning_of(t: Column, score: Column) -> Column:
+    low, moderate = "Text quality appears low. Manual review is recommended.", "Text quality is moderate. Some fields may need review."
+    return F.when(t == "", "No text could be extracted from this document.").when(score < 0.4, low).when(score < 0.7, moderate)
+
+
+def pretty(words: Column) -> Column:
+    """Underscores as blanks, words capitalised."""
+    return F.initcap(F.replace(words, F.lit("_"), F.lit(" ")))
+
+
+def or_dash(value: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit("—"))
+
+
+def document_title(report_name: Column, filename: Column, id_: Column) -> Column:
+    return F.coalesce(first_filled(report_name, filename), F.concat(F.lit("Document "), id_.cast("string")))
+
+
+def joined(*parts: Column, none: str = "Unknown") -> Column:
+    """Parts that aren't empty, with dots between them; `none` for none."""
+    return F.coalesce(F.nullif(F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), " · "), F.lit("")), F.lit(none))

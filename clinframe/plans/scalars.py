@@ -118,7 +118,8 @@ KEYWORDS = ["result", "the", "test", "que", "die"]
 
 
 def ocr_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", texts.ocr_quality(F.col("text"), KEYWORDS).alias("score"))
+    q = read(spark, sf_dir, "documents").select("doc_id", texts.ocr_quality(F.col("text"), KEYWORDS).alias("q"))
+    return q.select("doc_id", "q.score", "q.level", "q.warning")
 
 
 _PLAIN = "translate(text, ',−–—', '.---')"
@@ -153,8 +154,10 @@ ORACLE = {
       SELECT l_orderkey, CASE WHEN len(c) = 1 THEN c[1] ELSE array_to_string(c[1:len(c) - 1], ', ') || ' & ' || c[len(c)] END || ' 02 Mar 2024' AS title FROM c""",
     "text_clean": """SELECT doc_id, md5(trim(regexp_replace(translate(replace(translate(text, chr(65279) || '�Â', ''), 'â€', ''), 'µμ−–—＃％︱|ΜΟΝ', 'uu---#%  MON'), '[ \\t\\r\\n\\f\\x0B\\x{A0}]+', ' ', 'g'))) AS clean_md5,
       length(regexp_replace(lower(text), '[^a-z0-9%#]', '', 'g'))::INT AS key_length, CASE WHEN length(text) > 180 THEN left(text, 180) || '...' ELSE nullif(text, '') END AS preview FROM documents""",
-    "ocr_quality_score": f"""WITH x AS (SELECT doc_id, text, lower(text) AS t FROM documents), y AS (SELECT doc_id, text, length(text) AS n, length(regexp_replace(t, '[^a-z\\x{{C0}}-\\x{{24F}}]', '', 'g')) AS letters,
-        length(regexp_replace(t, '[^0-9]', '', 'g')) AS digits, len(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')) AS lines, {' + '.join(f"contains(t, '{k}')::INT" for k in KEYWORDS)} AS hits FROM x)
-      SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0::DOUBLE ELSE least(round(least(n / 800.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + least(letters / 300.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE + least(digits / 80.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE
-        + least(lines / 20.0::DOUBLE, 1.0::DOUBLE) * 0.15::DOUBLE + least(hits / 4.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE, 2), 1.0::DOUBLE) END AS score FROM y""",
+    "ocr_quality_score": f"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters,
+        length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits, len(list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '')) AS lines, {' + '.join(f"contains(lower(t), '{k}')::INT" for k in KEYWORDS)} AS hits FROM x),
+      s AS (SELECT doc_id, t, CASE WHEN t = '' THEN 0 ELSE CASE WHEN n >= 200 THEN 25 WHEN n >= 80 THEN 15 ELSE 0 END + CASE WHEN letters >= 80 THEN 20 ELSE 0 END + CASE WHEN digits >= 10 THEN 20 ELSE 0 END + CASE WHEN lines >= 5 THEN 15 ELSE 0 END
+        + CASE WHEN hits >= 3 THEN 20 WHEN hits >= 1 THEN 10 ELSE 0 END END AS k FROM y)
+      SELECT doc_id, round(k / 100.0::DOUBLE, 2) AS score, CASE WHEN t = '' THEN 'empty' WHEN k >= 70 THEN 'high' WHEN k >= 40 THEN 'medium' ELSE 'low' END AS level,
+      CASE WHEN t = '' THEN 'No text could be extracted from this document.' WHEN k < 40 THEN 'Text quality appears low. Manual review is recommended.' WHEN k < 70 THEN 'Text quality is moderate. Some fields may need review.' END AS warning FROM s""",
 }

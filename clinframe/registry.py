@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from clinframe.plans import chart, extract, scalars
+from clinframe.plans import chart, extract, rules, scalars
 
-QUERIES = {**chart.QUERIES, **scalars.QUERIES, **extract.QUERIES}
-ORACLE = {**chart.ORACLE, **scalars.ORACLE, **extract.ORACLE}
+QUERIES = {**chart.QUERIES, **scalars.QUERIES, **extract.QUERIES, **rules.QUERIES}
+ORACLE = {**chart.ORACLE, **scalars.ORACLE, **extract.ORACLE, **rules.ORACLE}
 FLAGSHIP = "trend_last5"
