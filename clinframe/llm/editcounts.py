@@ -200,13 +200,12 @@ def build(docs: DataFrame, vocabulary_path: str | None = None, out: str = "tree"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = textnum.byte_bpe(path)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            for a, b in textnum.chunks(texts):
-                chunk = textnum.Chunk(texts[a:b])
+            for a, b, texts in textnum.pieces(batch.column(at)):
+                chunk = textnum.Chunk(texts)
                 starts, ends = textnum.pretokens(chunk)
                 tokens = pool.count(chunk, starts, ends)
                 cut = np.searchsorted(starts, chunk.bounds)
-                trees = [new_tree(t, (ends - starts)[i:j], tokens[i:j]) for t, i, j in zip(texts[a:b], cut, cut[1:])]
+                trees = [new_tree(t, (ends - starts)[i:j], tokens[i:j]) for t, i, j in zip(texts, cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(trees, ARROW_TREE)], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, TREE)]))

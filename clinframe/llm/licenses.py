@@ -1,12 +1,13 @@
 """License scans by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to canonical form: lower case; copyright lines removed; equivalent spellings replaced by one;
-everything but letters, digits and non-ASCII characters turned into single spaces. Its SHA-256 is joined with the
+A text is brought to canonical form: lower case; copyright lines, a leading title and the marks of list items removed;
+equivalent spellings replaced by one; everything but letters, digits and non-ASCII characters turned into single spaces. Its SHA-256 is joined with the
 digests of known licences, made in the same way. So a licence is found whatever its line breaks, bullets, quotes,
 years and holders, and nothing else is: the whole text must be equal. Each line of a text is looked up too, for
 notices of one line; only lines as long as some known text can match, so only those are digested.
 
-The catalogue is a frame (license_id, text), counted before it is broadcast; a larger one is joined by a salted
+The built-in catalogue holds the short licences and common notices; long ones (GPL, LGPL, MPL, Apache-2.0 and so on) come from a
+folder of texts that read_catalogue() takes. A catalogue is a frame (license_id, text), counted before it is broadcast; a larger one is joined by a salted
 shuffle. Digests come once from the scan; they are kept in a scratch table and the texts aren't shuffled.
 
 Defined cases: null texts and texts whose canonical form is empty have a null digest and match nothing; repeated
@@ -31,6 +32,9 @@ EQUIVALENTS = [
     ("https://", "http://"), ("copyright owner", "copyright holder"),
 ]
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n©(]*(copyright[ \t]+(\(c\)|©|[0-9<\[])|copyright[ \t]*©|\(c\)[ \t]*(copyright|[0-9<\[])|©|all rights reserved[. \t]*(\n|$))[^\n]*"
+#: A first line that names a licence, and what begins a list item.
+TITLE = r"^[ \t\n]*(?:[^\n.]|\.[0-9]){0,60}\blicen[cs]e\b(?:[^\n.]|\.[0-9]){0,50}\n[ \t\n]*([^ \t\n])"
+MARK = r"(^|\n)[ \t]*(?:[*•-]+|\(?(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)])[ \t]+"
 NOT_KEPT = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
 _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
@@ -98,6 +102,36 @@ you use this software in a product, an acknowledgment in the product documentati
 required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works
+of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
+generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MIT notice": "Released under the MIT License.",
     "MIT notice, licensed": "Licensed under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -113,6 +147,8 @@ def canonical_lines(text: Column) -> Column:
     t = F.lower(text)
     marked = t.contains("copyright") | t.contains("(c)") | t.contains("©") | t.contains("all rights reserved")
     t = F.when(marked, F.regexp_replace(t, COPYRIGHT_LINE, "$1")).otherwise(t)
+    t = F.when(t.rlike(r"\blicen[cs]e\b"), F.regexp_replace(t, TITLE, "$1")).otherwise(t)
+    t = F.regexp_replace(t, MARK, "$1")
     for a, b in EQUIVALENTS:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.regexp_replace(t, NOT_KEPT, " ")
@@ -136,6 +172,12 @@ def default_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
 
 
+def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """The built-in texts and those of a folder of files <license_id>.txt."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("license_id"), F.col("value").alias("text"))
+    return default_catalogue(spark).unionByName(files)
+
+
 def scan(docs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     """docs without their text, with text_digest, license_id and line_licenses (sorted, comma-joined; '' for none)."""
     spark = docs.sparkSession
@@ -144,18 +186,19 @@ def scan(docs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
     fits = lambda x: F.length(x).between(least or 1, most or 0)
     rest = [c for c in docs.columns if c != "text"]
     out_digest, out_license, out_lines = (common.free_name(docs, c) for c in ("text_digest", "license_id", "line_licenses"))
-    lines = docs.select(*rest, canonical_lines(F.col("text")).alias("__lines"), F.xxhash64("text").alias("__text"))
-    parts = F.filter(F.transform(F.split("__lines", "\n"), lambda x: F.trim(x)), fits)
+    text, forms_at, parts_at, found, doc, hash_ = (common.free_name(docs, c) for c in ("scan_text", "scan_lines", "scan_parts", "scan_license", "scan_doc", "scan_hash"))
+    lines = docs.select(*rest, canonical_lines(F.col("text")).alias(forms_at), F.xxhash64("text").alias(text))
+    parts = F.filter(F.transform(F.split(forms_at, "\n"), lambda x: F.trim(x)), fits)
     digests = F.coalesce(F.array_distinct(F.transform(parts, lambda x: F.sha2(x, 256))), F.array().cast("array<string>"))
-    forms = common.materialise(lines.select(*rest, "__text", digest(one_line(F.col("__lines"))).alias(out_digest), digests.alias("__parts")), "license-digests")
+    forms = common.materialise(lines.select(*rest, text, digest(one_line(F.col(forms_at))).alias(out_digest), digests.alias(parts_at)), "license-digests")
     spread = F.xxhash64("doc_id")
-    known = known.drop("size").withColumnRenamed("license_id", "__license")
-    single = forms.select("doc_id", "__text", F.explode("__parts").alias("digest"))
-    hits = common.bounded_join(single, known, ["digest"], spread, n, 128, "inner").groupBy("doc_id", "__text").agg(F.array_join(F.array_sort(F.collect_set("__license")), ",").alias(out_lines))
-    hits = hits.withColumnsRenamed({"doc_id": "__doc", "__text": "__hash"})
-    whole = common.bounded_join(forms.drop("__parts"), known.withColumnRenamed("digest", out_digest), [out_digest], spread, n, 128).withColumnRenamed("__license", out_license)
-    joined = whole.join(hits, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
-    return joined.drop("__doc", "__hash", "__text").fillna("", [out_lines])
+    known = known.drop("size").withColumnRenamed("license_id", found)
+    single = forms.select("doc_id", text, F.explode(parts_at).alias("digest"))
+    hits = common.bounded_join(single, known, ["digest"], spread, n, 128, "inner").groupBy("doc_id", text).agg(F.array_join(F.array_sort(F.collect_set(found)), ",").alias(out_lines))
+    hits = hits.withColumnsRenamed({"doc_id": doc, text: hash_})
+    whole = common.bounded_join(forms.drop(parts_at), known.withColumnRenamed("digest", out_digest), [out_digest], spread, n, 128).withColumnRenamed(found, out_license)
+    joined = whole.join(hits, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(text) == F.col(hash_)), "left")
+    return joined.drop(doc, hash_, text).fillna("", [out_lines])
 
 
 def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +207,7 @@ def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_form(text: str) -> str:
     t = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '{TITLE}', '\\1'), '{MARK}', '\\1', 'g')"
     for a, b in EQUIVALENTS:
         t = f"replace({t}, '{a}', '{b}')"
     return f"regexp_replace({t}, '{NOT_KEPT}', ' ', 'g')"

@@ -44,8 +44,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget: floa
     if weights is None:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     else:
-        w = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("weight"))
-        sizes = sizes.join(w, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source").fillna(0.0, ["weight"])
+        w = weights.select(F.col("source").alias("of_source"), F.col("weight").cast("double").alias("weight"))
+        sizes = sizes.join(w, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").fillna(0.0, ["weight"])
     sizes = common.materialise(sizes, "mix-sizes")
     total, all_weight = sizes.where("bytes > 0").agg(F.sum("bytes"), F.sum("weight")).first()
     if not total or not all_weight:
@@ -64,15 +64,16 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget: floa
 def replicate(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs repeated to target weights and globally shuffled, with `copy` (from 1) and `shuffle_key` added."""
     copy, key = common.free_name(docs, "copy"), common.free_name(docs, "shuffle_key")
-    rates = common.materialise(source_rates(docs, weights, budget), "mix-rates").withColumnsRenamed({"rate": "__rate", "parts": "__parts", "cdf": "__cdf"})
+    rate, parts, cdf, times = (common.free_name(docs, c) for c in ("mix_rate", "mix_parts", "mix_cdf", "mix_times"))
+    rates = common.materialise(source_rates(docs, weights, budget), "mix-rates").withColumnsRenamed({"rate": rate, "parts": parts, "cdf": cdf})
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     joined = common.bounded_join(docs, rates, ["source"], F.xxhash64("doc_id"), rates.count(), 8 * (TERMS + 12), "inner")
-    draws = F.transform(F.sequence(F.lit(1), F.col("__parts")), lambda j: unit_interval(seed, doc, j))
-    counts = F.transform(draws, lambda u: F.size(F.filter("__cdf", lambda c: c <= u)))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: unit_interval(seed, doc, j))
+    counts = F.transform(draws, lambda u: F.size(F.filter(cdf, lambda c: c <= u)))
     n = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
-    repeated = joined.withColumn("__n", n).where("__n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    repeated = joined.withColumn(times, n).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     keyed = repeated.withColumn(key, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc, F.col(copy).cast("string"))))
-    return keyed.drop("__rate", "__parts", "__cdf", "__n").repartition(F.col(key)).sortWithinPartitions(key)
+    return keyed.drop(rate, parts, cdf, times).repartition(F.col(key)).sortWithinPartitions(key)
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,8 @@ WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS bytes FR
 totals AS (SELECT sum(bytes) AS total, count(*)::DOUBLE AS w FROM sizes WHERE bytes > 0),
 rated AS (SELECT source, CASE WHEN bytes > 0 THEN 1.0::DOUBLE * 1.0::DOUBLE / w * total / bytes ELSE 0.0::DOUBLE END AS rate FROM sizes, totals),
 parted AS (SELECT source, rate, greatest(1, ceil(rate / {PART_RATE}::DOUBLE))::INT AS parts FROM rated),
-pm AS (SELECT source, parts, k, exp(-(rate / parts)) * pow(rate / parts, k) / factorial(k::INT)::DOUBLE AS p
-       FROM parted, (SELECT unnest(range(0, 33))::INT AS k)),
+facts AS (SELECT unnest(range(0, {TERMS + 1}))::INT AS k, unnest([{', '.join(f'{x!r}::DOUBLE' for x in FACTORIALS)}]) AS f),
+pm AS (SELECT source, parts, k, exp(-(rate / parts)) * pow(rate / parts, k) / f AS p FROM parted, facts),
 cdf AS (SELECT source, parts, list(c ORDER BY k) AS cdf FROM (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pm) GROUP BY source, parts),
 drawn AS (SELECT d.*, c.cdf, unnest(range(1, c.parts + 1)) AS j FROM documents d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source),
 unis AS (SELECT *, (('0x' || substr(md5('{SEED}|' || doc_id || '|' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)}::DOUBLE AS u FROM drawn),

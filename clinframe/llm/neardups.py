@@ -108,9 +108,8 @@ def _sign(m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in textnum.chunks(texts, most=(1 << 20) // m):
-                of, h, count = shingles(texts[a:b])
+            for a, b, texts in textnum.pieces(batch.column(batch.num_columns - 1), most=(1 << 20) // m):
+                of, h, count = shingles(texts)
                 low = (textnum.mix(registers(b - a, of, h, count, m)) >> np.uint64(56)).astype(np.uint8)
                 has = np.bincount(of, minlength=b - a) > 0
                 sketches = pa.array([x.tobytes() if any_ else None for x, any_ in zip(low, has)], pa.binary())

@@ -203,10 +203,9 @@ def annotate(docs: DataFrame, rules: Rules | None = None, out: str = "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            langs = batch.column(lang_at).to_pylist() if lang_at >= 0 else [None] * len(texts)
-            for a, b in textnum.chunks(texts):
-                got = measure(texts[a:b], langs[a:b], rules)
+            langs = batch.column(lang_at).to_pylist() if lang_at >= 0 else [None] * len(batch)
+            for a, b, texts in textnum.pieces(batch.column(at)):
+                got = measure(texts, langs[a:b], rules)
                 fields = [pa.array(got[f.name], {T.LongType: pa.int64(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.StringType: pa.string()}[type(f.dataType)]) for f in RESULT]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.StructArray.from_arrays(fields, RESULT.names)], names)
 

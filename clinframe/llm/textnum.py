@@ -11,8 +11,10 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK = 1_000_000
+CHUNK = 300_000
 LONG = 64
 POOL, POOL_CHARS = 500_000, 8_000_000
 #: New hashes that are searched apart before they are merged.
@@ -80,6 +82,20 @@ def chunks(texts: list[str], limit: int = CHUNK, most: int = 1 << 16) -> Iterato
         yield first, len(texts)
 
 
+def pieces(column: pa.Array, limit: int = CHUNK, most: int = 1 << 16) -> Iterator[tuple[int, int, list[str]]]:
+    """Index ranges of a column of texts as in chunks(), by bytes, and each range's texts, null as empty.
+
+    Only one range's texts are Python strings at a time.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
+    first, size = 0, 0
+    for i, n in enumerate([*sizes, limit + 1]):
+        if i > first and (size + n > limit or i - first >= most):
+            yield first, i, [t or "" for t in column.slice(first, i - first).to_pylist()]
+            first, size = i, 0
+        size += n
+
+
 class Chunk:
     """Texts joined: code points, and where each text begins and ends."""
 

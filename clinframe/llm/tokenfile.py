@@ -6,7 +6,8 @@ A token file is a folder of two tables, both written and read by Spark:
   blocks  one row per block: part, block, start (ids before it), doc_ids, doc_tokens, n_ids, bits,
           checkpoints (bit offset of every CHECKPOINT-th id), crc32 of the block's ids
 
-Blocks hold whole documents in ascending doc_id order (ties: by text, nulls first), are coded with the one code
+Blocks hold whole documents in ascending order of doc_id, or of another column such as a shuffle key (ties: by id, then text,
+nulls first), are coded with the one code
 from the global counts, and are decoded independently of each other; inside a block the checkpoints let all
 CHECKPOINT-long lanes be decoded side by side.
 
@@ -63,9 +64,9 @@ def _raw_blocks(path: str, end_id: int):
 
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int32())), ("ids", pa.binary())])
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in textnum.chunks(texts):
-                for name, ids in zip(names[a:b], encode_texts(pool, texts[a:b], end_id)):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in textnum.pieces(batch.column(1)):
+                for name, ids in zip(names[a:b], encode_texts(pool, texts, end_id)):
                     docs.append(name)
                     held.append(ids)
                     size += len(ids)
@@ -125,10 +126,12 @@ def _code(lengths: bytes, before: dict[int, int]):
     return run
 
 
-def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = 0) -> None:
-    """Tokenise documents (doc_id, text) and write the token file at path."""
+def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = 0, order: str = "doc_id") -> None:
+    """Tokenise documents (doc_id, text) and write the token file at path, in ascending order of a column (then id, then text)."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"), F.col(order).alias("order")) if order != "doc_id" else docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
+    by = ["order", "doc_id"] if order != "doc_id" else ["doc_id"]
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
     raw = common.materialise(ordered.mapInArrow(_raw_blocks(vocabulary_path or vocabulary(), end_id), RAW), "token-ids", compression="zstd")
     counted = raw.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=-1) + 1, np.int64)
@@ -170,10 +173,10 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     return blocks.mapInArrow(_decode(bytes(head.lengths), head.checkpoint, digest), PER_DOC if digest else "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-def round_trip(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     path = common.scratch_path(spark, "token-file")
-    write(docs, path)
+    write(docs, path, order=order)
     return read(spark, path, digest=True)
 
 

@@ -5,10 +5,11 @@ segments of at most SEGMENT bytes. The first segment is the response record; con
 the origin's record id and their number, the last one with the total length. Each record is a gzip member; a task
 rolls on to a next archive beyond ARCHIVE bytes, so segments of one record may lie in several archives. Of pages
 with equal payloads of at least REVISIT bytes, the one with the largest page_id is stored and the others are
-revisit records that refer to it.
+revisit records that name its record id. A record's id is made of its page id, payload and address, so that a revisit can
+name a record that another task writes.
 
 read_archives() parses archives in parallel, puts segments together by origin id and number, verifies that none is
-missing or doubled and that the lengths add up to the total, removes the chunk framing, and compares the digest.
+missing or doubled and that the lengths add up to the total, removes the chunk framing, and compares the digest. A revisit is held against the response that it names.
 
 Archives are named by task attempt, and the manifest holds those of the attempts that ended well, so a lost executor
 leaves no archive that is read. They are written and read through pyarrow.fs, which must know the scheme of the
@@ -16,9 +17,11 @@ folder. A task holds one archive at a time. Spark moves page texts at most once
 occur twice are few enough to broadcast).
 
 Defined cases: a null html is an empty payload; null page ids are kept as null; repeated rows get records of
-their own, and those with the largest id of their payload are all responses; empty tables give an empty manifest;
+their own, and those with the largest id of their payload are all responses; rows that are equal in all columns have equal record ids,
+and are told apart by how often each of their segments occurs; empty tables give an empty manifest;
 columns other than page_id, url and html aren't read. status says what is wrong with a record: ok, incomplete (a
-segment is missing or the total differs), malformed (framing) or digest (payload differs).
+segment is missing or the total differs), malformed (framing), digest (payload differs, for a revisit from that of its response)
+or lost (the response that a revisit names is missing or not ok).
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ CHUNK = 8 << 10
 ARCHIVE = 16 << 20
 REVISIT = 1000
 MANIFEST = "path string, records long, bytes long"
-PART = "origin string, segment int, total long, warc_type string, page_id long, uri string, refers_to long, payload_bytes long, payload_digest string, status string, block binary"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, status string"
+PART = "origin string, segment int, total long, warc_type string, page_id long, uri string, refers string, payload_bytes long, payload_digest string, status string, block binary"
+RECORD = "origin string, page_id long, payload_bytes long, payload_digest string, record_type string, refers string, uri string, status string"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 HTTP_REVISIT = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,12 +85,20 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
-def page_records(record_id: str, page_id: int | None, uri: str, payload: bytes, sha1: bytes, refers_to: int | None, segment: int = SEGMENT) -> Iterator[bytes]:
+def record_id(page_id: int | None, uri: str, digest: str) -> str:
+    return f"<urn:page:{page_id}:{digest[:24]}{zlib.crc32(uri.encode()):08x}>"
+
+
+def address(page_id: int | None, url: str | None) -> str:
+    return "".join((url or "").split()) or f"urn:page:{page_id}"
+
+
+def page_records(record_id: str, page_id: int | None, uri: str, payload: bytes, sha1: bytes, refers_to: str | None, segment: int = SEGMENT) -> Iterator[bytes]:
     """The WARC records of one page."""
     common_ = [("WARC-Target-URI", uri), ("WARC-Date", DATE), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()), ("WARC-Payload-Length", len(payload))]
     typed = [("Content-Type", "application/http;msgtype=response")]
     if refers_to is not None:
-        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), *common_, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), *typed], HTTP_REVISIT)
+        yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id), *common_, ("WARC-Profile", PROFILE), ("WARC-Refers-To", refers_to), *typed], HTTP_REVISIT)
         return
     block = HTTP + frame_chunks(payload)
     pieces = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -121,17 +132,16 @@ def _write(folder: str, segment: int, archive: int):
             done.append((f"{folder}/{file}", n, size))
             held, size, n = [], 0, 0
 
-        k = 0
         for batch in batches:
-            for page_id, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                uri = "".join((url or "").split()) or f"urn:page:{page_id}"
-                for r in page_records(f"<urn:page:{page_id}:{name}-{k}>", page_id, uri, payload, bytes.fromhex(digest), refers, segment):
+            for page_id, url, payload, digest, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns)):
+                uri = address(page_id, url)
+                stored = None if refers is None else record_id(refers, address(refers, refers_url), digest)
+                for r in page_records(record_id(page_id, uri, digest), page_id, uri, payload, bytes.fromhex(digest), stored, segment):
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                     held.append(packer.compress(r) + packer.flush())
                     size, n = size + len(held[-1]), n + 1
                     if size >= archive:
                         close()
-                k += 1
         if held:
             close()
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, d)) for d in done], schema)
@@ -140,13 +150,14 @@ def _write(folder: str, segment: int, archive: int):
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest (hex) and refers_to: the page that stores an equal payload, null for stored ones."""
+    """page_id, url, payload, digest (hex), refers_to and refers_url: the page that stores an equal payload, null for stored ones."""
     html = common.text_or_empty(pages, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.cast("binary").alias("payload"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    twice = rows.where(F.col("size") >= REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    twice = rows.where(F.col("size") >= REVISIT).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("stored"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     twice = common.materialise(twice, "warc-twice")
     found = common.bounded_join(rows, twice, ["digest", "size"], F.xxhash64("page_id"), twice.count(), 80)
-    return found.select("page_id", "url", "payload", "digest", F.when(~F.col("stored").eqNullSafe(F.col("page_id")), F.col("stored")).alias("refers_to"))
+    other = F.col("stored").isNotNull() & ~F.col("stored.page_id").eqNullSafe(F.col("page_id"))
+    return found.select("page_id", "url", "payload", "digest", F.when(other, F.col("stored.page_id")).alias("refers_to"), F.when(other, F.col("stored.url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, archive: int = ARCHIVE) -> DataFrame:
@@ -206,7 +217,7 @@ def _promised(headers: dict[str, str]) -> str | None:
     return base64.b32decode(value).hex() if kind == "sha1" else None
 
 
-PART_ARROW = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("warc_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), ("block", pa.binary())])
+PART_ARROW = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("warc_type", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string()), ("block", pa.binary())])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +238,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row |= {"segment": int(number), "total": total and int(total), "block": block}
                 elif kind == "revisit":
                     size = h.get("warc-payload-length")
-                    row |= {"refers_to": _page(h.get("warc-refers-to")), "payload_bytes": size and int(size), "status": "ok"}
+                    row |= {"refers": h.get("warc-refers-to"), "payload_bytes": size and int(size), "status": "ok"}
                 else:
                     row["payload_bytes"], row["payload_digest"], row["status"] = payload_of(block, row["payload_digest"])
                 rows.append(row)
@@ -238,18 +249,25 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("status", pa.string())])
+    names = ["origin", "page_id", "payload_bytes", "payload_digest", "record_type", "refers", "uri", "status"]
+    schema = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()])))
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            parts = sorted(r["parts"], key=lambda p: p["segment"])
-            totals = {p["total"] for p in parts if p["total"] is not None}
+            # Equal rows have equal ids: then each of their segments is there as often, with one content.
+            copies: dict[int, list[dict]] = {}
+            for p in r["parts"]:
+                copies.setdefault(p["segment"], []).append(p)
+            n = len(copies[min(copies)])
+            same = all(len(c) == n and all(p["block"] == c[0]["block"] for p in c) for c in copies.values())
+            parts = [copies[k][0] for k in sorted(copies)]
+            totals = {p["total"] for p in r["parts"] if p["total"] is not None}
             block = b"".join(p["block"] for p in parts)
             promised = next((p["payload_digest"] for p in parts if p["payload_digest"]), None)
             got: tuple = (None, None, "incomplete")
-            if [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and totals == {len(block)}:
+            if same and sorted(copies) == list(range(1, len(parts) + 1)) and totals == {len(block)}:
                 got = payload_of(block, promised)
-            out.append({"page_id": r["page_id"], "payload_bytes": got[0], "payload_digest": got[1], "record_type": "response", "refers_to": None, "uri": r["uri"], "status": got[2]})
+            out += [{"origin": r["origin"], "page_id": r["page_id"], "payload_bytes": got[0], "payload_digest": got[1], "record_type": "response", "refers": None, "uri": r["uri"], "status": got[2]}] * (n if got[2] != "incomplete" else 1)
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
@@ -257,10 +275,21 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per record of the archives in a manifest (path, ...), segments put together."""
     n = max(1, manifest.count())
     parts = common.materialise(manifest.select("path").repartition(n).mapInArrow(_parse, PART), "warc-parts")
-    whole = parts.where("segment IS NULL").select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to", "uri", "status")
+    columns = ["origin", "page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers", "uri", "status"]
     piece = F.struct("segment", "total", "payload_digest", "block")
     grouped = parts.where("segment IS NOT NULL").groupBy("origin", "page_id", "uri").agg(F.collect_list(piece).alias("parts"))
-    return whole.unionByName(grouped.select("page_id", "uri", "parts").mapInArrow(_assemble, RECORD))
+    records = parts.where("segment IS NULL").select(*columns).unionByName(grouped.select("origin", "page_id", "uri", "parts").mapInArrow(_assemble, RECORD))
+    records = common.materialise(records, "warc-records")
+    common.discard(parts)
+    # A revisit is as good as the response that it names.
+    named = records.where("record_type = 'revisit'").select(F.col("refers").alias("named")).distinct()
+    stored = records.where("record_type = 'response' AND status = 'ok'").join(named, F.col("origin") == F.col("named"), "left_semi")
+    stored = common.materialise(stored.groupBy(F.col("origin").alias("stored")).agg(F.min("payload_digest").alias("stored_digest")), "warc-stored")
+    held = common.bounded_join(records, stored.withColumnRenamed("stored", "refers"), ["refers"], F.xxhash64("page_id"), stored.count(), 160)
+    revisit = F.col("record_type") == "revisit"
+    status = F.when(revisit & F.col("stored_digest").isNull(), "lost").when(revisit & (F.col("stored_digest") != F.col("payload_digest")), "digest").otherwise(F.col("status"))
+    page = F.regexp_extract("refers", "^<urn:page:([0-9-]+):", 1).try_cast("long")
+    return held.select("page_id", "payload_bytes", "payload_digest", "record_type", page.alias("refers_to"), "uri", status.alias("status"))
 
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,21 @@ def test_large_catalogue(spark, monkeypatch):
     monkeypatch.setattr(licenses.common, "BROADCAST_BYTES", 0)
     assert scanned(spark, [(1, "Licensed under CC BY 4.0", ""), (2, "x", "")])[0][1:] is not None
     assert sorted(scanned(spark, [(1, "Licensed under CC BY 4.0", ""), (2, "x", "")])) == [(1, "CC-BY-4.0 notice", "CC-BY-4.0 notice"), (2, None, "")]
+
+
+def test_titles_bullets_and_clashing_names(spark):
+    k = licenses.KNOWN
+    texts = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + k["MIT"]), ("MIT", "The MIT License (MIT)\nCopyright © 2019 B\n" + k["MIT"]), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + k["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")),
+        ("BSD-3-Clause", "Copyright 2001 C. All rights reserved.\n\n" + k["BSD-3-Clause"].replace("1.", "(a)").replace("2.", "(b)").replace("3.", "(c)")), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + k["BSL-1.0"]),
+        ("ISC", "ISC License\n" + k["ISC"]), (None, "A License\n"), (None, "A remark.\n" + k["MIT"]),
+    ]
+    docs = spark.createDataFrame([(i, t, "x", 7, "y") for i, (_, t) in enumerate(texts)], "doc_id long, text string, scan_text string, scan_doc int, digest string")
+    got = {r.doc_id: (r.license_id, r.scan_text, r.scan_doc, r.digest) for r in licenses.scan(docs).collect()}
+    assert got == {i: (want, "x", 7, "y") for i, (want, _) in enumerate(texts)}
+
+
+def test_catalogue_of_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Own License\n\nDo what is right, and only that.")
+    docs = spark.createDataFrame([(1, "do what is right and only that")], "doc_id long, text string")
+    assert licenses.scan(docs, licenses.read_catalogue(spark, str(tmp_path))).first().license_id == "Own-1.0"

@@ -58,6 +58,29 @@ def test_order_and_loss(spark, tmp_path):
     assert [r.status for r in warc.read_archives(archive(tmp_path, spark, wrong)).collect()] == ["digest"]
 
 
+def test_revisits_name_a_record_that_exists(spark, tmp_path):
+    import re
+
+    pages = spark.createDataFrame([(1, "http://a", "x" * 1500, ""), (2, "http://b", "x" * 1500, ""), (3, "http://c", "y", "")], SCHEMA)
+    manifest = warc.write_archives(pages, str(tmp_path / "w"))
+    heads = [h for m in manifest.collect() for h, _ in warc.parse_records(open(m.path, "rb").read())]
+    ids = {h["warc-record-id"] for h in heads}
+    assert len(ids) == 3 and [h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit"] == [True]
+    assert all(re.fullmatch(r"<urn:page:\d+:[0-9a-f]{32}>", i) for i in ids)
+
+
+def test_a_revisit_is_as_good_as_its_response(spark, tmp_path):
+    body = b"z" * 1200
+    sha = hashlib.sha1(body).digest()
+    stored, other = warc.record_id(5, "u", sha.hex()), warc.record_id(6, "u", sha.hex())
+    whole = lambda payload, id_=stored: list(warc.page_records(id_, 5, "u", payload, sha, None))
+    back = lambda named: list(warc.page_records(warc.record_id(1, "u", sha.hex()), 1, "u", body, sha, named))
+    status = lambda records: sorted((r.page_id, r.status) for r in warc.read_archives(archive(tmp_path, spark, records)).collect())
+    assert status(whole(body) + back(stored)) == [(1, "ok"), (5, "ok")]
+    assert status(whole(body) + back(other)) == [(1, "lost"), (5, "ok")]
+    assert status(whole(b"y" * 1200) + back(stored)) == [(1, "lost"), (5, "digest")]
+
+
 @pytest.mark.parametrize("body,payload", [
     (b"3\r\nabc\r\n0\r\n\r\n", b"abc"), (b"3;x=1\r\nabc\r\nA\r\n0123456789\r\n0\r\nT: 1\r\n\r\n", b"abc0123456789"), (b"0\r\n\r\n", b""),
     (b"3\r\nabcd\r\n0\r\n\r\n", None), (b"zz\r\n", None), (b"5\r\nab", None), (b"", None), (b"-1\r\n\r\n", None),
