@@ -1,9 +1,9 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
 The training texts are cut into shards of about SHARD_BYTES (whole texts; a longer one is a shard alone). A task
-makes the suffix array of a shard's words and looks up every test window in it by binary search: the window's
+makes the suffix array of a shard's words and looks up every distinct test window in it by binary search: the window's
 range in the array holds all its occurrences. Occurrences that go on along the same diagonal are joined to the
-longest verbatim matches. Nothing is shuffled; a hot passage only lengthens its ranges.
+longest verbatim matches, and items are named once for each match, not for each window. Nothing is shuffled; a hot passage only lengthens its ranges.
 
 Tests are taken in blocks of at most BLOCK_WORDS words, counted first; a block is what a task holds. With more
 than one block the texts go through one pass for each, and the passes' hits are joined row by row.
@@ -119,44 +119,92 @@ class Tests:
         return {k: v for k, v in self.__dict__.items() if k != "groups"}
 
     @cached_property
-    def groups(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(width, item of each window, its word in the item, its word hashes)."""
+    def groups(self) -> list["Windows"]:
         firsts, out = np.cumsum(self.counts) - self.counts, []
         for width in sorted({min(self.window, int(c)) for c in self.counts if c}):
             mine = np.flatnonzero(np.minimum(self.counts, self.window) == width)
             per = self.counts[mine] - width + 1
             at = textnum.ragged(firsts[mine], per)
-            out.append((width, np.repeat(mine, per), textnum.ragged(np.zeros(len(mine), np.int64), per), self.hashes[at[:, None] + np.arange(width)]))
+            out.append(Windows(width, np.repeat(mine, per), textnum.ragged(np.zeros(len(mine), np.int64), per), self.hashes[at[:, None] + np.arange(width)]))
         return out
 
-    def search(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Words per text; and of each occurrence: text, word in the text, item, word in the item, width."""
+    def search(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Words per text; of each found window text, word and width; of each match text, item, word in the item, word in the text and words.
+
+        A distinct window is searched once. Matches are made of runs of windows that the same items hold one after the
+        other, so an item is only named once for each run.
+        """
         hashes, counts = word_hashes(data, bounds)
         n_docs, n = len(counts), len(hashes)
         distinct, back = np.unique(hashes, return_inverse=True)
         doc = np.repeat(np.arange(n_docs), counts)
-        most = max((g[0] for g in self.groups), default=0)
+        most = max((g.width for g in self.groups), default=0)
         # One separator after each text, no two alike, so that no suffix is compared beyond its text.
         s = np.empty(n + n_docs + most, np.int64)
         s[np.arange(n) + doc] = back + 1
         s[np.cumsum(counts) + np.arange(n_docs)] = len(distinct) + 1 + np.arange(n_docs)
         s[n + n_docs :] = 0
-        sa, out = None, []
-        for width, item, item_at, windows in self.groups:
-            at = np.searchsorted(distinct, windows)
+        sa, hits, matches = None, [np.zeros((3, 0), np.int64)], [np.zeros((5, 0), np.int64)]
+        for g in self.groups:
+            at = np.searchsorted(distinct, g.distinct)
             at[at == len(distinct)] = 0
-            here = (distinct[at] == windows).all(1) if n else np.zeros(len(windows), bool)
-            if not here.any():
+            here = np.flatnonzero((distinct[at] == g.distinct).all(1)) if n else np.zeros(0, np.int64)
+            if not len(here):
                 continue
             if sa is None:
                 sa = suffix_array(s[: n + n_docs])
                 owner = np.repeat(np.arange(n_docs), counts + 1)
                 first = np.cumsum(counts + 1) - (counts + 1)
             lo, hi = ranges(s, sa, at[here] + 1)
-            slots = textnum.ragged(lo, hi - lo)
-            where = sa[slots]
-            out.append(np.stack([owner[where], where - first[owner[where]], np.repeat(item[here], hi - lo), np.repeat(item_at[here], hi - lo), np.full(len(where), width)]))
-        return counts, list(np.concatenate(out, 1)) if out else [np.zeros(0, np.int64)] * 5
+            where = sa[textnum.ragged(lo, hi - lo)]
+            window = np.repeat(here, hi - lo)
+            of, word = owner[where], where - first[owner[where]]
+            width = np.full(len(where), g.width)
+            hits.append(np.stack([of, word, width]))
+            (of, chain, shift), start, stop = joined_runs([of, g.chain[window], word - g.step[window]], word, width)
+            # The run's first window is as many steps into its chain as the run begins behind the chain's first word.
+            begins = g.at_step(chain, start - shift)
+            size = g.sizes[begins]
+            entry = textnum.ragged(g.firsts[begins], size)
+            again = np.repeat(np.arange(len(begins)), size)
+            matches.append(np.stack([of[again], g.item[entry], g.item_at[entry], start[again], (stop - start)[again]]))
+        return counts, list(np.concatenate(hits, 1)), list(np.concatenate(matches, 1))
+
+
+class Windows:
+    """The windows of one width: the distinct ones, and where each of them stands in which items.
+
+    Distinct windows are numbered by their first place. A chain is a row of them, each of which stands one word behind the
+    one before it in all items that hold it, and in no others.
+    """
+
+    def __init__(self, width: int, item: np.ndarray, item_at: np.ndarray, hashes: np.ndarray):
+        self.width = width
+        _, first, number = np.unique(hashes, axis=0, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        number = rank[number.reshape(-1)]
+        place = np.argsort(number, kind="stable")
+        self.distinct = hashes[np.sort(first)]
+        self.item, self.item_at = item[place], item_at[place]
+        self.sizes = np.bincount(number, minlength=len(first))
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        n = len(self.sizes)
+        linked = np.zeros(n, bool)
+        if n > 1:
+            linked[1:] = self.sizes[1:] == self.sizes[:-1]
+            of = np.flatnonzero(linked)
+            size = self.sizes[of]
+            here, before = textnum.ragged(self.firsts[of], size), textnum.ragged(self.firsts[of - 1], size)
+            follows = (self.item[here] == self.item[before]) & (self.item_at[here] == self.item_at[before] + 1)
+            if len(of):
+                linked[of] = np.logical_and.reduceat(follows, np.cumsum(size) - size)
+        self.chain = np.cumsum(~linked) - 1
+        self.heads = np.flatnonzero(~linked)
+        self.step = np.arange(n) - self.heads[self.chain] if n else np.zeros(0, np.int64)
+
+    def at_step(self, chain: np.ndarray, step: np.ndarray) -> np.ndarray:
+        return self.heads[chain] + step
 
 
 def joined_runs(keys: list[np.ndarray], start: np.ndarray, width: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -193,10 +241,10 @@ def _pass(tests: Tests, at: int, names: list[str], held: int | None):
             a = 0
             while a < len(text):
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_BYTES, "right")) - 1)
-                counts, (doc, doc_at, item, item_at, width) = tests.search(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                counts, (doc, doc_at, width), (of, item, item_at, word, size) = tests.search(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = b - a
                 (hit_doc,), start, end = joined_runs([doc], doc_at, width)
-                (span_doc, span_item, diagonal), at_word, stop = joined_runs([doc, item, doc_at - item_at], doc_at, width)
+                (span_doc, span_item, diagonal), at_word, stop = joined_runs([of, item, word - item_at], word, size)
                 part = batch.slice(a, n)
                 hits = _lists(n, hit_doc, [start, end], HIT)
                 spans = _lists(n, span_doc, [tests.names[span_item], at_word - diagonal, at_word, stop - at_word], SPAN)

@@ -80,3 +80,34 @@ def test_query(spark, sf_dir):
     assert len(rows) == len(texts) and any(r.contaminated for r in rows)
     for r in rows:
         assert tuple(r)[1:] == brute(texts[r.doc_id], items)
+
+
+def naive_spans(doc, items, window):
+    """All maximal equal runs of `window` words or more (or of a whole shorter item), by comparing every diagonal."""
+    d, out = words(doc), set()
+    for name, text in items:
+        w = words(text)
+        least = min(window, len(w))
+        for shift in range(-len(w), len(d)):
+            run = 0
+            for i in range(len(w) + 1):
+                if i < len(w) and 0 <= i + shift < len(d) and w[i] == d[i + shift]:
+                    run += 1
+                    continue
+                if least and run >= least:
+                    out.add((name, i - run, i - run + shift, run))
+                run = 0
+    return out
+
+
+def test_spans_of_shared_passages(spark):
+    """Items that share passages, at different places and of different lengths."""
+    rng = random.Random(8)
+    passage = [[f"p{k}x{i}" for i in range(9)] for k in range(4)]
+    text = lambda: " ".join(w for _ in range(rng.randint(0, 4)) for w in (rng.choice(passage)[rng.randint(0, 3) :] if rng.random() < 0.8 else [f"z{rng.randrange(5)}"]))
+    items = [(f"i{k:02d}", text()) for k in range(25)]
+    docs = [(i, text()) for i in range(40)]
+    found = decontam.annotate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=4).collect()
+    for r in found:
+        assert {tuple(s) for s in r.found.spans} == naive_spans(r.text, items, 4)
+        assert len({tuple(s) for s in r.found.spans}) == len(r.found.spans)
