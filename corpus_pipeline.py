@@ -2,12 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next one. All but the last return the columns of documents; after mixing, a document has as many rows
-as copies. The last one returns what the token file holds of each row, read back from it.
+as copies. The last one returns what the token file holds of each row, read back from it, in the shuffled order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clinframe.llm import common, decontam, mixing, neardups, quality, tokenfile
 
@@ -29,7 +30,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return tokenfile.round_trip(docs)
+    """The token file keeps the order of the mixture's files, which is the global shuffle."""
+    placed = docs.select("doc_id", "text", F.struct("_metadata.file_name", "_metadata.row_index").alias("place"))
+    return tokenfile.round_trip(placed, order="place")
 
 
 STAGES = [
