@@ -58,10 +58,15 @@ def test_stages(spark, sf_dir, tmp_path):
     t = Tokenizer.from_file(tokenfile.vocabulary())
     t.encode_special_tokens = True
     expected, start = [], 0
-    for i in sorted(copies.elements()):
+    # The file's order is that of the mixture's files, in which copies don't stand side by side.
+    order = [r.doc_id for r in spark.read.parquet(str(tmp_path / "3")).select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert Counter(order) == +copies and order != sorted(order)
+    for i in order:
         ids = [*t.encode(rows[i].text, add_special_tokens=False).ids, 0]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     last = corpus_pipeline.STAGES[4][1](spark, spark.read.parquet(str(tmp_path / "3")), sf_dir)
-    assert sorted(tuple(r) for r in last.collect()) == expected
-    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == expected
+    assert [tuple(r) for r in last.orderBy("start").collect()] == expected
+    run = corpus_pipeline.run(spark, sf_dir).orderBy("start").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in run) == sorted((i, n, c) for i, _, n, c in expected)
+    assert [r.start for r in run] == [sum(r.n_tokens for r in run[:k]) for k in range(len(run))]
