@@ -18,19 +18,29 @@ def section_or_other(section: Column) -> Column:
     return F.when(section.isin(*SECTIONS), section).otherwise("other")
 
 
+def abnormal_per_document(labs: DataFrame) -> DataFrame:
+    return labs.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_labs"), F.count_if(flags.worklist_abnormal(F.col("flag"))).alias("n_abnormal"))
+
+
 def labs_per_document(labs: DataFrame) -> DataFrame:
     abnormal = flags.worklist_abnormal(F.col("flag"))
     return labs.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_labs"), F.count_if(abnormal).alias("n_abnormal"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
 
 
+def with_counts(documents: DataFrame, labs: DataFrame) -> DataFrame:
+    """Documents with n_labs and n_abnormal, 0 where there are no labs."""
+    per = abnormal_per_document(labs).withColumnRenamed("document_id", "labs_of")
+    return documents.join(per, F.col("id") == F.col("labs_of"), "left").drop("labs_of").fillna(0, ["n_labs", "n_abnormal"])
+
+
 def with_labs(documents: DataFrame, labs: DataFrame) -> DataFrame:
-    """Documents with n_labs, n_abnormal and categories; 0 and empty where there are no labs."""
-    per = labs_per_document(labs).withColumnRenamed("document_id", "__doc")
-    return documents.join(per, F.col("id") == F.col("__doc"), "left").drop("__doc").fillna(0, ["n_labs", "n_abnormal"]).fillna("", ["categories"])
+    """with_counts() and categories, empty where there are no labs."""
+    per = labs_per_document(labs).withColumnRenamed("document_id", "labs_of")
+    return documents.join(per, F.col("id") == F.col("labs_of"), "left").drop("labs_of").fillna(0, ["n_labs", "n_abnormal"]).fillna("", ["categories"])
 
 
 def cards(documents: DataFrame, labs: DataFrame) -> DataFrame:
-    return with_labs(documents, labs).select(
+    return with_counts(documents, labs).select(
         "id", "patient_id", section_or_other(F.col("section")).alias("section"), (F.col("is_verified") == 1).alias("is_verified"), (F.col("n_abnormal") > 0).alias("has_abnormal"),
     )
 
@@ -62,7 +72,7 @@ def worklist_counts(documents: DataFrame, labs: DataFrame, access: DataFrame, re
 
     Both are the patient's totals less what the doctor has reviewed, so that documents aren't multiplied by doctors.
     """
-    per_doc = with_labs(documents, labs).select("id", "patient_id", "n_abnormal")
+    per_doc = with_counts(documents, labs).select("id", "patient_id", "n_abnormal")
     totals = per_doc.groupBy("patient_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_abnormal").alias("abnormal"))
     seen = reviews.join(per_doc, F.col("document_id") == F.col("id")).groupBy("doctor_user_id", "patient_id").agg(F.count(F.lit(1)).alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal"))
     joined = access.join(totals, "patient_id", "left").join(seen, ["doctor_user_id", "patient_id"], "left").fillna(0)
@@ -71,13 +81,23 @@ def worklist_counts(documents: DataFrame, labs: DataFrame, access: DataFrame, re
 
 
 def top_abnormal(documents: DataFrame, labs: DataFrame, access: DataFrame, reviews: DataFrame, n: int = 3) -> DataFrame:
-    """The n first abnormal labs of each (doctor, patient)'s documents not reviewed, newest document first."""
-    rest = ["lab_doctor_id" if c == "doctor_user_id" else c for c in LAB_ORDER if c not in ("test_date", "document_id")]
-    order = [F.col("document_id").desc(), *[F.col(c).asc() for c in rest]]
-    bad = labs.where(flags.worklist_abnormal(F.col("flag"))).withColumnRenamed("doctor_user_id", "lab_doctor_id")
-    of_patient = bad.join(documents.select("id", "patient_id"), F.col("document_id") == F.col("id")).drop("id")
-    todo = of_patient.join(access, "patient_id").join(reviews, ["doctor_user_id", "document_id"], "left_anti")
-    return todo.withColumn("place", F.row_number().over(Window.partitionBy("doctor_user_id", "patient_id").orderBy(*order))).where(F.col("place") <= n)
+    """The n first abnormal labs of each (doctor, patient)'s documents not reviewed, newest document first.
+
+    A document gives n labs at most. A patient's documents are one sorted array, which meets its doctors once: rows are doctors
+    by patients, not doctors by labs.
+    """
+    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
+    bad = labs.where(flags.worklist_abnormal(F.col("flag"))).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).where(F.col("rank") <= n)
+    lab = F.struct("rank", "document_id", "test_key", "flag")
+    per_doc = bad.groupBy("document_id").agg(F.array_sort(F.collect_list(lab)).alias("labs"))
+    of_patient = per_doc.join(documents.select("id", "patient_id"), F.col("document_id") == F.col("id"))
+    docs = of_patient.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("document_id")).alias("order"), "document_id", "labs"))).alias("docs"))
+    seen = reviews.join(of_patient.select("document_id", "patient_id"), "document_id").groupBy("doctor_user_id", "patient_id").agg(F.collect_set("document_id").alias("seen"))
+    joined = access.join(docs, "patient_id").join(seen, ["doctor_user_id", "patient_id"], "left")
+    new = F.filter("docs", lambda d: ~F.coalesce(F.array_contains("seen", d["document_id"]), F.lit(False)))
+    first = F.slice(F.flatten(F.transform(new, lambda d: d["labs"])), 1, n)
+    each = joined.select("doctor_user_id", "patient_id", F.posexplode(first).alias("place", "lab"))
+    return each.select("doctor_user_id", "patient_id", "lab.document_id", "lab.test_key", "lab.flag", (F.col("place") + 1).alias("place"))
 
 
 def care_context(patients: DataFrame, events: DataFrame) -> DataFrame:
@@ -112,9 +132,13 @@ def timeline_days(items: DataFrame) -> DataFrame:
 
 
 def first_page(rows: DataFrame, key: str, order: list[Column], n: int = 10) -> DataFrame:
-    """The first n rows of each key, and how many more there are."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("hidden_count", F.greatest(F.count(F.lit(1)).over(w) - n, F.lit(0))).where(F.col("place") <= n)
+    """The first n rows of each key, and how many more there are.
+
+    Rows are counted apart from the ranking, so that a partition keeps n rows of a key and not all.
+    """
+    sizes = rows.groupBy(F.col(key).alias("size_of")).agg(F.count(F.lit(1)).alias("size"))
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
+    return top.join(sizes, F.col(key).eqNullSafe(F.col("size_of"))).withColumn("hidden_count", F.greatest(F.col("size") - n, F.lit(0))).drop("size_of", "size")
 
 
 def latest_state(events: DataFrame, key: str, order: list[Column]) -> DataFrame:

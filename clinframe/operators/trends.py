@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clinframe.functions import flags, numbers
+from clinframe.functions import flags, numbers, texts
 from clinframe.sources.bindings import LAB_ORDER
 
 
@@ -19,6 +19,18 @@ def points(labs: DataFrame, documents: DataFrame) -> DataFrame:
     return labs.join(docs, F.col("document_id") == F.col("__doc")).drop("__doc").withColumn("value_num", numbers.lab_value(F.col("value"))).where(F.col("value_num").isNotNull())
 
 
+def identity(canonical, display, raw):
+    """The name by which a test's points belong together."""
+    return texts.first_filled(canonical, display, raw)
+
+
+def first_seen(pts: DataFrame) -> DataFrame:
+    """(patient_id, test_key) with the display name and category of the first lab scanned, not of the latest."""
+    order = F.struct(*[F.col(c) for c in LAB_ORDER if c != "test_date"])
+    first = F.min_by(F.struct("display_name", "category"), order)
+    return pts.groupBy("patient_id", "test_key").agg(first.alias("first")).select("patient_id", "test_key", F.col("first.display_name").alias("display_name"), F.col("first.category").alias("category"))
+
+
 def recency_window():
     return Window.partitionBy("patient_id", "test_key").orderBy(*[F.col(c).desc() for c in LAB_ORDER])
 

@@ -57,7 +57,7 @@ def trend_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def worklist_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chart.worklist_counts(*_tables(spark, sf_dir, "documents", "lab_results", "access", "reviews"))
+    return chart.worklist_counts(*_tables(spark, sf_dir, "documents", "lab_flags", "access", "reviews"))
 
 
 def worklist_top3_abnormal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def worklist_care_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patient_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chart.cards(*_tables(spark, sf_dir, "documents", "lab_results"))
+    return chart.cards(*_tables(spark, sf_dir, "documents", "lab_flags"))
 
 
 def profile_section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +116,12 @@ FLAG_WORDS = ["High", " low ", "Normal", "n", "N ", "ok", "None", "within range"
 
 
 def any_abnormal_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.lab_results(spark, sf_dir).groupBy("document_id").agg(F.bool_or(flags.worklist_abnormal(F.col("flag"))).alias("any_abnormal"))
+    return bindings.lab_flags(spark, sf_dir).groupBy("document_id").agg(F.bool_or(flags.worklist_abnormal(F.col("flag"))).alias("any_abnormal"))
 
 
 def needs_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abnormal documents that the doctor hasn't reviewed, per patient."""
-    documents, labs, reviews = _tables(spark, sf_dir, "documents", "lab_results", "reviews")
+    documents, labs, reviews = _tables(spark, sf_dir, "documents", "lab_flags", "reviews")
     mine = reviews.where(F.col("doctor_user_id") == DOCTOR).select(F.col("document_id").alias("__d"))
     todo = chart.cards(documents, labs).where("has_abnormal").join(mine, F.col("id") == F.col("__d"), "left_anti")
     return todo.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_to_review"))
@@ -161,7 +161,7 @@ def first_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dml_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left per table after documents of status P are deleted with their labs and receipts."""
-    documents, labs, reviews = _tables(spark, sf_dir, "documents", "lab_results", "reviews")
+    documents, labs, reviews = _tables(spark, sf_dir, "documents", "lab_flags", "reviews")
     left = dml.delete_cascade(documents, {"labs": (labs, "document_id"), "reviews": (reviews, "document_id")}, documents.where("status = 'P'"))
     counts = [t.groupBy().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in left.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from clinframe.functions import keys
 from clinframe.operators import catalog, extraction, parsers
-from clinframe.sources.bindings import read
+from clinframe.sources.bindings import patients, read
 from clinframe.streaming import jobs
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
@@ -192,7 +192,35 @@ def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_complete(jobs.tumbling(jobs.read_events(spark, sf_dir)), "tumbling")
+    """Windows that the watermark has passed at the end of the stream; later ones are still open."""
+    return jobs.run_append(jobs.tumbling(jobs.read_events(spark, sf_dir)), "tumbling")
+
+
+def ext_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_append(jobs.sliding(jobs.read_events(spark, sf_dir)), "sliding")
+
+
+def ext_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.run_append(jobs.sessions(jobs.read_events(spark, sf_dir)), "session")
+
+
+def ext_stream_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = jobs.with_names(jobs.read_events(spark, sf_dir), patients(spark, sf_dir))
+    return jobs.run_append(named.select("event_id", "user_id", "full_name"), "named")
+
+
+def ext_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some are broken on the way, counted by reason; well-formed ones too."""
+    k = F.col("event_id")
+    broken = jobs.read_events(spark, sf_dir).withColumns({"event_type": F.when(k % 11 == 0, "??").otherwise(F.col("event_type")), "user_id": F.when(k % 13 == 0, None).otherwise(F.col("user_id"))})
+    bad = jobs.run_append(jobs.quarantined(broken).select("event_id", "reason"), "quarantine").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    good = jobs.run_append(jobs.valid(broken).select("event_id"), "valid").groupBy().agg(F.count(F.lit(1)).alias("n"))
+    return bad.unionByName(good.select(F.lit("valid").alias("reason"), "n"))
+
+
+def job_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = jobs.run_upsert(jobs.read_events(spark, sf_dir), "latest")
+    return jobs.stuck(states, F.to_timestamp(F.lit("2024-06-01 00:00:00"))).select("user_id", "event_id", "state")
 
 
 def job_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +253,7 @@ _FLAGGED = "CASE WHEN value IS NULL OR lo IS NULL THEN NULL WHEN value::DOUBLE <
 _RANGED = "CASE WHEN lo IS NOT NULL THEN least(lo, hi) || ' - ' || greatest(lo, hi) END AS reference_range"
 
 
-QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, ext_tumbling, job_completions)}
+QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, ext_tumbling, ext_sliding, ext_session, ext_stream_static, ext_quarantine, job_stuck, job_completions)}
 _MERGE = "WITH {items}, c AS (SELECT document, code, n, result, CASE WHEN n % 3 = 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS score FROM items) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document, code ORDER BY score DESC, n {tie}) = 1"
 ORACLE = {
     "table_roles": f"WITH {_SQL_ITEMS} SELECT DISTINCT document, (document % 4)::INT AS test, ((document + 1) % 4)::INT AS result, ((document + 2) % 4)::INT AS reference, ((document + 3) % 4)::INT AS unit, NULL::INT AS flag FROM items",
@@ -296,6 +324,14 @@ ORACLE = {
       SELECT document, string_agg(category, ',' ORDER BY coalesce(nullif(list_position({_sql_list(catalog.CATEGORY_ORDER)}, category), 0), 999), first) AS categories FROM g GROUP BY 1""",
     "json_props": "SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(props->>'k') AS n FROM events GROUP BY 1",
     "job_latest_state": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1",
-    "ext_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "ext_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2",
+    "ext_sliding": """WITH e AS (SELECT *, unnest([time_bucket(INTERVAL 1 hour, ts), time_bucket(INTERVAL 1 hour, ts) - INTERVAL 1 hour]) AS w FROM events)
+      SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE w + INTERVAL 2 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2""",
+    "ext_session": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minute THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 minute <= (SELECT max(ts) - INTERVAL 10 minute FROM events)""",
+    "ext_stream_static": "SELECT event_id, user_id, c_name AS full_name FROM events LEFT JOIN customer ON c_custkey = user_id",
+    "ext_quarantine": "SELECT CASE WHEN event_id % 13 = 0 THEN 'no user' WHEN event_id % 11 = 0 THEN 'unknown type' ELSE 'valid' END AS reason, count(*) AS n FROM events GROUP BY 1",
+    "job_stuck": "SELECT * FROM (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-06-01 00:00:00' - INTERVAL 1 hour) WHERE state IN ('click', 'view')",
     "job_completions": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase'",
 }

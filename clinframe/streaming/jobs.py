@@ -1,7 +1,8 @@
-"""Streams of job and chart events: latest state, windows, once-only completions.
+"""Streams of job and chart events: latest state, windows, once-only completions, stuck jobs, bad rows.
 
-Each stream is driven by availableNow and its result is a table written by foreachBatch, so that a batch replayed
-after a failure overwrites what it wrote before.
+Each stream is driven by availableNow. Aggregations with a watermark give out a window once it is over and forget it (append
+mode, file sink), so neither state nor output grows with the stream's age. Latest states are an upsert: foreachBatch merges
+a batch's last rows into a table of its own version, so that a batch replayed after a failure writes the same again.
 """
 
 from __future__ import annotations
@@ -12,16 +13,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a well-formed event has; others go to quarantine.
+VALID = "event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND event_type IN ('view', 'signup', 'error', 'click', 'purchase')"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clinframe-")
+    """A new folder below spark.checkpoint.dir. A local one only where that is unset and the session is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="clinframe-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of files: every Parquet file or folder of the name events*.parquet."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def valid(events: DataFrame) -> DataFrame:
+    return events.where(VALID)
+
+
+def quarantined(events: DataFrame) -> DataFrame:
+    """Events that aren't well-formed, with the reason; a sink of their own keeps them."""
+    reason = F.when(F.col("event_id").isNull(), "no id").when(F.col("user_id").isNull(), "no user").when(F.col("ts").isNull(), "no time").otherwise("unknown type")
+    return events.where(f"NOT coalesce({VALID}, false)").withColumn("reason", reason)
 
 
 def latest_state(events: DataFrame) -> DataFrame:
@@ -30,10 +49,34 @@ def latest_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(last.alias("last"), F.count(F.lit(1)).alias("n_events")).select("user_id", F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("state"), "n_events")
 
 
+def _windowed(events: DataFrame, window, late: str) -> DataFrame:
+    per = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return per.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and their value per window and type."""
-    per = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return per.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
+    """Events and their value per window and type; a window comes out when the watermark has passed it."""
+    return _windowed(events, F.window("ts", width), late)
+
+
+def sliding(events: DataFrame, width: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    return _windowed(events, F.window("ts", width, step), late)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """A user's events that follow each other within the gap."""
+    per = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+def with_names(events: DataFrame, patients: DataFrame) -> DataFrame:
+    """Events with their patient's name, from a table read anew with each batch."""
+    return events.join(patients.select(F.col("id").alias("p_id"), "full_name"), F.col("user_id") == F.col("p_id"), "left").drop("p_id")
+
+
+def stuck(states: DataFrame, at, after: str = "1 hour", active: tuple[str, ...] = ("click", "view")) -> DataFrame:
+    """Of latest states (user_id, event_id, state, ts) those that are active and haven't moved for a while."""
+    return states.where(F.col("state").isin(*active) & (F.col("ts") < at - F.expr(f"INTERVAL {after}")))
 
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
@@ -49,15 +92,36 @@ def run_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
 
+def run_upsert(events: DataFrame, name: str) -> DataFrame:
+    """The last event of each user, kept as a table of versions: batch n reads version n - 1 and writes version n.
+
+    Only a batch's own last rows meet the table; nothing is held between batches.
+    """
+    spark = events.sparkSession
+    path = scratch(spark, name)
+    columns = ["user_id", "event_id", "state", "ts"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.select("user_id", "event_id", F.col("event_type").alias("state"), "ts")
+        old = spark.read.parquet(f"{path}/v{batch_id - 1}").select(*columns) if batch_id else new.limit(0)
+        last = F.max(F.struct("ts", "event_id", "state")).alias("last")
+        new.unionByName(old).groupBy("user_id").agg(last).select("user_id", "last.event_id", "last.state", "last.ts").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+
+    q = events.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    newest = (q.lastProgress or {}).get("batchId", 0)
+    return spark.read.parquet(f"{path}/v{newest}")
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream of final rows over what is available now; the file sink commits each batch once."""
     spark = stream.sparkSession
     path = scratch(spark, name)
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def first_completions(events: DataFrame, late: str = "3650 days") -> DataFrame:
-    """Each user's purchases once per event id, however often the log repeats them."""
+def first_completions(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each user's purchases once per event id, however often the log repeats them within a day; ids are forgotten after it."""
     return events.where("event_type = 'purchase'").withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
