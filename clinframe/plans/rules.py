@@ -209,8 +209,71 @@ def ui_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy(*shown.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+def report_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of orders, their marks as anchors and polygons, rendered as tables, lines and tokens and joined to one text; and what was found, as a sentence."""
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    word = F.concat(F.lit("w"), F.col("p").cast("string"))
+    full = F.concat(word, F.lit(" x"))
+    mark = lambda start, end: F.struct(F.array(F.struct(start.alias("start"), end.alias("end"))).alias("segments"), F.array(*[F.struct(F.lit(x).alias("x"), (F.lit(y) - F.col("l_linenumber") * 0.1).alias("y")) for x, y in ((0.1, 0.7), (0.2, 0.8))]).alias("vertices"))
+    pages = l.select(F.col("l_orderkey").alias("document"), F.lit(0).alias("page"), full.alias("full_text"), F.lit(100.0).alias("width"), F.lit(200.0).alias("height"), F.array(mark(F.lit(0), F.length(word)), mark(F.length(word), F.length(word))).alias("tokens"))
+    tokens = extraction.flatten_marks(pages, "tokens")
+    cells_ = l.select(F.col("l_orderkey").alias("document"), F.lit(0).alias("page"), F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_no"), F.posexplode(F.array(word, F.lit("x"))).alias("cell_no", "text"))
+    lines, words_, tables = extraction.reading_order(tokens, "\n").toDF("document", "lines"), extraction.reading_order(tokens).toDF("d2", "tokens"), extraction.rendered_tables(cells_).toDF("d3", "tables")
+    both = lines.join(words_, F.col("document") == F.col("d2")).join(tables, F.col("document") == F.col("d3"))
+    text = extraction.assembled(F.when(F.col("document") % 2 == 0, "plain"), F.col("lines"), F.col("tables"), F.col("tokens"))
+    n = F.size(F.split("lines", "\n"))
+    return both.select("document", text.alias("text"), extraction.counts_line(n, F.lit(1), n, n).alias("found"), F.size(texts.lines_of(text, "--- TOKENS ---")).alias("n_token_lines"))
+
+
+AGES = ["years", "months"]
+
+
+def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How pages read, sort, key and label dates: day first, two-digit years, ISO only for strict keys; ages in words."""
+    o = read(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    forms = F.array(F.date_format(day, "d.M.yy"), F.date_format(day, "d/M/yyyy"), F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "dd MMM yyyy"), F.lit("soon"))
+    text = F.element_at(forms, (F.col("o_orderkey") % 5 + 1).cast("int"))
+    age = dates.age(F.to_date(day), F.to_date(F.lit("2002-06-15")))
+    none = F.lit(None).cast("string")
+    label = dates.date_label(F.when(F.col("o_orderkey") % 4 == 0, text), F.when(F.col("o_orderkey") % 4 == 1, text), F.when(F.col("o_orderkey") % 4 == 2, text), none)
+    return o.select("o_orderkey", dates.page_time(text).alias("page_time"), dates.iso_key(text).alias("iso_key"), dates.date_key(F.when(F.col("o_orderkey") % 3 > 0, day)).alias("date_key"), label.alias("label"), dates.age_label(age).alias("age"))
+
+
+def name_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a lab's names worklists, trends and pages show, its trend key and its merge key."""
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k")).distinct()
+    some = lambda n, word: F.when(F.col("k") % n == 0, None).when(F.col("k") % n == 1, "").otherwise(F.concat(F.lit(word), (F.col("k") % 10).cast("string")))
+    raw, canonical, display = F.when(F.col("k") % 7 == 3, "rdw sd").otherwise(some(3, "r")), some(4, "C"), some(5, "d")
+    return l.select(
+        "k", texts.first_filled(display, raw, canonical).alias("worklist"), texts.first_filled(canonical, display, raw).alias("trend_key"), texts.first_filled(display, canonical, raw).alias("page"), keys.identity(raw, canonical, display).alias("identity"),
+        keys.merge_key(raw, canonical, display).alias("merge_key"),
+    )
+
+
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of responses: their own, or their parts line by line."""
+    q = read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").cast("string").alias("q")).distinct()
+    forms = ['{"output_text": "a{q}"}', '{"output": [{"content": [{"type": "text", "text": "b{q}"}, {"type": "image", "text": "no"}, {"type": "output_text", "text": "c"}]}, {"content": null}]}', '{"other": "{q}"}', "no json {q}"]
+    pieces = lambda f: [x for part in f.split("{q}") for x in (F.lit(part), F.col("q"))][:-1]
+    made_ = q.select(F.explode(F.array(*[F.concat(*pieces(f)) for f in forms])).alias("response"))
+    return made_.select("response", F.coalesce(payloads.answer_text(F.col("response")), F.lit("")).alias("text"))
+
+
+def ui_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initials, pretty names, dashes and titles of pages."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(F.lit("mark_reviewed_late"), F.lit(" "), F.lit("edited")), (k % 3 + 1).cast("int"))
+    name = F.element_at(F.array(F.lit("ana maria pop"), F.lit(" dan "), F.lit("")), (k % 3 + 1).cast("int"))
+    return o.select(
+        "o_orderkey", texts.initials(name).alias("initials"), texts.pretty(F.trim(status)).alias("action"), texts.or_dash(status).alias("shown"), texts.document_title(F.when(k % 2 == 0, "R"), F.when(k % 3 == 0, "f.pdf").otherwise(""), k).alias("title"),
+        texts.joined(F.when(k % 2 == 0, "A"), F.when(k % 3 == 0, "B")).alias("uploader"), texts.title_of(F.lit("lab_notes")).alias("section"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    key_detect, range_extract, line_class, date_forms, meta_fields, json_ai_rows, warning_dedup, page_fields, distinct_answers, file_labels, text_compact, text_blocks, ui_flags,
+    key_detect, range_extract, line_class, date_forms, meta_fields, json_ai_rows, warning_dedup, page_fields, distinct_answers, file_labels, text_compact, text_blocks, ui_flags, report_assembly, page_dates, name_orders, answer_texts, ui_texts,
 )}
 _FLAGS = "[" + ", ".join("NULL" if f is None else f"'{f}'" for f in FLAG_FORMS) + "]"
 ORACLE = {
@@ -236,4 +299,21 @@ ORACLE = {
       SELECT value, flag, reference_range, NOT nil AND w IN ('high', 'low', 'abnormal', 'critical', 'borderline') AS abnormal, coalesce(flag, '') <> '' AND lower(flag) <> 'normal' AS differs, coalesce(flag, '') <> '' AND flag <> 'Normal' AS differs_exactly,
       CASE WHEN nil THEN 'nil' WHEN w = '' THEN 'none' WHEN w = 'normal' THEN 'normal' WHEN w IN ('high', 'low', 'abnormal', 'critical', 'borderline') THEN 'abnormal' ELSE 'other' END AS style, CASE WHEN nil THEN 'nil' ELSE value END AS shown,
       CASE WHEN NOT nil AND reference_range IS NOT NULL THEN flag END AS saved, count(*) AS n FROM x GROUP BY ALL""",
+    "report_assembly": """WITH l AS (SELECT l_orderkey AS document, l_linenumber AS n, 'w' || min(l_partkey) AS w FROM lineitem GROUP BY 1, 2),
+      t AS (SELECT document, string_agg(w, chr(10) ORDER BY n DESC) AS lines, string_agg(w, ' ' ORDER BY n DESC) AS tokens, string_agg(w || ' | x', chr(10) ORDER BY n) AS rows, count(*) AS k FROM l GROUP BY 1)
+      SELECT document, concat_ws(chr(10), CASE WHEN document % 2 = 0 THEN '--- PLAIN TEXT ---' || chr(10) || 'plain' END, '--- LINES ---' || chr(10) || lines, '--- TABLE page=1 table=1 ---' || chr(10) || rows, '--- TOKENS ---' || chr(10) || tokens) AS text,
+      format('{} structured lab rows from 1 tables, {} lines, and {} tokens.', k, k, k) AS found, 1 AS n_token_lines FROM t""",
+    "page_dates": """WITH o AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%-d.%-m.%y') WHEN 1 THEN strftime(o_orderdate, '%-d/%-m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%d %b %Y') ELSE 'soon' END AS t FROM orders),
+      a AS (SELECT *, (2002 - year(d)) * 12 + 6 - month(d) - (15 < day(d))::INT AS m, CASE WHEN k % 5 = 0 AND year(d) < 2000 THEN d + INTERVAL 100 YEAR ELSE d END AS read_as FROM o)
+      SELECT k AS o_orderkey, CASE WHEN k % 5 = 4 THEN 0 ELSE epoch(read_as)::BIGINT END AS page_time, CASE WHEN k % 5 = 2 THEN epoch(d)::BIGINT ELSE 0 END AS iso_key, CASE WHEN k % 3 > 0 THEN concat_ws('-', year(d), month(d), day(d)) ELSE 'unknown' END AS date_key,
+      CASE k % 4 WHEN 0 THEN 'Collected ' || t WHEN 1 THEN 'Test date ' || t WHEN 2 THEN 'Reported ' || t ELSE 'No date' END AS label,
+      CASE WHEN m < 0 THEN '' WHEN m = 0 THEN '0 months' ELSE concat_ws(', ', CASE WHEN m >= 12 THEN (m // 12) || ' year' || CASE WHEN m // 12 = 1 THEN '' ELSE 's' END END, CASE WHEN m % 12 > 0 THEN (m % 12) || ' month' || CASE WHEN m % 12 = 1 THEN '' ELSE 's' END END) END AS age FROM a""",
+    "name_orders": """WITH l AS (SELECT DISTINCT l_partkey AS k FROM lineitem), n AS (SELECT k, CASE WHEN k % 7 = 3 THEN 'rdw sd' WHEN k % 3 > 1 THEN 'r' || k % 10 END AS r, CASE WHEN k % 4 > 1 THEN 'C' || k % 10 END AS c, CASE WHEN k % 5 > 1 THEN 'd' || k % 10 END AS d FROM l)
+      SELECT k, coalesce(d, r, c) AS worklist, coalesce(c, d, r) AS trend_key, coalesce(d, c, r) AS page, CASE WHEN k % 7 = 3 THEN 'cbc:rdw-sd' ELSE lower(coalesce(r, c, d, '')) END AS identity,
+      CASE WHEN k % 7 = 3 THEN 'rdw-sd' ELSE replace(lower(coalesce(r, c, d, '')), '0', 'o') END AS merge_key FROM n""",
+    "answer_texts": """WITH q AS (SELECT DISTINCT l_quantity::INT::VARCHAR AS q FROM lineitem), x AS (SELECT unnest([
+        {r: '{"output_text": "a' || q || '"}', t: 'a' || q}, {r: '{"output": [{"content": [{"type": "text", "text": "b' || q || '"}, {"type": "image", "text": "no"}, {"type": "output_text", "text": "c"}]}, {"content": null}]}', t: 'b' || q || chr(10) || 'c'},
+        {r: '{"other": "' || q || '"}', t: ''}, {r: 'no json ' || q, t: ''}]) AS x FROM q) SELECT x.r AS response, x.t AS text FROM x""",
+    "ui_texts": """SELECT o_orderkey, ['AM', 'D', ''][(o_orderkey % 3 + 1)] AS initials, ['Mark Reviewed Late', '', 'Edited'][(o_orderkey % 3 + 1)] AS action, ['mark_reviewed_late', '—', 'edited'][(o_orderkey % 3 + 1)] AS shown,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'R' WHEN o_orderkey % 3 = 0 THEN 'f.pdf' ELSE 'Document ' || o_orderkey END AS title, CASE WHEN o_orderkey % 6 = 0 THEN 'A · B' WHEN o_orderkey % 2 = 0 THEN 'A' WHEN o_orderkey % 3 = 0 THEN 'B' ELSE 'Unknown' END AS uploader, 'Lab Notes' AS section FROM orders""",
 }
