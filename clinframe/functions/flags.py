@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clinframe.functions.texts import let
+
 #: What each predicate's word list holds.
 WORKLIST_NORMAL = ["", "normal", "none", "n", "ok", "within range"]
 TREND_NORMAL = ["", "normal", "none", "ok"]
@@ -31,15 +33,18 @@ def ui_abnormal(flag: Column) -> Column:
 
 
 def normalise(flag: Column) -> Column:
-    w = _word(flag)
-    return F.when(w.isin(*HIGH_WORDS), "High").when(w.isin(*LOW_WORDS), "Low").when(w.isin(*NORMAL_WORDS), "Normal")
+    return let(_word(flag), lambda w: F.when(w.isin(*HIGH_WORDS), "High").when(w.isin(*LOW_WORDS), "Low").when(w.isin(*NORMAL_WORDS), "Normal"))
 
 
 def infer(value: Column, low: Column, high: Column) -> Column:
     """Low, Normal (bounds included) or High; null without a number or bounds. Reversed bounds are swapped."""
-    a, b = F.least(low, high), F.greatest(low, high)
-    known = value.isNotNull() & low.isNotNull() & high.isNotNull()
-    return F.when(known, F.when(value < a, "Low").when(value > b, "High").otherwise("Normal"))
+
+
+    def judged(x: Column) -> Column:
+        known = x["v"].isNotNull() & x["a"].isNotNull() & x["b"].isNotNull()
+        return F.when(known, F.when(x["v"] < F.least(x["a"], x["b"]), "Low").when(x["v"] > F.greatest(x["a"], x["b"]), "High").otherwise("Normal"))
+
+    return let(F.struct(value.alias("v"), low.alias("a"), high.alias("b")), judged)
 
 
 #: What pages take for no result.

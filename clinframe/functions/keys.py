@@ -84,16 +84,14 @@ def merge_key(raw_name: Column, canonical: Column, display: Column) -> Column:
 
 def identity(raw_name: Column, canonical: Column, display: Column) -> Column:
     """cbc:<code> for blood-count codes, else the first name that isn't empty, in lower case."""
-    code = cbc_code(raw_name)
-    return F.when(code.isNotNull(), F.concat(F.lit("cbc:"), F.lower(code))).otherwise(F.lower(F.trim(F.coalesce(texts.first_filled(raw_name, canonical, display), F.lit("")))))
+    return F.coalesce(F.concat(F.lit("cbc:"), F.lower(cbc_code(raw_name))), F.lower(F.trim(F.coalesce(texts.first_filled(raw_name, canonical, display), F.lit("")))))
 
 
 def cbc_code(text: Column) -> Column:
     """The blood-count code that text is, however it is spaced, else null."""
-    t = F.regexp_replace(F.replace(F.upper(texts.clean_string(text)), F.lit("_"), F.lit("-")), "[ .]", "")
-    t = F.translate(t, "＃％", "#%")
-    t = F.when(t == "RDWSD", "RDW-SD").when(t == "RDWCV", "RDW-CV").when(t.isin("PLCR", "P-LCR%"), "P-LCR").otherwise(t)
-    return F.when(t.isin(*CBC_ORDER), t)
+    t = F.translate(F.regexp_replace(F.upper(texts.clean_string(text)), "[ .]", ""), "_＃％", "-#%")
+    t = texts.let(t, lambda x: F.when(x == "RDWSD", "RDW-SD").when(x == "RDWCV", "RDW-CV").when(x.isin("PLCR", "P-LCR%"), "P-LCR").otherwise(x))
+    return texts.let(t, lambda x: F.when(x.isin(*CBC_ORDER), x))
 
 
 def order_of(key: Column) -> Column:
