@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clinframe.llm import decontam, editcounts, fim, licenses, merkle, mixing, neardups, pseudonyms, quality, sharding, tokenfile, warc
+from clinframe.llm import chatlog, decontam, editcounts, fim, licenses, merkle, mixing, neardups, pseudonyms, quality, sharding, tokenfile, warc
 
 QUERIES = {
     "op1_fertility": quality.op1_fertility,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_decontam": decontam.op9_suffix_decontam,
     "op10_poisson_mix": mixing.op10_poisson_mix,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_event_chat": chatlog.op12_event_chat,
     "op13_fim_units": fim.op13_fim_units,
 }
 ORACLE = {
@@ -23,5 +24,6 @@ ORACLE = {
     "op8_warc_segments": warc.SQL_OP8,
     "op10_poisson_mix": mixing.SQL_OP10,
     "op11_merkle_manifest": merkle.SQL_OP11,
+    "op12_event_chat": chatlog.SQL_OP12,
     "op13_fim_units": fim.SQL_OP13,
 }
