@@ -7,16 +7,23 @@ from __future__ import annotations
 
 import numpy as np
 
-LIMIT = 16
+#: Bits of the longest code up to 2^16 used ids; beyond them one bit more than ids need, 25 at most.
+LIMIT, MOST = 16, 25
 
 
-def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Optimal lengths of at most `limit` bits by package-merge; 0 for ids that never occur."""
+def bits_for(used: int) -> int:
+    """The longest code for so many used ids."""
+    return LIMIT if used <= 1 << LIMIT else min(MOST, (used - 1).bit_length() + 1)
+
+
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal lengths of at most `limit` bits (bits_for() the ids) by package-merge; 0 for ids that never occur."""
     counts = np.asarray(counts, np.int64)
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) == 0:
         return lengths
+    limit = limit or bits_for(len(used))
     if len(used) == 1:
         lengths[used] = 1
         return lengths
@@ -53,7 +60,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     if len(order) == 0:
         return codes
     sizes = lengths[order].astype(np.int64)
-    # The codes as fractions of 2^LIMIT are running sums of 2^(LIMIT - length).
+    # The codes as fractions of 2^top are running sums of 2^(top - length).
     top = int(sizes.max())
     room = np.int64(1) << (top - sizes)
     codes[order] = ((np.cumsum(room) - room) >> (top - sizes)).astype(np.uint32)
@@ -96,11 +103,15 @@ def decode(bits: bytes, n: int, offsets: np.ndarray, every: int, table: tuple[np
     """The n ids: one lane for each checkpoint, all lanes a step at a time."""
     if n == 0:
         return np.zeros(0, np.int32)
-    raw = np.frombuffer(bits + b"\0" * 4, np.uint8).astype(np.uint32)
+    ids, sizes = table
+    limit = len(ids).bit_length() - 1
+    width, mask = (24, 0xFFFF) if limit == 16 else (32, (1 << limit) - 1)
+    raw = np.frombuffer(bits + b"\0" * 5, np.uint8).astype(np.uint32)
     window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+    if width == 32:
+        window = (window[:-1] << 8) | raw[3:]
     at, lanes = offsets.astype(np.int64), len(offsets)
     out = np.zeros((every, lanes), np.int32)
-    ids, sizes = table
     full = n - (lanes - 1) * every
     for step in range(every):
         if step == full:
@@ -108,7 +119,7 @@ def decode(bits: bytes, n: int, offsets: np.ndarray, every: int, table: tuple[np
             at = at[:lanes]
             if not lanes:
                 break
-        w = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        w = (window[at >> 3] >> (width - limit - (at & 7)).astype(np.uint32)) & mask
         out[step, :lanes] = ids[w]
         at = at + sizes[w]
     return out.T.reshape(-1)[:n]

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 CHUNK = 300_000
 LONG = 64
-POOL, POOL_CHARS = 500_000, 8_000_000
+POOL, POOL_CHARS = 1_000_000, 16_000_000
 #: New hashes that are searched apart before they are merged.
 MERGE_AT = 4096
 #: Runs encoded end to end at a time.
@@ -33,7 +33,9 @@ def classes() -> np.ndarray:
     """Of each code point: white space, letter (L*), number (N*) or other. Made once in a worker."""
     if "classes" not in _tables:
         kind = {"L": LETTER, "N": NUMBER}
-        t = np.fromiter((kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+        t = np.full(0x110000, OTHER, np.uint8)
+        # Planes 4 to 13 are unassigned, those from 14 on hold no letters or numbers.
+        t[:0x40000] = np.fromiter((kind.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x40000)), np.uint8, 0x40000)
         t[WHITE] = SPACE
         _tables["classes"] = t
     return _tables["classes"]
@@ -289,19 +291,23 @@ def byte_bpe(path: str) -> Pool:
         t.encode_special_tokens = True
 
         def encode(runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            apart = np.fromiter((len(r) > 1 and r[0] == " " and classes()[ord(r[1])] != SPACE for r in runs), bool, len(runs))
-            ids: list[list[int] | None] = [None] * len(runs)
-            together, single = np.flatnonzero(apart).tolist(), np.flatnonzero(~apart).tolist()
+            first, second = (np.fromiter((ord(r[i : i + 1] or "\0") for r in runs), np.uint32, len(runs)) for i in (0, 1))
+            apart = (first == 0x20) & (second > 0) & (classes()[second] != SPACE)
+            together, single = np.flatnonzero(apart), np.flatnonzero(~apart)
+            found, lengths = [], np.zeros(len(runs), np.int64)
             for i in range(0, len(together), JOINED):
                 part = together[i : i + JOINED]
-                e = t.encode("".join([runs[k] for k in part]), add_special_tokens=False)
-                bounds = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)).tolist()
-                all_ids = e.ids
-                for k, a, b in zip(part, bounds, bounds[1:]):
-                    ids[k] = all_ids[a:b]
-            for k, e in zip(single, t.encode_batch_fast([runs[k] for k in single], add_special_tokens=False)):
-                ids[k] = e.ids
-            return _flat(ids)
+                e = t.encode("".join([runs[k] for k in part.tolist()]), add_special_tokens=False)
+                lengths[part] = np.bincount(np.array(e.word_ids), minlength=len(part))
+                found.append(np.array(e.ids, np.int32))
+            rest = t.encode_batch_fast([runs[k] for k in single.tolist()], add_special_tokens=False)
+            lengths[single] = [len(e) for e in rest]
+            flat = np.concatenate([np.zeros(0, np.int32), *found, *(np.array(e.ids, np.int32) for e in rest)])
+            # From the order of together, then single, to that of the runs.
+            order = np.concatenate([together, single])
+            starts = np.zeros(len(runs), np.int64)
+            starts[order] = np.cumsum(lengths[order]) - lengths[order]
+            return flat[ragged(starts, lengths)], lengths
 
         _pools[key] = Pool(encode)
     return _pools[key]

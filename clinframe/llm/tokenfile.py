@@ -13,7 +13,7 @@ CHECKPOINT-long lanes be decoded side by side.
 
 Documents are dealt by ranges of doc_id, tokenised, and kept as raw ids in a scratch table while the global
 counts are made; each task counts its own ids first, so at most one row per id and task is shuffled and one
-row per id reaches the driver. A null text is empty: it holds the end id alone. Repeated rows are documents of their own. An
+row per id reaches the driver. Codes have 16 bits at most, and for over 65,536 used ids a bit more than those need. A null text is empty: it holds the end id alone. Repeated rows are documents of their own. An
 empty table gives a file without blocks. Other columns of the input aren't read.
 """
 
@@ -32,6 +32,8 @@ from clinframe.llm import common, huffman, textnum
 
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 512
+#: Characters of a text that ranges of rows may be cut by, behind id or order.
+RANGE_CHARS = 64
 RAW = "part int, block int, start long, doc_ids array<long>, doc_tokens array<int>, ids binary"
 CODED = "part int, block int, start long, doc_ids array<long>, doc_tokens array<int>, n_ids int, bits binary, checkpoints array<int>, crc32 long"
 PER_DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -129,29 +131,31 @@ def _code(lengths: bytes, before: dict[int, int]):
 def write(docs: DataFrame, path: str, vocabulary_path: str | None = None, end_id: int = 0, order: str = "doc_id") -> None:
     """Tokenise documents (doc_id, text) and write the token file at path, in ascending order of a column (then id, then text)."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"), F.col(order).alias("order")) if order != "doc_id" else docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"))
     by = ["order", "doc_id"] if order != "doc_id" else ["doc_id"]
-    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by, "text").select("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty(docs).alias("text"), *[F.col(order).alias("order")] * (order != "doc_id"))
+    # Different texts under one id, or under none, needn't go to one task.
+    ordered = ordered.repartitionByRange(*by, F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(*by, "text").select("doc_id", "text")
     raw = common.materialise(ordered.mapInArrow(_raw_blocks(vocabulary_path or vocabulary(), end_id), RAW), "token-ids", compression="zstd")
     counted = raw.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r.id] = r.n
-    lengths = huffman.code_lengths(counts).tobytes()
+    limit = huffman.bits_for(len(counted))
+    lengths = huffman.code_lengths(counts, limit).tobytes()
     parts = raw.select("part", F.size("doc_ids").alias("d"), F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).orderBy("part").collect()
     before, total = {}, 0
     for r in parts:
         before[r.part] = total
         total += r.n
     raw.mapInArrow(_code(lengths, before), CODED).write.parquet(f"{path}/blocks")
-    head = [(1, huffman.LIMIT, CHECKPOINT, total, sum(r.d for r in parts), bytearray(lengths))]
+    head = [(1, limit, CHECKPOINT, total, sum(r.d for r in parts), bytearray(lengths))]
     spark.createDataFrame(head, "version int, max_bits int, checkpoint int, n_ids long, n_docs long, lengths binary").coalesce(1).write.parquet(f"{path}/header")
     common.discard(raw)
 
 
-def _decode(lengths: bytes, every: int, digest: bool):
+def _decode(lengths: bytes, limit: int, every: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = huffman.decode_table(np.frombuffer(lengths, np.uint8))
+        decoder = huffman.decode_table(np.frombuffer(lengths, np.uint8), limit)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = huffman.decode(row["bits"], row["n_ids"], np.array(row["checkpoints"], np.int64), every, decoder).astype("<u4")
@@ -170,7 +174,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents of a token file: doc_id, start, n_tokens and ids, or with digest their crc32."""
     head = spark.read.parquet(f"{path}/header").first()
     blocks = spark.read.schema(CODED).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(_decode(bytes(head.lengths), head.checkpoint, digest), PER_DOC if digest else "doc_id long, start long, n_tokens long, ids array<int>")
+    return blocks.mapInArrow(_decode(bytes(head.lengths), head.max_bits, head.checkpoint, digest), PER_DOC if digest else "doc_id long, start long, n_tokens long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, order: str = "doc_id") -> DataFrame:

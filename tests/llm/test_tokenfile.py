@@ -75,6 +75,28 @@ def test_round_trip(n):
     assert (huffman.decode(bits, n, marks, 512, huffman.decode_table(lengths)) == ids).all()
 
 
+def test_more_ids_than_sixteen_bits_hold():
+    for used in (65_536, 65_537, 200_000):
+        rng = np.random.default_rng(used)
+        ids = np.concatenate([np.arange(used), (rng.pareto(0.6, 50_000) * 10).astype(np.int64).clip(0, used - 1)])
+        limit = huffman.bits_for(used)
+        lengths = huffman.code_lengths(np.bincount(ids))
+        assert lengths.max() <= limit == (16 if used == 65_536 else 18 if used == 65_537 else 19)
+        bits, marks = huffman.encode(ids, lengths, huffman.canonical_codes(lengths), 512)
+        assert (huffman.decode(bits, len(ids), marks, 512, huffman.decode_table(lengths, limit)) == ids).all()
+
+
+def test_one_id_for_many_texts(spark, tmp_path):
+    """Rows under one id, or none, are dealt by their texts too, in the stated order."""
+    rows = [(None if i % 2 else 5, f"text {i:03}") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(str(tmp_path / "t" / "blocks")).select("part").distinct().count() > 2
+    got = tokenfile.read(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [hf_cached().decode(r.ids[:-1]) for r in got] == [t for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[1]))]
+
+
 def test_query(spark, sf_dir):
     got = {r.doc_id: r for r in tokenfile.op2_huffman_tokens(spark, sf_dir).collect()}
     t, start = hf_cached(), 0
