@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (tests, local sessions) a local folder is made once and set on the context.
+    Where it is unset in a local session (tests) a local folder is made once and set on the context.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty() and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if held.isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="clinframe-"))
         held = sc._jsc.sc().getCheckpointDir()
@@ -60,14 +62,16 @@ def bounded_join(left: DataFrame, right: DataFrame, on: list[str], spread: Colum
     Keys match null-safely. spread: a well-mixed expression of left's row; it deals a hot key's rows to
     `salts` tasks, and right is repeated so many times.
     """
-    names = [f"__k{i}" for i in range(len(on))]
+    taken = [*left.columns, *right.columns]
+    names = [_free(taken, f"_key{i}") for i in range(len(on))]
     right = right.withColumnsRenamed(dict(zip(on, names)))
     same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(on, names)]
     if rows * row_bytes <= BROADCAST_BYTES:
         return left.join(F.broadcast(right), same, how).drop(*names)
-    left = left.withColumn("__salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*same, F.col("__salt") == F.col("__salt_r")], how).drop(*names, "__salt", "__salt_r")
+    salt, other = _free(taken, "_salt"), _free(taken, "_salt_r")
+    left = left.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*same, F.col(salt) == F.col(other)], how).drop(*names, salt, other)
 
 
 def dense_index(df: DataFrame, groups: list[str], order: list[str], spread: Column, rows: int, out: str, bucket_rows: int = 50_000, least: int = 64) -> DataFrame:
@@ -77,21 +81,26 @@ def dense_index(df: DataFrame, groups: list[str], order: list[str], spread: Colu
     running totals, of which there are groups x buckets, are added. Numbers follow bucket, then `order`.
     """
     n = max(least, -(-rows // bucket_rows))
-    dealt = df.withColumn("__bucket", F.pmod(spread, F.lit(n)).cast("int"))
-    keys = [*groups, "__bucket"]
-    sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    local = dealt.withColumn("__local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return local.join(starts, keys).withColumn(out, (F.col("__before") + F.col("__local")).cast("long")).drop("__bucket", "__local", "__before")
+    bucket, inside, before, count = (_free([*df.columns, out], c) for c in ("_bucket", "_local", "_before", "_n"))
+    dealt = df.withColumn(bucket, F.pmod(spread, F.lit(n)).cast("int"))
+    keys = [*groups, bucket]
+    sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn(before, F.coalesce(F.sum(count).over(earlier), F.lit(0))).drop(count)
+    local = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return local.join(starts, keys).withColumn(out, (F.col(before) + F.col(inside)).cast("long")).drop(bucket, inside, before)
+
+
+def _free(taken: list[str], name: str) -> str:
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores so that it doesn't clash with a column of df."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    return _free(df.columns, name)
 
 
 def text_or_empty(df: DataFrame, column: str = "text") -> Column:

@@ -6,7 +6,7 @@ function at a uniform number hashed from seed and document id: the same input gi
 the partitions, retries or order. All of it is DataFrame expressions; the only shuffle is the global one.
 
 Defined cases: a null source is a source of its own; a null text has size 0; sources without bytes and sources
-not listed in `weights` get rate 0; repeated rows share their id and so their count; an empty table gives an
+not listed in `weights` get rate 0; weights of a source that is listed twice add up; repeated rows share their id and so their count; an empty table gives an
 empty table; columns of the input are kept as they are, and the added columns get trailing underscores if
 their name is taken.
 """
@@ -44,7 +44,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, budget: floa
     if weights is None:
         sizes = sizes.withColumn("weight", F.lit(1.0))
     else:
-        w = weights.select(F.col("source").alias("of_source"), F.col("weight").cast("double").alias("weight"))
+        w = weights.groupBy(F.col("source").alias("of_source")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
         sizes = sizes.join(w, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source").fillna(0.0, ["weight"])
     sizes = common.materialise(sizes, "mix-sizes")
     total, all_weight = sizes.where("bytes > 0").agg(F.sum("bytes"), F.sum("weight")).first()

@@ -77,3 +77,17 @@ def test_empty(spark):
     assert mixing.replicate(df).collect() == [] and mixing.replicate(df).columns[-1] == "shuffle_key"
     none = spark.createDataFrame([(1, None, "a", "", 0)], SCHEMA)
     assert mixing.replicate(none).collect() == []
+
+
+def test_names_of_helpers_and_repeated_weights(spark, monkeypatch):
+    rows = [(i, "x" * (i % 7 + 1), "big" if i % 3 else "small", i, f"s{i}", 7) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _key0 long, _salt string, __salt int")
+    want = None
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(mixing.common, "BROADCAST_BYTES", most)
+        out = mixing.replicate(df).collect()
+        assert all((r._key0, r._salt, r["__salt"]) == (r.doc_id, f"s{r.doc_id}", 7) for r in out)
+        assert sorted(r[:6] for r in out) == (want := want or sorted(r[:6] for r in out))
+    once = spark.createDataFrame([("big", 3.0), ("small", 1.0)], "source string, weight double")
+    twice = spark.createDataFrame([("big", 1.0), ("big", 2.0), ("small", 1.0)], "source string, weight double")
+    assert sorted(mixing.replicate(df, once).collect()) == sorted(mixing.replicate(df, twice).collect())
