@@ -48,6 +48,13 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(path: str):
+    """How tasks open a file in the shared folder: pyarrow's file system for its scheme, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the table that materialise() made for df."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()

@@ -2,11 +2,16 @@
 
 The training texts are cut into shards of about SHARD_BYTES (whole texts; a longer one is a shard alone). A task
 makes the suffix array of a shard's words and looks up every distinct test window in it by binary search: the window's
-range in the array holds all its occurrences. Occurrences that go on along the same diagonal are joined to the
-longest verbatim matches, and items are named once for each match, not for each window. Nothing is shuffled; a hot passage only lengthens its ranges.
+range in the array holds all its occurrences. Nothing is shuffled; a hot passage only lengthens its ranges.
 
-Tests are taken in blocks of at most BLOCK_WORDS words, counted first; a block is what a task holds. With more
-than one block the texts go through one pass for each, and the passes' hits are joined row by row.
+Windows that the same items hold one behind the other are a chain, so that a match in a text names its chain and not
+each of the items; the items of a text are the union of its chains' lists, put together once for each set of chains.
+Only with spans=True are matches given out item by item, as the longest verbatim ones and their places.
+
+Tests are dealt into blocks of about BLOCK_WORDS words (an item is whole in one), which tasks of their own prepare:
+words, distinct windows, chains. They lie in the shared folder, and one pass over the texts opens them one after
+the other for each shard, whose suffix array is made once. A task holds one shard and one block, or all blocks where
+these are few.
 
 Words: A-Z lower-cased, then [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the UTF-8 text. A window is WINDOW consecutive
 words of an item; an item with fewer, but not none, is one window.
@@ -18,12 +23,15 @@ results, an empty benchmark hits nothing; columns of docs pass through, the resu
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +42,13 @@ WINDOW = 13
 SHARD_BYTES = 4 << 20
 BLOCK_WORDS = 200_000
 
+#: Prepared blocks that a worker keeps; shards are longer, up to so many times, where there are more blocks.
+KEPT_BLOCKS, LONGER = 4, 4
+
 SPAN = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_at", T.LongType()), T.StructField("doc_at", T.LongType()), T.StructField("n_words", T.LongType())])
 HIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(HIT)), T.StructField("spans", T.ArrayType(SPAN))])
+RESULT = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(HIT)), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())]
+SPANS = T.StructField("spans", T.ArrayType(SPAN))
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[0x41:0x5B] += 0x20
@@ -108,67 +120,80 @@ def ranges(s: np.ndarray, sa: np.ndarray, windows: np.ndarray) -> tuple[np.ndarr
 
 
 class Tests:
-    """A block of items: their words' hashes; a task cuts them into windows, by window length."""
+    """A block of items as a task asks for them: words, and the windows of each width."""
 
     def __init__(self, names: list[str], texts: list[str], window: int):
         raw = [t.encode() for t in texts]
-        self.hashes, self.counts = word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        self.names, self.window = np.array(names, object), window
+        hashes, counts = word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.names = np.array(names, object)
+        self.words, self.spelled = np.unique(hashes, return_inverse=True)
+        firsts, self.groups = np.cumsum(counts) - counts, []
+        for width in sorted({min(window, int(c)) for c in counts if c}):
+            mine = np.flatnonzero(np.minimum(counts, window) == width)
+            per = counts[mine] - width + 1
+            at = textnum.ragged(firsts[mine], per)
+            self.groups.append(Windows(width, np.repeat(mine, per), textnum.ragged(np.zeros(len(mine), np.int64), per), at, self.spelled[at[:, None] + np.arange(width)]))
+
+    def items(self, group: int, chain: int) -> frozenset[str]:
+        g = self.groups[group]
+        first = g.firsts[g.heads[chain]]
+        return frozenset(self.names[g.item[first : first + g.sizes[g.heads[chain]]]])
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "groups"}
+
+class Shard:
+    """Texts end to end: their words, and the suffix array once a window may occur."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int):
+        hashes, self.counts = word_hashes(data, bounds)
+        self.n_docs, self.n = len(self.counts), len(hashes)
+        self.distinct, back = np.unique(hashes, return_inverse=True)
+        doc = np.repeat(np.arange(self.n_docs), self.counts)
+        # One separator after each text, no two alike, so that no suffix is compared beyond its text.
+        self.s = np.empty(self.n + self.n_docs + width, np.int64)
+        self.s[np.arange(self.n) + doc] = back + 1
+        self.s[np.cumsum(self.counts) + np.arange(self.n_docs)] = len(self.distinct) + 1 + np.arange(self.n_docs)
+        self.s[self.n + self.n_docs :] = 0
 
     @cached_property
-    def groups(self) -> list["Windows"]:
-        firsts, out = np.cumsum(self.counts) - self.counts, []
-        for width in sorted({min(self.window, int(c)) for c in self.counts if c}):
-            mine = np.flatnonzero(np.minimum(self.counts, self.window) == width)
-            per = self.counts[mine] - width + 1
-            at = textnum.ragged(firsts[mine], per)
-            out.append(Windows(width, np.repeat(mine, per), textnum.ragged(np.zeros(len(mine), np.int64), per), self.hashes[at[:, None] + np.arange(width)]))
-        return out
+    def sa(self) -> np.ndarray:
+        return suffix_array(self.s[: self.n + self.n_docs])
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n_docs), self.counts + 1)
 
-    def search(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Words per text; of each found window text, word and width; of each match text, item, word in the item, word in the text and words.
+    def search(self, tests: Tests, spans: bool) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Of each found window text, word and width; of each run in a chain text, group and chain; if asked for,
+        of each match text, item, word in the item, word in the text and words.
 
-        A distinct window is searched once. Matches are made of runs of windows that the same items hold one after the
-        other, so an item is only named once for each run.
+        A distinct window is searched once, and only if all its words are in the shard.
         """
-        hashes, counts = word_hashes(data, bounds)
-        n_docs, n = len(counts), len(hashes)
-        distinct, back = np.unique(hashes, return_inverse=True)
-        doc = np.repeat(np.arange(n_docs), counts)
-        most = max((g.width for g in self.groups), default=0)
-        # One separator after each text, no two alike, so that no suffix is compared beyond its text.
-        s = np.empty(n + n_docs + most, np.int64)
-        s[np.arange(n) + doc] = back + 1
-        s[np.cumsum(counts) + np.arange(n_docs)] = len(distinct) + 1 + np.arange(n_docs)
-        s[n + n_docs :] = 0
-        sa, hits, matches = None, [np.zeros((3, 0), np.int64)], [np.zeros((5, 0), np.int64)]
-        for g in self.groups:
-            at = np.searchsorted(distinct, g.distinct)
-            at[at == len(distinct)] = 0
-            here = np.flatnonzero((distinct[at] == g.distinct).all(1)) if n else np.zeros(0, np.int64)
+        place = np.searchsorted(self.distinct, tests.words)
+        place[place == len(self.distinct)] = 0
+        code = np.where(self.distinct[place] == tests.words, place + 1, 0)[tests.spelled] if self.n else np.zeros(len(tests.spelled), np.int64)
+        there = np.cumsum(np.append(0, code > 0))
+        hits, chains, matches = [np.zeros((3, 0), np.int64)], [np.zeros((3, 0), np.int64)], [np.zeros((5, 0), np.int64)]
+        for number, g in enumerate(tests.groups):
+            here = np.flatnonzero(there[g.at + g.width] - there[g.at] == g.width)
             if not len(here):
                 continue
-            if sa is None:
-                sa = suffix_array(s[: n + n_docs])
-                owner = np.repeat(np.arange(n_docs), counts + 1)
-                first = np.cumsum(counts + 1) - (counts + 1)
-            lo, hi = ranges(s, sa, at[here] + 1)
-            where = sa[textnum.ragged(lo, hi - lo)]
+            first = np.cumsum(self.counts + 1) - (self.counts + 1)
+            lo, hi = ranges(self.s, self.sa, code[g.at[here][:, None] + np.arange(g.width)])
+            where = self.sa[textnum.ragged(lo, hi - lo)]
             window = np.repeat(here, hi - lo)
-            of, word = owner[where], where - first[owner[where]]
+            of, word = self.owner[where], where - first[self.owner[where]]
             width = np.full(len(where), g.width)
             hits.append(np.stack([of, word, width]))
             (of, chain, shift), start, stop = joined_runs([of, g.chain[window], word - g.step[window]], word, width)
-            # The run's first window is as many steps into its chain as the run begins behind the chain's first word.
-            begins = g.at_step(chain, start - shift)
-            size = g.sizes[begins]
-            entry = textnum.ragged(g.firsts[begins], size)
-            again = np.repeat(np.arange(len(begins)), size)
-            matches.append(np.stack([of[again], g.item[entry], g.item_at[entry], start[again], (stop - start)[again]]))
-        return counts, list(np.concatenate(hits, 1)), list(np.concatenate(matches, 1))
+            chains.append(np.stack([of, np.full(len(of), number), chain]))
+            if spans:
+                # The run's first window is as many steps into its chain as the run begins behind the chain's first word.
+                begins = g.at_step(chain, start - shift)
+                size = g.sizes[begins]
+                entry = textnum.ragged(g.firsts[begins], size)
+                again = np.repeat(np.arange(len(begins)), size)
+                matches.append(np.stack([of[again], g.item[entry], g.item_at[entry], start[again], (stop - start)[again]]))
+        return list(np.concatenate(hits, 1)), list(np.unique(np.concatenate(chains, 1), axis=1)), list(np.concatenate(matches, 1))
 
 
 class Windows:
@@ -178,14 +203,15 @@ class Windows:
     one before it in all items that hold it, and in no others.
     """
 
-    def __init__(self, width: int, item: np.ndarray, item_at: np.ndarray, hashes: np.ndarray):
+    def __init__(self, width: int, item: np.ndarray, item_at: np.ndarray, at: np.ndarray, words: np.ndarray):
         self.width = width
-        _, first, number = np.unique(hashes, axis=0, return_index=True, return_inverse=True)
+        _, first, number = np.unique(words, axis=0, return_index=True, return_inverse=True)
         rank = np.empty(len(first), np.int64)
         rank[np.argsort(first)] = np.arange(len(first))
         number = rank[number.reshape(-1)]
         place = np.argsort(number, kind="stable")
-        self.distinct = hashes[np.sort(first)]
+        #: Where each distinct window stands first among the block's words.
+        self.at = at[np.sort(first)]
         self.item, self.item_at = item[place], item_at[place]
         self.sizes = np.bincount(number, minlength=len(first))
         self.firsts = np.cumsum(self.sizes) - self.sizes
@@ -230,82 +256,141 @@ def _lists(n: int, doc: np.ndarray, fields: list, type_: T.StructType) -> pa.Lis
     return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(fields, kinds)], type_.names))
 
 
-def _pass(tests: Tests, at: int, names: list[str], held: int | None):
-    """held: the column with the hits of earlier blocks."""
+_blocks: dict[str, list[Tests]] = {}
+
+
+def _opened(files: list[str], n_blocks: int) -> Iterator[tuple[int, Tests]]:
+    """The prepared blocks, numbered; kept in the worker where they are few."""
+    for k, file in enumerate(files):
+        held = _blocks.get(file)
+        if held is None:
+            filesystem, path = common.filesystem(file)
+            held = [pickle.loads(x) for x in pq.read_table(path, columns=["block"], filesystem=filesystem).column(0).to_pylist()]
+            if n_blocks <= KEPT_BLOCKS:
+                while len(_blocks) >= KEPT_BLOCKS:
+                    _blocks.pop(next(iter(_blocks)))
+                _blocks[file] = held
+        yield from ((k << 32 | i, tests) for i, tests in enumerate(held))
+
+
+class _Named:
+    """Number and digest of the items of a set of chains, each set put together once."""
+
+    def __init__(self) -> None:
+        self.lists: dict[tuple, frozenset[str]] = {}
+        self.sets: dict[frozenset, tuple[int, str]] = {}
+        self.held = 0
+
+    def learn(self, block: int, tests: Tests, groups: np.ndarray, chains: np.ndarray) -> None:
+        for g, c in {(int(g), int(c)) for g, c in zip(groups, chains)}:
+            if (block, g, c) not in self.lists:
+                self.lists[block, g, c] = tests.items(g, c)
+                self.held += len(self.lists[block, g, c])
+
+    def of(self, chains: frozenset) -> tuple[int, str]:
+        if chains not in self.sets:
+            names = sorted(frozenset().union(*(self.lists[c] for c in chains)))
+            self.sets[chains] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+        return self.sets[chains]
+
+
+def _pass(files: list[str], n_blocks: int, width: int, at: int, keep: list[int], names: list[str], spans: bool):
+    shard_bytes = SHARD_BYTES * min(n_blocks, LONGER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = _Named()
         for batch in batches:
             text = pc.fill_null(batch.column(at), "").cast(pa.large_string())
             offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
             whole = np.frombuffer(text.buffers()[2] or b"", np.uint8)
             a = 0
             while a < len(text):
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_BYTES, "right")) - 1)
-                counts, (doc, doc_at, width), (of, item, item_at, word, size) = tests.search(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                n = b - a
-                (hit_doc,), start, end = joined_runs([doc], doc_at, width)
-                (span_doc, span_item, diagonal), at_word, stop = joined_runs([of, item, word - item_at], word, size)
-                part = batch.slice(a, n)
-                hits = _lists(n, hit_doc, [start, end], HIT)
-                spans = _lists(n, span_doc, [tests.names[span_item], at_word - diagonal, at_word, stop - at_word], SPAN)
-                result = pa.StructArray.from_arrays([pa.array(counts, pa.int64()), hits, spans], RESULT.names)
-                columns = [*part.columns, result] if held is None else [*part.columns[:-1], _both(part.columns[-1], result)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + shard_bytes, "right")) - 1)
+                shard = Shard(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                found, chained, listed = [np.zeros((3, 0), np.int64)], {}, []
+                if named.held > 1_000_000:
+                    named = _Named()
+                for block, tests in _opened(files, n_blocks):
+                    hits, (of, group, chain), matches = shard.search(tests, spans)
+                    found.append(np.stack(hits))
+                    named.learn(block, tests, group, chain)
+                    for d, g, c in zip(of.tolist(), group.tolist(), chain.tolist()):
+                        chained.setdefault(d, set()).add((block, g, c))
+                    if spans and len(matches[0]):
+                        (doc, item, diagonal), word, stop = joined_runs([matches[0], matches[1], matches[3] - matches[2]], matches[3], matches[4])
+                        listed.append((doc, tests.names[item], word - diagonal, word, stop - word))
+                (doc,), start, end = joined_runs([(every := np.concatenate(found, 1))[0]], every[1], every[2])
+                of_items = [named.of(frozenset(chained.get(d, ()))) for d in range(b - a)]
+                columns = [pa.array(shard.counts, pa.int64()), _lists(b - a, doc, [start, end], HIT), pa.array([x[0] for x in of_items], pa.int64()), pa.array([x[1] for x in of_items], pa.string())]
+                if spans:
+                    none = (np.zeros(0, np.int64), np.zeros(0, object), *[np.zeros(0, np.int64)] * 3)
+                    doc, *fields = map(np.concatenate, zip(none, *listed))
+                    order = np.argsort(doc, kind="stable")
+                    columns.append(_lists(b - a, doc[order], [x[order] for x in fields], SPAN))
+                part = batch.slice(a, b - a)
+                result = pa.StructArray.from_arrays(columns, [f.name for f in [*RESULT, SPANS][: len(columns)]])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), result], names)
                 a = b
 
     return run
 
 
-def _both(old: pa.StructArray, new: pa.StructArray) -> pa.StructArray:
-    rows = []
-    for x, y in zip(old.to_pylist(), new.to_pylist()):
-        merged: list[dict] = []
-        for h in sorted([*x["hits"], *y["hits"]], key=lambda h: h["start"]):
-            if merged and h["start"] <= merged[-1]["end"]:
-                merged[-1]["end"] = max(merged[-1]["end"], h["end"])
-            else:
-                merged.append(h)
-        rows.append({"n_words": x["n_words"], "hits": merged, "spans": [*x["spans"], *y["spans"]]})
-    return pa.array(rows, new.type)
+def _prepare(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's items stand together."""
+        at, names, texts = None, [], []
+        for batch in batches:
+            for block, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != at and names:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Tests(names, texts, window))], pa.binary())], ["block"])
+                    names, texts = [], []
+                at = block
+                names.append(name)
+                texts.append(text)
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Tests(names, texts, window))], pa.binary())], ["block"])
+
+    return run
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str = "found", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a struct: n_words, hits (joined word ranges) and spans (longest matches and their places)."""
-    out = common.free_name(docs, out)
+def prepared(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[list[str], int]:
+    """Files with the blocks of a benchmark, and their number."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), common.text_or_empty(benchmark).alias("text"))
     # A word has a byte or more and a byte between it and the next.
     words = items.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 0
-    n_blocks = max(1, -(-words // block_words))
-    schema = T.StructType([*docs.schema, T.StructField(out, RESULT)])
-    at = docs.columns.index("text")
-    done = docs
-    for block in range(n_blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        tests = Tests([r.item_id for r in mine], [r.text for r in mine], window)
-        done = done.mapInArrow(_pass(tests, at, schema.names, None if block == 0 else len(docs.columns)), schema)
-        if n_blocks > 1:
-            done = common.materialise(done, "decontam")
-    return done
+    n = max(1, -(-words // block_words))
+    dealt = items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("at"), "item_id", "text").repartition(n, "at").sortWithinPartitions("at", "item_id", "text")
+    blocks = common.materialise(dealt.mapInArrow(_prepare(window), "block binary"), "decontam-blocks")
+    return sorted(blocks.inputFiles()), n
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, out: str = "found", block_words: int = BLOCK_WORDS, spans: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those to keep) with a struct: n_words, hits (joined word ranges), n_items, items_sha256 and,
+    if asked for, spans (longest matches of each item and their places)."""
+    out, keep = common.free_name(docs, out), docs.columns if keep is None else keep
+    files, n = prepared(benchmark, window, block_words)
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(out, T.StructType([*RESULT, *[SPANS] * spans]))])
+    at = [docs.columns.index(c) for c in ("text", *keep)]
+    return docs.mapInArrow(_pass(files, n, window, at[0], at[1:], schema.names, spans), schema)
 
 
 def verdict(found: str) -> dict:
     """Expressions over the struct column: n_words, n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate(f"{found}.hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
-    items = F.array_sort(F.array_distinct(F.col(f"{found}.spans.item_id")))
     n_words = F.col(f"{found}.n_words")
     return {
-        "n_words": n_words, "n_hit": n_hit, "n_items": F.size(items).cast("long"),
-        "items_sha256": F.sha2(F.array_join(items, ","), 256), "contaminated": (n_hit > 0) & (F.lit(20) * n_hit >= n_words),
+        "n_words": n_words, "n_hit": n_hit, "n_items": F.col(f"{found}.n_items"),
+        "items_sha256": F.col(f"{found}.items_sha256"), "contaminated": (n_hit > 0) & (F.lit(20) * n_hit >= n_words),
     }
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with the columns of docs."""
     found = common.free_name(docs, "found")
-    return annotate(docs, benchmark).where(~verdict(found)["contaminated"]).drop(found)
+    return annotate(docs, benchmark, spans=False).where(~verdict(found)["contaminated"]).drop(found)
 
 
 def op9_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = annotate(docs, common.table(spark, sf_dir, "benchmark"))
+    found = annotate(docs, common.table(spark, sf_dir, "benchmark"), spans=False, keep=["doc_id"])
     return found.select("doc_id", *[e.alias(n) for n, e in verdict("found").items()])

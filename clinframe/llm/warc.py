@@ -109,17 +109,11 @@ def page_records(record_id: str, page_id: int | None, uri: str, payload: bytes,
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{record_id[:-1]}:{i}>"), ("WARC-Target-URI", uri), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", record_id), ("WARC-Segment-Number", i), ("WARC-Segment-Total-Length", total)], piece)
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _write(folder: str, segment: int, archive: int):
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filesystem, base = _filesystem(folder)
+        filesystem, base = common.filesystem(folder)
         task = TaskContext.get()
         name, held, size, n, done = f"{task.partitionId():06d}-{task.taskAttemptId()}", [], 0, 0, []
 
@@ -162,7 +156,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, segment: int = SEGMENT, archive: int = ARCHIVE) -> DataFrame:
     """Write the archives of pages (page_id, url, html); their manifest, kept as a table in the folder."""
-    filesystem, base = _filesystem(folder)
+    filesystem, base = common.filesystem(folder)
     filesystem.create_dir(base, recursive=True)
     with_revisits(pages).mapInArrow(_write(folder, segment, archive), MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -223,7 +217,7 @@ PART_ARROW = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("tota
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            filesystem, file = _filesystem(path)
+            filesystem, file = common.filesystem(path)
             with filesystem.open_input_stream(file, compression=None) as f:
                 data = f.read()
             rows = []

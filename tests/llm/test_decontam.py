@@ -111,3 +111,23 @@ def test_spans_of_shared_passages(spark):
     for r in found:
         assert {tuple(s) for s in r.found.spans} == naive_spans(r.text, items, 4)
         assert len({tuple(s) for s in r.found.spans}) == len(r.found.spans)
+
+
+def test_hot_passage_and_one_pass(spark):
+    """A passage that many items and many texts share costs rows for texts only; many blocks are one scan of the texts."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, f"{passage} own{i} tail") for i in range(200)]
+    tests = decontam.Tests([str(i) for i, _ in items], [t for _, t in items], 13)
+    texts = [f"t{i} {passage} end" for i in range(300)] + ["other words"]
+    raw = [t.encode() for t in texts]
+    shard = decontam.Shard(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 13)
+    hits, chains, matches = shard.search(tests, False)
+    assert len(chains[0]) == 300 and len(matches[0]) == 0 and len(hits[0]) == 300 * 8
+    docs = list(enumerate(texts)) + [(900, " ".join(f"{passage} own{i}" for i in range(3)))]
+    rows = check(spark, docs, items, block_words=100)
+    assert decontam.prepared(spark.createDataFrame(items, "item_id long, text string"), 13, 100)[1] > 40
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    lean = decontam.annotate(rows.drop("found"), spark.createDataFrame(items, "item_id long, text string"), spans=False, keep=["doc_id"], block_words=100)
+    assert lean.columns == ["doc_id", "found"]
+    cols = [e.alias(n) for n, e in decontam.verdict("found").items()]
+    assert sorted(lean.select("doc_id", *cols).collect()) == sorted(rows.select("doc_id", *cols).collect())
