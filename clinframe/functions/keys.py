@@ -16,6 +16,14 @@ CBC_UNITS = {
     "MONO#": "10^3/uL", "MONO%": "%", "EO#": "10^3/uL", "EO%": "%", "BASO#": "10^3/uL", "BASO%": "%", "IG#": "10^3/uL", "IG%": "%",
 }
 CBC_ORDER = list(CBC_UNITS)
+#: What codes are called where that isn't the code itself.
+CBC_LABELS = {
+    "WBC": "White Blood Cell Count", "RBC": "Red Blood Cell Count", "HGB": "Hemoglobin", "HCT": "Hematocrit", "MCV": "Mean Corpuscular Volume", "MCH": "Mean Corpuscular Hemoglobin",
+    "MCHC": "Mean Corpuscular Hemoglobin Concentration", "PLT": "Platelet Count", "RDW-SD": "Red Cell Distribution Width - SD", "RDW-CV": "Red Cell Distribution Width - CV", "PDW": "Platelet Distribution Width",
+    "MPV": "Mean Platelet Volume", "PCT": "Plateletcrit", "NRBC#": "Nucleated Red Blood Cells Absolute", "NRBC%": "NRBC Percent", "NEUT#": "Neutrophils Absolute", "NEUT%": "Neutrophils Percent",
+    "LYMPH#": "Lymphocytes Absolute", "LYMPH%": "Lymphocytes Percent", "MONO#": "Monocytes Absolute", "MONO%": "Monocytes Percent", "EO#": "Eosinophils Absolute", "EO%": "Eosinophils Percent",
+    "BASO#": "Basophils Absolute", "BASO%": "Basophils Percent", "IG#": "Immature Granulocytes Absolute", "IG%": "Immature Granulocytes Percent",
+}
 #: Other spellings that name a test by themselves, and prefixes of the differential count.
 ALIASES = [
     "HB", "RDW", "RDWSD", "RDWCV", "PLCR", "NRBC", "NEUT", "LYMPH", "MONO", "EO", "EOS#", "EOS", "EOS%", "BASO", "IG", "GLU", "GLUCOSE", "GLUCOZA", "GLICEMIE", "CREATININA",
@@ -104,3 +112,8 @@ def default_unit(key: Column, more: dict[str, str] = MORE_UNITS) -> Column:
     """The unit that a test has where none is named; with more = {} of codes in report order only."""
     pairs = [F.lit(x) for kv in {**CBC_UNITS, **more}.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), key)
+
+
+def label(code: Column) -> Column:
+    """What a blood-count code is called."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CBC_LABELS.items() for x in pair]), code), code)

@@ -45,8 +45,9 @@ def normal(text: Column) -> Column:
 
 
 def clean_string(text: Column) -> Column:
-    """Plain dashes, collapsed blanks, no blanks, colons or semicolons at the ends; null for nothing."""
-    t = F.regexp_replace(F.translate(text, "−–—\ufeff", "---"), r"[\s\x{A0}]+", " ")
+    """Plain dashes, broken encoding dropped, collapsed blanks, no blanks, colons or semicolons at the ends; null for nothing."""
+    t = F.replace(F.translate(text, "−–—\ufeffÂ\ufffd", "---"), F.lit("â€"), F.lit(""))
+    t = F.regexp_replace(t, r"[\s\x{A0}]+", " ")
     return F.nullif(F.regexp_replace(t, r"^[ ;:]+|[ ;:]+$", ""), F.lit(""))
 
 

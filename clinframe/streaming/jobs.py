@@ -7,26 +7,15 @@ a batch's last rows into a table of its own version, so that a batch replayed af
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clinframe.sources.scratch import scratch
+
 #: What a well-formed event has; others go to quarantine.
 VALID = "event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND event_type IN ('view', 'signup', 'error', 'click', 'purchase')"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir. A local one only where that is unset and the session is local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="clinframe-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files: every Parquet file or folder of the name events*.parquet."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
