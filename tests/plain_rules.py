@@ -1,9 +1,10 @@
 """The parsers' rules once more, as plain Python over lists: what the operators are compared with."""
 
 import re
+import unicodedata
 from statistics import median
 
-from clinframe.functions import cells, keys, numbers
+from clinframe.functions import cells, keys
 
 KNOWN = set(keys.CBC_ORDER) | set(keys.ALIASES)
 NUMBER = re.compile(cells.NUMBER)
@@ -257,5 +258,97 @@ def merged(groups):
     return [best[k] for k in sorted(order, key=lambda k: (place.get(k, 999), order.index(k)))]
 
 
-def value_of(t):
-    return numbers, t
+def clean_string(t):
+    for bad in ("\ufeff", "Â", "â€", "\ufffd"):
+        t = t.replace(bad, "")
+    t = re.sub(r"\s+", " ", re.sub("[−–—]", "-", t)).strip(" ;:")
+    return t or None
+
+
+def cbc_code(t):
+    t = re.sub("[ .]", "", (clean_string(t) or "").upper()).replace("_", "-").replace("＃", "#").replace("％", "%")
+    t = {"RDWSD": "RDW-SD", "RDWCV": "RDW-CV", "PLCR": "P-LCR", "P-LCR%": "P-LCR"}.get(t, t)
+    return t if t in keys.CBC_UNITS else None
+
+
+def standard(r):
+    """A row (key, value, range, unit, flag, confidence) as it is stored; values, ranges and units are given in plain form."""
+    key, value, range_, unit_, flag_, confidence = r
+    if flag_ is None and value is not None and range_ is not None:
+        low, high = map(float, range_.split(" - "))
+        flag_ = "Low" if float(value) < low else "High" if float(value) > high else "Normal"
+    if value is None or (range_ is None and flag_ == "Normal"):
+        flag_ = None
+    return (cbc_code(key) or clean_string(key), value, range_, unit_, flag_, confidence)
+
+
+def stored(groups):
+    best, order = {}, []
+
+    def weight(r):
+        return r[5] + 0.4 * (r[1] is not None) + 0.4 * (r[2] is not None) + 0.15 * (r[3] is not None) + 0.08 * (r[4] in ("High", "Low")) + 0.25 * (cbc_code(r[0]) is not None) + 0.05
+
+    for r in (standard(r) for g in groups for r in g):
+        k = f"cbc:{cbc_code(r[0])}".lower() if cbc_code(r[0]) else r[0].lower().strip()
+        if k not in best:
+            order.append(k)
+        if k not in best or weight(r) >= weight(best[k]) - 1e-9:
+            best[k] = r
+    place = {f"cbc:{k}".lower(): i for i, k in enumerate(keys.CBC_ORDER)}
+    return [best[k] for k in sorted(order, key=lambda k: (place.get(k, 999), order.index(k)))]
+
+
+def gated(rows):
+    counts, values = sum(cbc_code(r[0]) is not None for r in rows), [r for r in rows if r[1] is not None]
+    return not rows or 0 < counts < 24 or len(rows) < 20 or not values or sum(r[2] is not None for r in values) < max(5, int(len(values) * 0.65))
+
+
+def catalogue_name(t):
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower().replace("_", " ").replace(":", " ")
+    return re.sub(" +", " ", re.sub(r"[^a-z0-9%+#./ -]", " ", t)).strip()
+
+
+def as_word(hay, term):
+    return re.search(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])", hay) is not None
+
+
+def definition(name, definitions):
+    n, best = catalogue_name(name), (0, None, None)
+    compact = lambda t: re.sub("[^a-z0-9%#]", "", t)
+    for canonical, category, synonyms in definitions if n else []:
+        for t in map(catalogue_name, [canonical, *synonyms]):
+            score = 100 if n == t else 98 if compact(n) and compact(n) == compact(t) else 90 if len(t) >= 3 and as_word(n, t) else 75 if len(t) >= 4 and t in n else 65 if len(n) >= 4 and n in t else 0
+            if score > best[0]:
+                best = (score, canonical, category)
+    return best[1:]
+
+
+def category(context, words):
+    t, best = catalogue_name(context), (0, None)
+    if not t or any(catalogue_name(u) in t for u in cells.URINE):
+        return None
+    for name, listed in words.items():
+        for w in map(catalogue_name, listed):
+            score = 90 if as_word(t, w) else 70 if w in t else 0
+            if score > best[0]:
+                best = (score, name)
+    return best[1]
+
+
+def report(table_rows, words, ls, plain, whole, second, definitions, category_words):
+    """(labs as (raw name, canonical, category, value, flag, range, unit), gated) of one report; second: rows with a category, or None."""
+    of_text = lambda t, c: [(*r, c) for r in lines((t or "").splitlines())]
+    firsts = merged([of_text(plain, 0.7), of_text(whole, 0.7), [(*r, 0.935) for r in lines(ls)], [(*r, 0.965) for r in tokens(words)], [(*r, 0.995) for r in table(table_rows)]])
+    urine = lambda name: any(catalogue_name(u) in catalogue_name(name) for u in cells.URINE)
+    firsts = [r for r in firsts if not urine(r[0])]
+    help_ = gated(firsts)
+    more = [r for r in second or [] if help_ and r[0] and not urine(r[0])]
+    out, own = [], {(clean_string(r[0]) or "").lower(): r[6] for r in more}
+    for key, value, range_, unit_, flag_, _ in stored([firsts, [r[:6] for r in more]]):
+        if cbc_code(key):
+            out.append((key, keys.CBC_LABELS.get(key, key), "Hematologie", value, flag_, range_, unit_))
+            continue
+        canonical, known = definition(key, definitions)
+        context = " ".join(x for x in (whole, own.get(key.lower()) or "Alte analize") if x)
+        out.append((key, canonical or key, known or category(context, category_words) or "Alte analize", value, flag_, range_, unit_))
+    return out, help_
