@@ -10,17 +10,18 @@ after every register's first. Two registers agree with the probability Jaccard s
   2. Representatives that share a band are candidates. They are not paired all with all: a bucket's members are compared
      with its pivot, the text that meets most others, first in FIRST_BANDS bands, then in all of them.
   3. What is left are buckets with members of several components that aren't similar to the pivot. Their texts get a
-     second sketch of LONG_REGISTERS, and a bucket goes to tasks in blocks of BLOCK members, two at a time; a task compares
-     sketches of different components, in the first band that a pair shares, and gives out only those pairs that agree as
-     often as a pair at the threshold can. Blocks of the bucket's largest component aren't put together with each other.
+     second sketch of LONG_REGISTERS; a bucket of up to BLOCK members is compared where they meet. Of a larger one each member
+     is shuffled once, into a file of its block in the shared folder, and tasks read the blocks two at a time. A task
+     compares sketches of different components, in the first band that a pair shares, and gives out only those pairs that agree
+     as often as a pair at the threshold can. Blocks of the bucket's largest component aren't put together with each other.
   4. Every pair is verified on the two whole texts: its exact probability Jaccard must reach the threshold.
   5. Verified links become components by minimum labels and pointer jumping, in joins.
 
 A pair at the threshold shares no band with probability (1 - 0.8^7)^40 < 1e-4, and its second sketches agree less than step 3
 asks for with 3e-7; no other link is lost. Texts are shuffled only where they have candidates; every join is between written
 tables, so that AQE can split hot keys. Tables are in the shared folder; nothing per document reaches the driver. Step 3
-compares bytes in memory, which is quadratic in what a bucket holds beyond its largest component; rows are so only divided by
-BLOCK. Capping it would lose links.
+compares bytes in memory, which is quadratic in what a bucket holds beyond its largest component (what is shuffled is not, and
+blocks are read once for BLOCK members). Capping it would lose links.
 
 What is compared, linked and labelled is a text. It is named by its smallest doc_id (pivots of low ids are good ones); where
 that is null or is the name of several texts, by 63 bits of its digest, as a negative number. So rows with null or repeated
@@ -33,6 +34,8 @@ digest comes first; empty tables give empty tables; extra columns aren't read, o
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +52,9 @@ NULL_ID = -(1 << 63)
 #: The first round uses these bands only: they merge large groups of copies before all bands are looked at.
 FIRST_BANDS = 6
 #: Step 3: registers of the second sketch, and members of a block.
-LONG_REGISTERS, BLOCK = 1024, 512
+LONG_REGISTERS, BLOCK = 1024, 2048
+#: Tasks that compare blocks, at most.
+MOST_TASKS = 4096
 TEXTS_A_TASK = 1000
 #: A pair at the threshold whose registers agree less than this many standard deviations below it has a chance of 3e-7.
 DEVIATIONS = 5
@@ -136,30 +141,84 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _close(threshold: float):
-    """Pairs of different labels whose long sketches agree often enough, of the blocks in each task (h, i, j).
+class Members:
+    """Members of a bucket: name, label, band, and the bytes of both sketches."""
 
-    A pair that shares several bands is in as many buckets, which are all torn; only the first one looks at it.
-    """
-    least = LONG_REGISTERS * threshold - DEVIATIONS * (LONG_REGISTERS * threshold * (1 - threshold)) ** 0.5
+    def __init__(self, table: pa.Table):
+        self.rep, self.label, self.band = (table.column(c).to_numpy() for c in ("rep", "label", "band"))
+        self.bands, self.sketch = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(len(table), -1) for c in ("short", "long_sketch"))
+
+    def close(self, other: "Members", least: float) -> np.ndarray:
+        """Pairs of different labels whose long sketches agree in `least` registers.
+
+        A pair that shares several bands is in as many buckets, which are all torn; only the first one looks at it.
+        """
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(len(self.rep)):
+            others = np.flatnonzero(other.label != self.label[k])
+            if other is self:
+                others = others[others > k]
+            shared = (other.bands[others] == self.bands[k]).reshape(-1, BANDS, ROWS).all(2)
+            others = others[shared.argmax(1) == self.band[k]]
+            near = others[np.count_nonzero(other.sketch[others] == self.sketch[k], 1) >= least]
+            found.append(np.stack([np.minimum(other.rep[near], self.rep[k]), np.maximum(other.rep[near], self.rep[k])], 1))
+        return np.concatenate(found)
+
+
+def least_agreement(threshold: float) -> float:
+    return LONG_REGISTERS * threshold - DEVIATIONS * (LONG_REGISTERS * threshold * (1 - threshold)) ** 0.5
+
+
+def _pairs_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+
+def _close(least: float):
+    """(a, b) of whole buckets, sorted by h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            _, i, j, block, rep, label, band = (group.column(k).to_numpy() for k in range(7))
-            bands, sketch = (np.frombuffer(b"".join(group.column(k).to_pylist()), np.uint8).reshape(len(group), -1) for k in (7, 8))
-            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-            found = [np.zeros((0, 2), np.int64)]
-            for k in left.tolist():
-                others = right[label[right] != label[k]]
-                if i[0] == j[0]:
-                    others = others[others > k]
-                shared = (bands[others] == bands[k]).reshape(-1, BANDS, ROWS).all(2)
-                others = others[shared.argmax(1) == band[0]]
-                near = others[np.count_nonzero(sketch[others] == sketch[k], 1) >= least]
-                found.append(np.stack([np.minimum(rep[near], rep[k]), np.maximum(rep[near], rep[k])], 1))
-            pairs = np.concatenate(found)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        for group in _groups(batches, 1):
+            members = Members(group)
+            if len(pairs := members.close(members, least)):
+                yield _pairs_batch(pairs)
+
+    return run
+
+
+def _write_blocks(folder: str):
+    """Each block's members as a file in the shared folder; (h, block, inside, path). A task's retry writes files of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, base = common.filesystem(folder)
+        for group in _groups(batches, 2):
+            h, block, inside = (group.column(c)[0].as_py() for c in ("h", "block", "inside"))
+            name = f"{h & ((1 << 64) - 1):016x}-{block}-{uuid.uuid4().hex[:8]}"
+            with filesystem.open_output_stream(f"{base}/{name}", compression=None) as out:
+                out.write(pickle.dumps(Members(group)))
+            yield pa.RecordBatch.from_pydict({"h": [h], "block": [block], "inside": [inside], "path": [f"{folder}/{name}"]}, BLOCKS)
+
+    return run
+
+
+BLOCKS = pa.schema([("h", pa.int64()), ("block", pa.int32()), ("inside", pa.bool_()), ("path", pa.string())])
+
+
+def _close_between(least: float):
+    """(a, b) of pairs of blocks (one, other), sorted by one: a block is read, not shuffled, for each block that it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(path: str) -> Members:
+            filesystem, file = common.filesystem(path)
+            with filesystem.open_input_stream(file, compression=None) as f:
+                return pickle.loads(f.read())
+
+        at, left = None, None
+        for batch in batches:
+            for one, other in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if one != at:
+                    at, left = one, read(one)
+                if len(pairs := left.close(left if other == one else read(other), least)):
+                    yield _pairs_batch(pairs)
 
     return run
 
@@ -298,16 +357,30 @@ def _left_over(members: DataFrame, classes: DataFrame, plain: DataFrame, owners:
     sketches = dealt.mapInArrow(_sign(LONG_REGISTERS), "rep long, sketch binary").toDF("of", "long_sketch")
     sketches = common.materialise(sketches.join(classes, F.col("of") == F.col("rep")).select("of", F.col("sketch").alias("short"), "long_sketch"), "near-long")
     common.discard(texts)
-    outside = left.groupBy("h").agg(F.count_if(~F.col("inside")).alias("n_out")).withColumnRenamed("h", "bucket")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    one = F.col("n") <= BLOCK
-    dealt = left.join(outside, F.col("h") == F.col("bucket")).withColumn("n_low", F.when(one, 0).otherwise(blocks(F.col("n") - F.col("n_out")))).withColumn("n_out", F.when(one, 1).otherwise(blocks(F.col("n_out"))))
-    number = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    dealt = dealt.withColumn("inside", F.col("inside") & ~one).withColumn("block", F.when(F.col("inside"), number(F.col("n_low"))).otherwise(F.col("n_low") + number(F.col("n_out"))))
-    other = F.explode(F.sequence(F.when(F.col("inside"), F.col("n_low")).otherwise(F.lit(0)), F.col("n_low") + F.col("n_out") - 1))
-    tasks = dealt.join(sketches, F.col("rep") == F.col("of")).withColumn("other", other)
-    tasks = tasks.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "label", "band", "short", "long_sketch")
-    pairs = common.materialise(tasks.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_close(threshold), EDGES), "near-close")
+    least, columns = least_agreement(threshold), ["rep", "label", "band", "short", "long_sketch"]
+    held = left.join(sketches, F.col("rep") == F.col("of"))
+    # A bucket of one block is compared where its members meet.
+    small = held.where(F.col("n") <= BLOCK).select("h", *columns).repartition("h").sortWithinPartitions("h")
+    pairs = small.mapInArrow(_close(least), EDGES)
+    large = left.where(F.col("n") > BLOCK).groupBy("h").agg(F.count_if("inside").alias("n_in"), F.count_if(~F.col("inside")).alias("n_out"))
+    large = common.materialise(large.withColumnRenamed("h", "bucket"), "near-large")
+    if not large.isEmpty():
+        # Of others each member goes once into a file of its block; after the blocks of the largest component come the rest.
+        blocks = lambda n: F.greatest(F.ceil(F.col(n) / F.lit(BLOCK)), F.lit(1)).cast("int")
+        number = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+        dealt = held.join(F.broadcast(large) if large.count() * 24 <= common.BROADCAST_BYTES else large, F.col("h") == F.col("bucket"))
+        dealt = dealt.withColumn("block", F.when(F.col("inside"), number("n_in")).otherwise(blocks("n_in") + number("n_out"))).select("h", "block", "inside", *columns)
+        folder = common.scratch_path(plain.sparkSession, "near-blocks")
+        filesystem, base = common.filesystem(folder)
+        filesystem.create_dir(base, recursive=True)
+        files = common.materialise(dealt.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_write_blocks(folder), "h long, block int, inside boolean, path string"), "near-files")
+        one, other = files.toDF("h", "i", "in_i", "one"), files.toDF("k", "j", "in_j", "other")
+        meet = one.join(other, (F.col("h") == F.col("k")) & (F.col("i") <= F.col("j")) & ~(F.col("in_i") & F.col("in_j"))).select("one", "other")
+        meet = common.materialise(meet, "near-meet")
+        tasks = meet.repartition(max(1, min(meet.count(), MOST_TASKS)), "one", "other").sortWithinPartitions("one", "other")
+        pairs = pairs.unionByName(tasks.mapInArrow(_close_between(least), EDGES))
+    pairs = common.materialise(pairs, "near-close")
+    common.discard(large)
     for done in (left, sketches):
         common.discard(done)
     return pairs.distinct()

@@ -158,3 +158,25 @@ def test_keep_one_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y"), (2, "a b c d e f", 3, 4, "y")], "doc_id long, text string, kept_n int, rep int, KEPT_ID string")
     got = neardups.keep_one(docs)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f", 1, 2, "x")]
+
+
+def test_members_are_shuffled_once(spark):
+    """What blocks of one bucket are compared from: each member is in one file, whatever the number of blocks."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    base = rng.randbytes(neardups.LONG_REGISTERS)
+    rows = []
+    for i in range(40):
+        sketch = bytearray(base)
+        for _ in range(rng.randint(0, 160)):
+            sketch[rng.randrange(len(sketch))] = rng.randrange(256)
+        rows.append({"h": 1, "rep": i, "label": i % 30, "band": 0, "short": b"\1" * neardups.REGISTERS, "long_sketch": bytes(sketch)})
+    schema = pa.schema([("h", pa.int64()), ("rep", pa.int64()), ("label", pa.int64()), ("band", pa.int32()), ("short", pa.binary()), ("long_sketch", pa.binary())])
+    least = neardups.least_agreement(0.8)
+    whole = neardups.Members(pa.Table.from_pylist(rows, schema))
+    halves = [neardups.Members(pa.Table.from_pylist(rows[a::2], schema)) for a in (0, 1)]
+    want = {(a["rep"], b["rep"]) for a in rows for b in rows if a["rep"] < b["rep"] and a["label"] != b["label"] and sum(x == y for x, y in zip(a["long_sketch"], b["long_sketch"])) >= least}
+    assert set(map(tuple, whole.close(whole, least).tolist())) == want and 0 < len(want) < 780
+    parts = [halves[0].close(halves[0], least), halves[1].close(halves[1], least), halves[0].close(halves[1], least)]
+    assert sorted(map(tuple, (p for x in parts for p in x.tolist()))) == sorted(want)
