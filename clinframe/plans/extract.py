@@ -188,7 +188,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_complete(jobs.latest_state(jobs.read_events(spark, sf_dir)), "job-state")
+    return jobs.run_upsert(jobs.read_events(spark, sf_dir), "job-state").select("user_id", "event_id", "state", "n_events")
+
+
+def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queued, processing, done, error and stuck, as a stream with keyed state and timers gives them out."""
+    return jobs.run_stateful(jobs.transitions(jobs.read_events(spark, sf_dir)), "transitions")
 
 
 def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +258,7 @@ _FLAGGED = "CASE WHEN value IS NULL OR lo IS NULL THEN NULL WHEN value::DOUBLE <
 _RANGED = "CASE WHEN lo IS NOT NULL THEN least(lo, hi) || ' - ' || greatest(lo, hi) END AS reference_range"
 
 
-QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, ext_tumbling, ext_sliding, ext_session, ext_stream_static, ext_quarantine, job_stuck, job_completions)}
+QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, job_transitions, ext_tumbling, ext_sliding, ext_session, ext_stream_static, ext_quarantine, job_stuck, job_completions)}
 _MERGE = "WITH {items}, c AS (SELECT document, code, n, result, CASE WHEN n % 3 = 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS score FROM items) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document, code ORDER BY score DESC, n {tie}) = 1"
 ORACLE = {
     "table_roles": f"WITH {_SQL_ITEMS} SELECT DISTINCT document, (document % 4)::INT AS test, ((document + 1) % 4)::INT AS result, ((document + 2) % 4)::INT AS reference, ((document + 3) % 4)::INT AS unit, NULL::INT AS flag FROM items",
@@ -324,6 +329,15 @@ ORACLE = {
       SELECT document, string_agg(category, ',' ORDER BY coalesce(nullif(list_position({_sql_list(catalog.CATEGORY_ORDER)}, category), 0), 999), first) AS categories FROM g GROUP BY 1""",
     "json_props": "SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, count(props->>'k') AS n FROM events GROUP BY 1",
     "job_latest_state": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_events FROM events GROUP BY 1",
+    # Each user's events one after the other; the watermark of the end decides what has come out.
+    "job_transitions": """WITH RECURSIVE w AS (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 minute AS now FROM events),
+      e AS (SELECT user_id, event_id, date_trunc('millisecond', ts) AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'processing' END AS said,
+        row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id) AS i FROM events, w WHERE date_trunc('millisecond', ts) < now),
+      j AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, ''::VARCHAR AS state, NULL::TIMESTAMP AS since, false AS moved, NULL::TIMESTAMP AS was_stuck FROM e
+        UNION ALL SELECT user_id, e.i, e.event_id, CASE WHEN said = 'queued' OR j.state IN ('queued', 'processing', 'stuck') THEN said ELSE j.state END, CASE WHEN said = 'queued' OR j.state IN ('queued', 'processing', 'stuck') THEN ts ELSE since END,
+          said = 'queued' OR j.state IN ('queued', 'processing', 'stuck'), CASE WHEN j.state IN ('queued', 'processing') AND since + INTERVAL 1 hour < ts THEN since + INTERVAL 1 hour END FROM j JOIN e USING (user_id) WHERE e.i = j.i + 1)
+      SELECT user_id, event_id, state, since AS at FROM j WHERE moved UNION ALL SELECT user_id, NULL, 'stuck', was_stuck FROM j WHERE was_stuck IS NOT NULL
+      UNION ALL SELECT user_id, NULL, 'stuck', since + INTERVAL 1 hour FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1), w WHERE state IN ('queued', 'processing') AND since + INTERVAL 1 hour < now""",
     "ext_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2",
     "ext_sliding": """WITH e AS (SELECT *, unnest([time_bucket(INTERVAL 1 hour, ts), time_bucket(INTERVAL 1 hour, ts) - INTERVAL 1 hour]) AS w FROM events)
       SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE w + INTERVAL 2 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2""",

@@ -1,14 +1,19 @@
 """Streams of job and chart events: latest state, windows, once-only completions, stuck jobs, bad rows.
 
 Each stream is driven by availableNow. Aggregations with a watermark give out a window once it is over and forget it (append
-mode, file sink), so neither state nor output grows with the stream's age. Latest states are an upsert: foreachBatch merges
-a batch's last rows into a table of its own version, so that a batch replayed after a failure writes the same again.
+mode, file sink), so neither state nor output grows with the stream's age. Job transitions are keyed state with timers. Latest
+states are an upsert into a table in buckets, by foreachBatch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clinframe.sources.scratch import scratch
 
@@ -32,12 +37,6 @@ def quarantined(events: DataFrame) -> DataFrame:
     return events.where(f"NOT coalesce({VALID}, false)").withColumn("reason", reason)
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    """The last event of each user by (ts, event_id), and how many there were."""
-    last = F.max(F.struct("ts", "event_id", "event_type"))
-    return events.groupBy("user_id").agg(last.alias("last"), F.count(F.lit(1)).alias("n_events")).select("user_id", F.col("last.event_id").alias("event_id"), F.col("last.event_type").alias("state"), "n_events")
-
-
 def _windowed(events: DataFrame, window, late: str) -> DataFrame:
     per = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return per.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
@@ -68,38 +67,164 @@ def stuck(states: DataFrame, at, after: str = "1 hour", active: tuple[str, ...]
     return states.where(F.col("state").isin(*active) & (F.col("ts") < at - F.expr(f"INTERVAL {after}")))
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run a streaming aggregation over what is available now; its final table."""
-    spark = stream.sparkSession
-    path = scratch(spark, name)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/table")
-
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+#: Columns of the table of latest states.
+STATES = "user_id long, event_id long, state string, ts timestamp, n_events long"
 
 
-def run_upsert(events: DataFrame, name: str) -> DataFrame:
-    """The last event of each user, kept as a table of versions: batch n reads version n - 1 and writes version n.
+def run_upsert(events: DataFrame, name: str, buckets: int = 16) -> DataFrame:
+    """The last event of each user by (ts, event_id), and how many there were, kept as a table in buckets of users.
 
-    Only a batch's own last rows meet the table; nothing is held between batches.
+    Batch n reads the buckets that its users are in, as they were after batch n - 1, and writes these buckets anew as version
+    n; a manifest says which version of each bucket counts. A batch replayed after a failure so writes the same again. Versions
+    that neither of the last two manifests names are removed. Without any batch the table is empty.
     """
     spark = events.sparkSession
     path = scratch(spark, name)
-    columns = ["user_id", "event_id", "state", "ts"]
+
+    def read(version: int) -> DataFrame:
+        return spark.read.schema(f"{STATES}, bucket int").parquet(f"{path}/v{version}")
+
+    def versions(batch_id: int) -> dict[int, int]:
+        """bucket -> version after a batch; batches without rows write nothing."""
+        found = [n for n in _batches(spark, path) if n <= batch_id]
+        return {r.bucket: r.version for r in spark.read.schema("bucket int, version int").parquet(f"{path}/manifest-{max(found)}").collect()} if found else {}
+
+    def current(held: dict[int, int]) -> DataFrame:
+        parts = [read(v).where(F.col("bucket").isin(*[k for k, w in held.items() if w == v])) for v in sorted(set(held.values()))]
+        return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"{STATES}, bucket int"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("user_id", "event_id", F.col("event_type").alias("state"), "ts")
-        old = spark.read.parquet(f"{path}/v{batch_id - 1}").select(*columns) if batch_id else new.limit(0)
+        bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+        new = batch.select("user_id", "event_id", F.col("event_type").alias("state"), "ts", F.lit(1).cast("long").alias("n_events")).withColumn("bucket", bucket)
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        if not touched:
+            return
+        before = versions(batch_id - 1)
+        old = current({k: v for k, v in before.items() if k in touched})
         last = F.max(F.struct("ts", "event_id", "state")).alias("last")
-        new.unionByName(old).groupBy("user_id").agg(last).select("user_id", "last.event_id", "last.state", "last.ts").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        merged = new.unionByName(old).groupBy("bucket", "user_id").agg(last, F.sum("n_events").alias("n_events"))
+        merged.select("user_id", "last.event_id", "last.state", "last.ts", "n_events", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/v{batch_id}")
+        now = before | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest-{batch_id}")
+        named = {batch_id, *now.values(), *before.values()}
+        for n in _batches(spark, path):
+            if n < batch_id - 1 and n not in named:
+                _remove(spark, f"{path}/v{n}")
 
     q = events.writeStream.option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    newest = (q.lastProgress or {}).get("batchId", 0)
-    return spark.read.parquet(f"{path}/v{newest}")
+    done = _batches(spark, path)
+    return current(versions(max(done, default=-1))).drop("bucket")
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Batches that have a manifest."""
+    files, at = _folder(spark, path)
+    names = [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+    return sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.delete(at, True)
+
+
+#: What an event says of a job, and the states in which a job is under way.
+MOVES = {"signup": "queued", "view": "processing", "click": "processing", "purchase": "done", "error": "error"}
+UNDER_WAY = ("queued", "processing", "stuck")
+TRANSITIONS = "user_id long, event_id long, state string, at timestamp"
+
+
+def transitions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """The transitions of each user's job: queued, processing, done or error, and stuck after `patience` without a move.
+
+    A job is queued from any state; it goes on, ends or fails only while it is under way, and other events of it are ignored.
+    Events wait in keyed state until the watermark has passed them and are applied in order of (ts, event_id); a timer at
+    the job's deadline marks it stuck, at the deadline's time, if it is queued or processing. So what comes out depends
+    on the events alone, not on batches. A job that is done or failed has no state, one that is under way has one row.
+    """
+    seconds = int(pd.Timedelta(patience).total_seconds() * 1000)
+    plain = events.select("user_id", "event_id", "event_type", "ts").where(F.col("user_id").isNotNull() & F.col("event_type").isin(*MOVES))
+    grouped = plain.withWatermark("ts", late).groupBy("user_id")
+    return grouped.transformWithStateInPandas(statefulProcessor=_Job(seconds), outputStructType=TRANSITIONS, outputMode="Append", timeMode="EventTime")
+
+
+class _Job(StatefulProcessor):
+    """Keyed state: the events that wait, and of a job under way its state and since when (in milliseconds)."""
+
+    def __init__(self, patience: int):
+        self.patience = patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, state string")
+        self.job = handle.getValueState("job", "state string, since long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64") // 1000
+            new = [(int(t), int(i), MOVES[k]) for t, i, k in zip(at, frame["event_id"], frame["event_type"])]
+            self.waiting.appendList(new)
+            first = min([first, *(n[0] for n in new)], key=lambda x: (x is None, x)) if new else first
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
+        state, since = self.job.get() if self.job.exists() else (None, 0)
+        out = []
+
+        def expire(at: int) -> None:
+            nonlocal state
+            if state in ("queued", "processing") and since + self.patience < at:
+                state = "stuck"
+                out.append((None, "stuck", since + self.patience))
+
+        for at, event_id, said in due:
+            expire(at)
+            if said == "queued" or state in UNDER_WAY:
+                state, since = said, at
+                out.append((event_id, said, at))
+        expire(now)
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0] + 1)
+        if state in UNDER_WAY:
+            self.job.update((state, since))
+            if state != "stuck":
+                self.handle.registerTimer(since + self.patience + 1)
+        else:
+            self.job.clear()
+        if out:
+            frame = pd.DataFrame(out, columns=["event_id", "state", "at"])
+            yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"].astype("Int64"), "state": frame["state"], "at": pd.to_datetime(frame["at"], unit="ms", utc=True).dt.tz_localize(None)})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_stateful(stream: DataFrame, name: str) -> DataFrame:
+    """run_append() with the state store that timers and keyed state need."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, ROCKSDB)
+    try:
+        return run_append(stream, name)
+    finally:
+        conf.set(key, before)
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
