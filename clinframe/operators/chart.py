@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from clinframe.functions import flags
 from clinframe.sources.bindings import LAB_ORDER, SECTIONS
+from clinframe.sources.scratch import written
 
 
 def section_or_other(section: Column) -> Column:
@@ -100,14 +101,37 @@ def top_abnormal(documents: DataFrame, labs: DataFrame, access: DataFrame, revie
     return each.select("doctor_user_id", "patient_id", "lab.document_id", "lab.test_key", "lab.flag", (F.col("place") + 1).alias("place"))
 
 
-def care_context(patients: DataFrame, events: DataFrame) -> DataFrame:
-    """active with the latest active event, past with the latest event, or outpatient."""
+def worklist_rows(documents: DataFrame, labs: DataFrame, access: DataFrame, reviews: DataFrame, n: int = 3) -> DataFrame:
+    """worklist_counts() and the test keys of top_abnormal() as one array, from one aggregation of labs per document.
+
+    Documents with their counts and first labs are written once, for the patients' totals and for what was reviewed; access and
+    receipts meet in one group by (doctor, patient).
+    """
+    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
+    first = F.array_sort(F.collect_list(F.when(flags.worklist_abnormal(F.col("flag")), F.struct(*order, "test_key"))))
+    per = labs.groupBy(F.col("document_id").alias("labs_of")).agg(F.count_if(flags.worklist_abnormal(F.col("flag"))).alias("n_abnormal"), F.transform(F.slice(first, 1, n), lambda x: x["test_key"]).alias("first"))
+    docs = documents.select("id", "patient_id").join(per, F.col("id") == F.col("labs_of"), "left").select("id", "patient_id", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), "first")
+    docs = written(docs, "worklist-documents")
+    listed = F.when(F.coalesce(F.size("first"), F.lit(0)) > 0, F.struct((-F.col("id")).alias("order"), "id", "first"))
+    totals = docs.groupBy(F.col("patient_id").alias("of_patient")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_abnormal").alias("abnormal"), F.array_sort(F.collect_list(listed)).alias("listed"))
+    seen = reviews.join(docs, F.col("document_id") == F.col("id")).select("doctor_user_id", "patient_id", F.lit(0).alias("may_see"), "id", "n_abnormal")
+    both = access.select("doctor_user_id", "patient_id", F.lit(1).alias("may_see"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_abnormal")).unionByName(seen)
+    pairs = both.groupBy("doctor_user_id", "patient_id").agg(F.max("may_see").alias("may_see"), F.count("id").alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal"), F.collect_set("id").alias("seen")).where("may_see = 1")
+    joined = pairs.join(totals, F.col("patient_id") == F.col("of_patient"), "left").fillna(0, ["docs", "abnormal"])
+    new = F.filter(F.coalesce("listed", F.array().cast("array<struct<order:bigint,id:bigint,first:array<string>>>")), lambda d: ~F.array_contains("seen", d["id"]))
+    names = F.slice(F.flatten(F.transform(new, lambda d: d["first"])), 1, n)
+    count = F.col("docs") - F.col("seen_docs")
+    return joined.select("doctor_user_id", "patient_id", count.alias("new_records_count"), (F.col("abnormal") - F.col("seen_abnormal")).alias("abnormal_count"), (count > 0).alias("has_new_records"), names.alias("abnormal_keys"))
+
+
+def care_context(patients: DataFrame, events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """active with the latest active event, past with the latest event, or outpatient; and the patients' columns to keep."""
     latest = lambda cond: F.max_by(F.struct("id", "event_type"), F.when(cond, F.col("id")))
     per = events.groupBy("patient_id").agg(latest(F.col("status") == "active").alias("active"), latest(F.lit(True)).alias("last"), F.count_if(F.col("status") == "active").alias("n_active"))
     joined = patients.join(per, F.col("id") == F.col("patient_id"), "left")
     event = F.when(F.col("n_active") > 0, F.col("active")).otherwise(F.col("last"))
     context = F.when(F.col("n_active") > 0, "active").when(F.col("last").isNotNull(), "past").otherwise("outpatient")
-    return joined.select(patients["id"].alias("patient_id"), context.alias("care_context"), event["id"].alias("event_id"), event["event_type"].alias("event_type"))
+    return joined.select(patients["id"].alias("patient_id"), context.alias("care_context"), event["id"].alias("event_id"), event["event_type"].alias("event_type"), *keep)
 
 
 def assignments(access: DataFrame, doctors: DataFrame, patients: DataFrame) -> DataFrame:

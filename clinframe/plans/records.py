@@ -110,11 +110,10 @@ def upload_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A doctor's patients with counts, care and the names of their first abnormal labs."""
-    documents, labs, flags_, access, reviews, patients, events = _tables(spark, sf_dir, "documents", "lab_results", "lab_flags", "access", "reviews", "patients", "events")
-    counts = chart.worklist_counts(documents, flags_, access, reviews)
-    top = chart.top_abnormal(documents, labs, access, reviews).groupBy("doctor_user_id", "patient_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "test_key"))), lambda x: x["test_key"]), " ").alias("abnormal_names"))
-    care = chart.care_context(patients, events).select("patient_id", "care_context")
-    rows = counts.join(top, ["doctor_user_id", "patient_id"], "left").join(care, "patient_id").join(patients.select(F.col("id").alias("patient_id"), "full_name", "patient_identifier"), "patient_id")
+    documents, labs, access, reviews, patients, events = _tables(spark, sf_dir, "documents", "lab_results", "access", "reviews", "patients", "events")
+    work = chart.worklist_rows(documents, labs, access, reviews).withColumn("abnormal_names", F.array_join("abnormal_keys", " ")).drop("abnormal_keys")
+    care = chart.care_context(patients, events, ("full_name", "patient_identifier")).select("patient_id", "care_context", "full_name", "patient_identifier")
+    rows = work.join(care, "patient_id")
     return rows.withColumn("theme", pages.card_theme(F.col("abnormal_count"), F.col("care_context") == "active"))
 
 

@@ -114,6 +114,12 @@ def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("clean_md5"), F.length(texts.compact_key(F.col("text"))).alias("key_length"), texts.preview(F.col("text")).alias("preview"))
 
 
+def string_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored strings of the first words of texts, with broken encoding and signs around them."""
+    broken = F.concat(F.lit(" ;: Â"), F.substring("text", 1, 60), F.lit(" â€ 3–5\ufffd \u00a0 \ufeff:"))
+    return read(spark, sf_dir, "documents").select("doc_id", texts.clean_string(broken).alias("cleaned"), texts.clean_string(F.lit(" Â\ufffd;")).alias("nothing"))
+
+
 KEYWORDS = ["result", "the", "test", "que", "die"]
 
 
@@ -131,7 +137,7 @@ _SOME = "CASE WHEN o_orderkey % {k} = 0 THEN day WHEN o_orderkey % {k} = 1 THEN
 _SQL_FORMS = ", ".join("strftime(day, '%-d') || ' martie ' || strftime(day, '%Y')" if f == "martie" else f"strftime(day, '{f}')" for f in DATE_FORMS)
 _FILL = lambda *ks: ", ".join(f"nullif({_SOME.format(k=k)}, '')" for k in ks)
 
-QUERIES = {f.__name__: f for f in (num_parse, value_normalize, range_normalize, range_fused, unit_normalize, flag_infer, date_display, date_best, age_from_dob, report_titles, text_clean, ocr_quality_score)}
+QUERIES = {f.__name__: f for f in (num_parse, value_normalize, range_normalize, range_fused, unit_normalize, flag_infer, date_display, date_best, age_from_dob, report_titles, text_clean, string_clean, ocr_quality_score)}
 ORACLE = {
     "num_parse": f"WITH {_sql_made(VALUE_FORMS)}, x AS (SELECT text, lower(trim({_PLAIN})) AS t FROM made) SELECT text, CASE WHEN t NOT IN ('', '-', '--', '---', 'nil', 'n/a', 'na', 'null', 'none') THEN nullif(regexp_extract(t, '[-+]?[0-9]+(?:\\.[0-9]+)?'), '')::DOUBLE END AS number FROM x",
     "value_normalize": f"""WITH {_sql_made(VALUE_FORMS)}, x AS (SELECT text, regexp_replace({_PLAIN}, '[^0-9.+-]', '', 'g') AS k FROM made), y AS (SELECT text, CASE WHEN k LIKE '.%' THEN '0' || k ELSE k END AS k FROM x),
@@ -154,6 +160,8 @@ ORACLE = {
       SELECT l_orderkey, CASE WHEN len(c) = 1 THEN c[1] ELSE array_to_string(c[1:len(c) - 1], ', ') || ' & ' || c[len(c)] END || ' 02 Mar 2024' AS title FROM c""",
     "text_clean": """SELECT doc_id, md5(trim(regexp_replace(translate(replace(translate(text, chr(65279) || '�Â', ''), 'â€', ''), 'µμ−–—＃％︱|ΜΟΝ', 'uu---#%  MON'), '[ \\t\\r\\n\\f\\x0B\\x{A0}]+', ' ', 'g'))) AS clean_md5,
       length(regexp_replace(lower(text), '[^a-z0-9%#]', '', 'g'))::INT AS key_length, CASE WHEN length(text) > 180 THEN left(text, 180) || '...' ELSE nullif(text, '') END AS preview FROM documents""",
+    "string_clean": """SELECT doc_id, nullif(regexp_replace(regexp_replace(replace(translate(' ;: Â' || substr(text, 1, 60) || ' â€ 3–5' || chr(65533) || ' ' || chr(160) || ' ' || chr(65279) || ':', '−–—' || chr(65279) || 'Â' || chr(65533), '---'), 'â€', ''),
+      '[ \\t\\r\\n\\f\\x0B\\x{A0}]+', ' ', 'g'), '^[ ;:]+|[ ;:]+$', '', 'g'), '') AS cleaned, NULL::VARCHAR AS nothing FROM documents""",
     "ocr_quality_score": f"""WITH x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents), y AS (SELECT doc_id, t, length(t) AS n, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters,
         length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS digits, len(list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '')) AS lines, {' + '.join(f"contains(lower(t), '{k}')::INT" for k in KEYWORDS)} AS hits FROM x),
       s AS (SELECT doc_id, t, CASE WHEN t = '' THEN 0 ELSE CASE WHEN n >= 200 THEN 25 WHEN n >= 80 THEN 15 ELSE 0 END + CASE WHEN letters >= 80 THEN 20 ELSE 0 END + CASE WHEN digits >= 10 THEN 20 ELSE 0 END + CASE WHEN lines >= 5 THEN 15 ELSE 0 END

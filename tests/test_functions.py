@@ -30,7 +30,7 @@ def values(spark, expression, inputs):
     (lambda c: cells.clean_unit(c, F.lit("HGB")), {"G / DL": "g/dL", "10^3/ul": "10^3/uL", "x/y": "x/y", "foo": "g/dL", "": "g/dL"}),
     (lambda c: cells.is_urine(c, F.lit("")), {"Glucoza Urinară": True, "Nitriți": True, "Glucoza": False}),
     (files.mime_type, {"a.PDF": "application/pdf", "b.jpeg": "image/jpeg", "c": "application/octet-stream", "d.tar.webp": "image/webp"}),
-    (texts.clean_string, {" a :;": "a", "": None, "3–5": "3-5"}),
+    (texts.clean_string, {" a :;": "a", "": None, "3–5": "3-5", "Âµ â€x\ufffd": "µ x", "Â": None}),
     (texts.clean_spaces, {"- x | y:": "x y", " ": None}),
     (texts.clean_block, {"a  b\r\n\n c ": "a b\nc", "": ""}),
     (dates.iso_key, {"1970-01-02": 86400, "1970-01-01T00:00:05+00:00": 5, "02 Mar 2023": 0, "": 0}),
