@@ -112,6 +112,7 @@ def _sign(m: int):
     """Batches whose last column is a text, with a sketch of m registers in its place (null for texts without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textnum.release()
         for batch in batches:
             for a, b, texts in textnum.pieces(batch.column(batch.num_columns - 1), most=(1 << 20) // m):
                 of, h, count = shingles(texts)

@@ -16,7 +16,9 @@ import pyarrow.compute as pc
 
 CHUNK = 300_000
 LONG = 64
-POOL, POOL_CHARS = 1_000_000, 16_000_000
+POOL, POOL_CHARS = 500_000, 8_000_000
+#: Times as much for the pool that token ids come from, which is the only one in its worker.
+ROOMY = 2
 #: New hashes that are searched apart before they are merged.
 MERGE_AT = 4096
 #: Runs encoded end to end at a time.
@@ -192,15 +194,15 @@ def _merged(keys: np.ndarray, slots: np.ndarray, more: np.ndarray, more_slots: n
 
 
 class Pool:
-    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs or POOL_CHARS.
+    """Token ids of runs, by hash: encode() is asked for what isn't there. Emptied when it holds POOL runs or POOL_CHARS, or so many times that.
 
     New hashes go to a small sorted array of their own, which is merged into the large one now and then.
 
     encode: from runs to their ids, one after the other, and the number of ids of each.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], times: int = 1):
+        self.encode, self.most, self.most_chars = encode, times * POOL, times * POOL_CHARS
         self.clear()
 
     def clear(self) -> None:
@@ -228,7 +230,7 @@ class Pool:
 
     def find(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number under which each run of the chunk is kept."""
-        if self.held > POOL or self.used > POOL_CHARS or self.long_chars > POOL_CHARS:
+        if self.held > self.most or self.used > self.most_chars or self.long_chars > self.most_chars:
             self.clear()
         out = np.empty(len(starts), np.int64)
         short = ends - starts <= LONG
@@ -309,7 +311,8 @@ def byte_bpe(path: str) -> Pool:
             starts[order] = np.cumsum(lengths[order]) - lengths[order]
             return flat[ragged(starts, lengths)], lengths
 
-        _pools[key] = Pool(encode)
+        _pools[key] = Pool(encode, ROOMY)
+    release(_pools[key])
     return _pools[key]
 
 
@@ -341,3 +344,10 @@ def piece_bpe(path: str) -> Pool:
 
 
 _pools: dict[str, Pool] = {}
+
+
+def release(but: Pool | None = None) -> None:
+    """Empty the worker's other pools: a worker goes on from one stage to the next."""
+    for pool in _pools.values():
+        if pool is not but:
+            pool.clear()
