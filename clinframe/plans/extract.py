@@ -196,6 +196,11 @@ def job_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_stateful(jobs.transitions(jobs.read_events(spark, sf_dir)), "transitions")
 
 
+def audit_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log that verifying, editing and deleting leave, appended by batches."""
+    return jobs.run_audit(jobs.read_events(spark, sf_dir), "audit").drop("batch")
+
+
 def ext_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has passed at the end of the stream; later ones are still open."""
     return jobs.run_append(jobs.tumbling(jobs.read_events(spark, sf_dir)), "tumbling")
@@ -258,7 +263,7 @@ _FLAGGED = "CASE WHEN value IS NULL OR lo IS NULL THEN NULL WHEN value::DOUBLE <
 _RANGED = "CASE WHEN lo IS NOT NULL THEN least(lo, hi) || ' - ' || greatest(lo, hi) END AS reference_range"
 
 
-QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, job_transitions, ext_tumbling, ext_sliding, ext_session, ext_stream_static, ext_quarantine, job_stuck, job_completions)}
+QUERIES = {f.__name__: f for f in (table_roles, table_lab_rows, lines_nearby, token_rows, pipe_rows, flat_scan, merge_candidates, merge_stored, merge_first_tie, merge_last_tie, needs_help_gate, catalog_match, synonym_names, category_infer, category_group, detected_categories, json_props, job_latest_state, job_transitions, audit_sink, ext_tumbling, ext_sliding, ext_session, ext_stream_static, ext_quarantine, job_stuck, job_completions)}
 _MERGE = "WITH {items}, c AS (SELECT document, code, n, result, CASE WHEN n % 3 = 0 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS score FROM items) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY document, code ORDER BY score DESC, n {tie}) = 1"
 ORACLE = {
     "table_roles": f"WITH {_SQL_ITEMS} SELECT DISTINCT document, (document % 4)::INT AS test, ((document + 1) % 4)::INT AS result, ((document + 2) % 4)::INT AS reference, ((document + 3) % 4)::INT AS unit, NULL::INT AS flag FROM items",
@@ -338,6 +343,7 @@ ORACLE = {
           said = 'queued' OR j.state IN ('queued', 'processing', 'stuck'), CASE WHEN j.state IN ('queued', 'processing') AND since + INTERVAL 1 hour < ts THEN since + INTERVAL 1 hour END FROM j JOIN e USING (user_id) WHERE e.i = j.i + 1)
       SELECT user_id, event_id, state, since AS at FROM j WHERE moved UNION ALL SELECT user_id, NULL, 'stuck', was_stuck FROM j WHERE was_stuck IS NOT NULL
       UNION ALL SELECT user_id, NULL, 'stuck', since + INTERVAL 1 hour FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1), w WHERE state IN ('queued', 'processing') AND since + INTERVAL 1 hour < now""",
+    "audit_sink": "SELECT event_id AS document_id, user_id AS actor_id, CASE event_type WHEN 'purchase' THEN 'verified' WHEN 'click' THEN 'edited' ELSE 'deleted' END AS action, ts AS at, props->>'k' AS detail FROM events WHERE event_type IN ('purchase', 'click', 'error')",
     "ext_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2",
     "ext_sliding": """WITH e AS (SELECT *, unnest([time_bucket(INTERVAL 1 hour, ts), time_bucket(INTERVAL 1 hour, ts) - INTERVAL 1 hour]) AS w FROM events)
       SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE w + INTERVAL 2 hour <= (SELECT max(ts) - INTERVAL 10 minute FROM events) GROUP BY 1, 2""",

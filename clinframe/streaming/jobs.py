@@ -227,6 +227,38 @@ def run_stateful(stream: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
+#: What changes of documents leave in the audit log.
+AUDITED = {"purchase": "verified", "click": "edited", "error": "deleted"}
+AUDIT = "document_id long, actor_id long, action string, at timestamp, detail string, batch long"
+
+
+def audited(events: DataFrame) -> DataFrame:
+    """Audit rows of events that change a document (event_id): who did what, when."""
+    action = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in AUDITED.items()])
+    return events.where(F.col("event_type").isin(*AUDITED)).select(F.col("event_id").alias("document_id"), F.col("user_id").alias("actor_id"), action.alias("action"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").alias("detail"))
+
+
+def append_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """A batch's audit rows in a folder of its own: the batch again writes the same folder again, so nothing is there twice."""
+    rows.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/log/{batch_id:012d}")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; empty before the first batch."""
+    files, at = _folder(spark, f"{path}/log")
+    if not files.exists(at):
+        return spark.createDataFrame([], AUDIT)
+    return spark.read.schema(AUDIT).option("recursiveFileLookup", "true").parquet(f"{path}/log")
+
+
+def run_audit(events: DataFrame, name: str) -> DataFrame:
+    """Append what a stream of events says to the audit log; rows are never changed."""
+    path = scratch(events.sparkSession, name)
+    q = audited(events).writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: append_batch(batch, n, path)).start()
+    q.awaitTermination()
+    return read_audit(events.sparkSession, path)
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream of final rows over what is available now; the file sink commits each batch once."""
     spark = stream.sparkSession

@@ -72,3 +72,15 @@ def test_a_batch_again_changes_nothing(spark, tmp_path):
     stream = files(spark, tmp_path / "in", [rows])
     first = sorted(map(tuple, jobs.run_upsert(stream, "a").collect()))
     assert first == sorted(map(tuple, jobs.run_upsert(stream, "b").collect())) and [r[-1] for r in first] == [2, 1]
+
+
+def test_audit_batch_again_leaves_the_log_equal(spark, tmp_path):
+    rows = [(1, 1, 1, "purchase"), (2, 2, 1, "click"), (3, 3, 2, "view"), (4, 4, 2, "error")]
+    log = jobs.run_audit(files(spark, tmp_path / "in", [rows[:2], rows[2:]]), "audit")
+    first = sorted(map(tuple, log.collect()))
+    assert [(r[0], r[2], r[5]) for r in first] == [(1, "verified", 0), (2, "edited", 0), (4, "deleted", 1)]
+    path = os.path.dirname(os.path.dirname(os.path.dirname(log.inputFiles()[0].removeprefix("file://"))))
+    again = spark.createDataFrame([r[:5] for r in first if r[5] == 0], "document_id long, actor_id long, action string, at timestamp, detail string")
+    jobs.append_batch(again, 0, path)
+    assert sorted(map(tuple, jobs.read_audit(spark, path).collect())) == first
+    assert jobs.read_audit(spark, str(tmp_path / "none")).collect() == []
