@@ -61,6 +61,30 @@ def visible_patients(patients: DataFrame, access: DataFrame, role: str, user_id:
     return patients.where(F.col("id") == user_id)
 
 
+def scopes(callers: DataFrame, patients: DataFrame, access: DataFrame) -> DataFrame:
+    """(caller_id, role, patient_id): what each caller may see. A null patient stands for all of them, which an admin sees.
+
+    callers: (caller_id, role); patients: (id, user_id). A doctor sees the patients of the bridge, a patient's user the row that
+    is linked to it; callers without patients and unknown roles have no row.
+    """
+    admins = callers.where("role = 'admin'").select("caller_id", "role", F.lit(None).cast("long").alias("patient_id"))
+    bridge = callers.where("role = 'doctor'").join(access, F.col("caller_id") == F.col("doctor_user_id")).select("caller_id", "role", "patient_id").distinct()
+    own = callers.where("role = 'patient'").join(patients, F.col("caller_id") == F.col("user_id")).select("caller_id", "role", F.col("id").alias("patient_id"))
+    return admins.unionByName(bridge).unionByName(own)
+
+
+def scope_counts(scopes_: DataFrame, patients: DataFrame, documents: DataFrame) -> DataFrame:
+    """(caller_id, role, n_patients, n_documents) of scopes(). Admins get the totals; no admin meets the patients one by one."""
+    per = documents.groupBy(F.col("patient_id").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    listed = scopes_.where("patient_id IS NOT NULL").join(per, F.col("patient_id") == F.col("of"), "left")
+    counted = listed.groupBy("caller_id", "role").agg(F.count(F.lit(1)).alias("n_patients"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_documents"))
+    n_patients, n_documents = patients.agg(F.count(F.lit(1)).alias("n_patients")), documents.agg(F.count(F.lit(1)).alias("n_documents"))
+    key = F.lit("admin").alias("of_role")
+    totals = n_patients.select(key, "n_patients").join(n_documents.select(key, "n_documents"), "of_role")
+    all_ = scopes_.where("patient_id IS NULL").select("caller_id", "role").join(F.broadcast(totals), F.col("role") == F.col("of_role"))
+    return counted.unionByName(all_.select("caller_id", "role", "n_patients", "n_documents"))
+
+
 def search(patients: DataFrame, access: DataFrame, term: str, doctor_id: int) -> DataFrame:
     """Patients whose joined fields contain the term, and whether the doctor has access."""
     hay = F.lower(F.concat_ws(" ", F.coalesce("full_name", F.lit("")), F.coalesce("patient_identifier", F.lit(""))))

@@ -117,6 +117,15 @@ def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("theme", pages.card_theme(F.col("abnormal_count"), F.col("care_context") == "active"))
 
 
+def caller_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth doctor's account is an admin's; every third patient has an account of its own, under another number."""
+    documents, access, doctors, patients = _tables(spark, sf_dir, "documents", "access", "doctors", "patients")
+    linked = patients.select("id", F.when(F.col("id") % 3 == 0, F.col("id") * 2 + 1_000_000).alias("user_id"))
+    staff = doctors.select(F.col("id").alias("caller_id"), F.when(F.col("id") % 10 == 0, "admin").otherwise("doctor").alias("role"))
+    callers = staff.unionByName(linked.where("user_id IS NOT NULL").select(F.col("user_id").alias("caller_id"), F.lit("patient").alias("role")))
+    return chart.scope_counts(chart.scopes(callers, linked, access), linked, documents)
+
+
 def worklist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.worklist(_worklist(spark, sf_dir), "all", "")
     return rows.select("doctor_user_id", "patient_id", "care_context", "new_records_count", "abnormal_count", F.coalesce("abnormal_names", F.lit("")).alias("abnormal_names"), "theme", "place")
@@ -262,7 +271,7 @@ def upload_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     public_users, doctor_list, point_lookup, lookup_by_email, document_cards, event_cards, access_cards, document_payload, patient_profiles, granter_left, access_requests, patient_search_requests, links_touching, domain_guards, upload_tasks,
-    worklist_page, worklist_filtered, worklist_counters, assignments_board, unverified_queue, admin_log, hospitalizations, event_counters, doctor_choices, full_timeline, trend_recut, trend_first_seen, trend_charts, dml_assign, dml_respond, dml_request,
+    caller_scopes, worklist_page, worklist_filtered, worklist_counters, assignments_board, unverified_queue, admin_log, hospitalizations, event_counters, doctor_choices, full_timeline, trend_recut, trend_first_seen, trend_charts, dml_assign, dml_respond, dml_request,
     dml_update_documents, dml_delete_links, dml_back_fill, dml_events, job_steps, upload_targets,
 )}
 
@@ -304,6 +313,10 @@ ORACLE = {
       m AS (SELECT user_id, CASE WHEN task THEN 't' ELSE 'job-' END || event_id AS id, event_id AS job_id, CASE WHEN job THEN 'f' || event_id ELSE 'local' END AS filename, CASE WHEN task THEN 5 ELSE 0 END::INT AS size, CASE WHEN task THEN 'Ann' END AS patient_name,
         CASE WHEN job THEN {_WAY} ELSE 'uploading' END AS status, CASE WHEN job THEN event_id % 100 ELSE 2 END::INT AS progress, ts FROM j WHERE NOT (job AND event_type IN ('purchase', 'error') AND event_id % 14 >= 7))
       SELECT * EXCLUDE (ts) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id)::INT AS place FROM m) WHERE place <= 30""",
+    "caller_scopes": """WITH d AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+      SELECT s_suppkey AS caller_id, 'admin' AS role, (SELECT count(*) FROM customer) AS n_patients, (SELECT count(*) FROM orders) AS n_documents FROM supplier WHERE s_suppkey % 10 = 0
+      UNION ALL SELECT l_suppkey, 'doctor', count(*), coalesce(sum(n), 0)::BIGINT FROM a LEFT JOIN d USING (o_custkey) JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 10 <> 0 GROUP BY 1
+      UNION ALL SELECT c_custkey * 2 + 1000000, 'patient', 1, coalesce(n, 0)::BIGINT FROM customer LEFT JOIN d ON c_custkey = o_custkey WHERE c_custkey % 3 = 0""",
     "worklist_page": f"WITH {_WORKLIST} SELECT doctor_user_id, patient_id, care_context, new_records_count, abnormal_count, abnormal_names, theme, {_PLACE} FROM work",
     "worklist_filtered": f"WITH {_WORKLIST} SELECT doctor_user_id, patient_id, {_PLACE} FROM work WHERE abnormal_count > 0 AND contains(lower(full_name || ' ' || c_mktsegment || ' ' || care_context || ' ' || abnormal_names), 'promo')",
     "worklist_counters": f"WITH {_WORKLIST} SELECT doctor_user_id, count(*) AS total, count(*) FILTER (care_context = 'active') AS active, count(*) FILTER (new_records_count > 0) AS with_new, count(*) FILTER (abnormal_count > 0) AS abnormal FROM work GROUP BY 1",
