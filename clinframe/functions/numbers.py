@@ -62,10 +62,6 @@ def bounds(text: Column) -> Column:
     return let(F.regexp_extract_all(plain_signs(text), F.lit(f"({NUMBER})"), F.lit(1)), lambda found: let(pair(found), ordered))
 
 
-def range_bounds(text: Column) -> tuple[Column, Column]:
-    return bounds(text)["low"], bounds(text)["high"]
-
-
 def normalise_range(text: Column) -> Column:
     return let(bounds(text), lambda b: F.concat(b["low"], F.lit(" - "), b["high"]))
 

@@ -46,6 +46,28 @@ def document_cards(documents: DataFrame, labs: DataFrame, users: DataFrame, revi
     )
 
 
+#: What a document's card has of the document itself.
+CARD_FIELDS = [
+    "id", "filename", "content_type", "report_name", "report_type", "lab_name", "sample_type", "referring_doctor", "test_date", "collected_on", "reported_on", "registered_on", "generated_on", "created_at", "section",
+]
+
+
+def whole_cards(documents: DataFrame, labs: DataFrame, users: DataFrame, reviews: DataFrame, viewer: int, role: str = "doctor") -> DataFrame:
+    """All fields of a document's card for a viewer; uploaded_by is the public part of the uploader's row, null where it is missing.
+
+    documents: CARD_FIELDS, is_verified, uploaded_by, note. Only doctors have reviewed documents; notes are edited by who wrote them.
+    """
+    public = public_users(users)
+    who = public.select(F.col("id").alias("who_id"), F.struct(*public.columns).alias("who"))
+    mine = reviews.where(F.col("doctor_user_id") == viewer).select(F.col("document_id").alias("mine_id")).distinct()
+    cards = documents.join(who, F.col("uploaded_by") == F.col("who_id"), "left").join(abnormal_documents(labs), F.col("id") == F.col("abnormal_id"), "left").join(mine, F.col("id") == F.col("mine_id"), "left")
+    abnormal, reviewed = F.col("abnormal_id").isNotNull(), F.col("mine_id").isNotNull() if role == "doctor" else F.lit(False)
+    return cards.select(
+        *CARD_FIELDS, (F.coalesce(F.col("is_verified"), F.lit(0)) != 0).alias("is_verified"), abnormal.alias("has_abnormal"), abnormal.alias("has_abnormal_labs"), reviewed.alias("reviewed_by_current_doctor"), F.col("who").alias("uploaded_by"),
+        texts.preview(F.col("note")).alias("note_preview"), F.coalesce((F.col("section") == "notes") & (F.col("uploaded_by") == viewer), F.lit(False)).alias("can_edit_note"),
+    )
+
+
 def event_cards(events: DataFrame, users: DataFrame) -> DataFrame:
     """Events with their doctor's name, null where the doctor is missing."""
     who = users.select(F.col("id").alias("who_id"), F.col("full_name").alias("doctor_name"))

@@ -117,6 +117,19 @@ def _worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("theme", pages.card_theme(F.col("abnormal_count"), F.col("care_context") == "active"))
 
 
+def whole_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the cards of all documents, to one doctor; some uploaders are missing."""
+    documents, labs, users, reviews = _tables(spark, sf_dir, "documents", "lab_flags", "users", "reviews")
+    day, none = F.date_format("test_date", "yyyy-MM-dd"), F.lit(None).cast("string")
+    documents = documents.withColumns({
+        "content_type": F.when(F.col("filename") != "", "application/pdf"), "report_type": F.when(F.col("section") == "bloodwork", "Bloodwork"), "lab_name": F.concat(F.lit("Lab "), (F.col("id") % 7).cast("string")), "sample_type": F.when(F.col("id") % 2 == 0, "ser"),
+        "referring_doctor": none, "collected_on": F.when(F.col("id") % 3 == 0, day), "reported_on": none, "registered_on": none, "generated_on": none, "created_at": F.concat(day, F.lit("T00:00:00Z")), "test_date": day,
+    })
+    cards = records.whole_cards(documents, labs, users.where("id % 5 <> 0"), reviews, 7)
+    user = [F.col(f"uploaded_by.{c}").alias(f"uploader_{c}") for c in ("id", "full_name", "email", "role", "hospital_name")]
+    return cards.select("*", *user).drop("uploaded_by")
+
+
 def caller_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth doctor's account is an admin's; every third patient has an account of its own, under another number."""
     documents, access, doctors, patients = _tables(spark, sf_dir, "documents", "access", "doctors", "patients")
@@ -271,7 +284,7 @@ def upload_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     public_users, doctor_list, point_lookup, lookup_by_email, document_cards, event_cards, access_cards, document_payload, patient_profiles, granter_left, access_requests, patient_search_requests, links_touching, domain_guards, upload_tasks,
-    caller_scopes, worklist_page, worklist_filtered, worklist_counters, assignments_board, unverified_queue, admin_log, hospitalizations, event_counters, doctor_choices, full_timeline, trend_recut, trend_first_seen, trend_charts, dml_assign, dml_respond, dml_request,
+    whole_cards, caller_scopes, worklist_page, worklist_filtered, worklist_counters, assignments_board, unverified_queue, admin_log, hospitalizations, event_counters, doctor_choices, full_timeline, trend_recut, trend_first_seen, trend_charts, dml_assign, dml_respond, dml_request,
     dml_update_documents, dml_delete_links, dml_back_fill, dml_events, job_steps, upload_targets,
 )}
 
@@ -313,6 +326,15 @@ ORACLE = {
       m AS (SELECT user_id, CASE WHEN task THEN 't' ELSE 'job-' END || event_id AS id, event_id AS job_id, CASE WHEN job THEN 'f' || event_id ELSE 'local' END AS filename, CASE WHEN task THEN 5 ELSE 0 END::INT AS size, CASE WHEN task THEN 'Ann' END AS patient_name,
         CASE WHEN job THEN {_WAY} ELSE 'uploading' END AS status, CASE WHEN job THEN event_id % 100 ELSE 2 END::INT AS progress, ts FROM j WHERE NOT (job AND event_type IN ('purchase', 'error') AND event_id % 14 >= 7))
       SELECT * EXCLUDE (ts) FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id)::INT AS place FROM m) WHERE place <= 30""",
+    "whole_cards": """WITH d AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'scan_' || o_orderkey || '.pdf' END AS filename, CASE WHEN o_orderkey % 6 = 0 THEN 'Report ' || o_orderkey END AS report_name, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus = 'F' AS is_verified,
+        CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'bloodwork' WHEN o_orderpriority = '5-LOW' THEN ['scans', 'notes', 'medications', 'hospitalizations'][(o_orderkey % 4 + 1)] ELSE 'unmapped' END AS section, o_orderkey % 120 AS up, CASE WHEN o_orderkey % 5 = 0 THEN repeat('note ', (o_orderkey % 60)::INT) END AS note FROM orders),
+      bad AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag IN ('A', 'R')), mine AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_suppkey = 7),
+      who AS (SELECT s_suppkey, s_name, lower(replace(s_name, '#', '.')) || '@example.org' AS email, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0)
+      SELECT id, filename, CASE WHEN filename <> '' THEN 'application/pdf' END AS content_type, report_name, CASE WHEN section = 'bloodwork' THEN 'Bloodwork' END AS report_type, 'Lab ' || id % 7 AS lab_name, CASE WHEN id % 2 = 0 THEN 'ser' END AS sample_type, NULL::VARCHAR AS referring_doctor,
+      day AS test_date, CASE WHEN id % 3 = 0 THEN day END AS collected_on, NULL::VARCHAR AS reported_on, NULL::VARCHAR AS registered_on, NULL::VARCHAR AS generated_on, day || 'T00:00:00Z' AS created_at, section, is_verified, bad.l_orderkey IS NOT NULL AS has_abnormal, bad.l_orderkey IS NOT NULL AS has_abnormal_labs,
+      mine.l_orderkey IS NOT NULL AS reviewed_by_current_doctor, CASE WHEN length(note) > 180 THEN left(note, 180) || '...' ELSE nullif(note, '') END AS note_preview, section = 'notes' AND up = 7 AS can_edit_note,
+      s_suppkey AS uploader_id, s_name AS uploader_full_name, email AS uploader_email, CASE WHEN s_suppkey IS NOT NULL THEN 'doctor' END AS uploader_role, n_name AS uploader_hospital_name
+      FROM d LEFT JOIN bad ON id = bad.l_orderkey LEFT JOIN mine ON id = mine.l_orderkey LEFT JOIN who ON up = s_suppkey""",
     "caller_scopes": """WITH d AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       SELECT s_suppkey AS caller_id, 'admin' AS role, (SELECT count(*) FROM customer) AS n_patients, (SELECT count(*) FROM orders) AS n_documents FROM supplier WHERE s_suppkey % 10 = 0
       UNION ALL SELECT l_suppkey, 'doctor', count(*), coalesce(sum(n), 0)::BIGINT FROM a LEFT JOIN d USING (o_custkey) JOIN supplier ON s_suppkey = l_suppkey WHERE l_suppkey % 10 <> 0 GROUP BY 1
