@@ -52,9 +52,9 @@ def data_url(content: Column, name: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Bytes, KB or MB; one decimal from a megabyte on."""
+    """Bytes, KB or MB; one decimal from a megabyte on, a half rounded to the even one as C's printf does (Java's rounds it up)."""
     kb = lambda n: F.concat(F.round(n / 1024, 0).cast("long").cast("string"), F.lit(" KB"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, kb(size)).otherwise(F.format_string("%.1f MB", size / F.lit(1048576.0)))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024 * 1024, kb(size)).otherwise(F.format_string("%.1f MB", F.bround(size / F.lit(1048576.0), 1)))
 
 
 def badge(name: Column) -> Column:
