@@ -129,23 +129,28 @@ def worklist_rows(documents: DataFrame, labs: DataFrame, access: DataFrame, revi
     """worklist_counts() and the test keys of top_abnormal() as one array, from one aggregation of labs per document.
 
     Documents with their counts and first labs are written once, for the patients' totals and for what was reviewed; access and
-    receipts meet in one group by (doctor, patient).
+    receipts meet in one group by (doctor, patient). With n = 0 there are no test keys, and no lists are made for them.
     """
+    lists = n > 0
     order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
-    first = F.array_sort(F.collect_list(F.when(flags.worklist_abnormal(F.col("flag")), F.struct(*order, "test_key"))))
-    per = labs.groupBy(F.col("document_id").alias("labs_of")).agg(F.count_if(flags.worklist_abnormal(F.col("flag"))).alias("n_abnormal"), F.transform(F.slice(first, 1, n), lambda x: x["test_key"]).alias("first"))
-    docs = documents.select("id", "patient_id").join(per, F.col("id") == F.col("labs_of"), "left").select("id", "patient_id", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), "first")
+    bad = flags.worklist_abnormal(F.col("flag"))
+    first = lambda: [F.transform(F.slice(F.array_sort(F.collect_list(F.when(bad, F.struct(*order, "test_key")))), 1, n), lambda x: x["test_key"]).alias("first")]
+    per = labs.groupBy(F.col("document_id").alias("labs_of")).agg(F.count_if(bad).alias("n_abnormal"), *(first() if lists else []))
+    docs = documents.select("id", "patient_id").join(per, F.col("id") == F.col("labs_of"), "left").select("id", "patient_id", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), *(["first"] if lists else []))
     docs = written(docs, "worklist-documents")
-    listed = F.when(F.coalesce(F.size("first"), F.lit(0)) > 0, F.struct((-F.col("id")).alias("order"), "id", "first"))
-    totals = docs.groupBy(F.col("patient_id").alias("of_patient")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_abnormal").alias("abnormal"), F.array_sort(F.collect_list(listed)).alias("listed"))
+    listed = lambda: [F.array_sort(F.collect_list(F.when(F.coalesce(F.size("first"), F.lit(0)) > 0, F.struct((-F.col("id")).alias("order"), "id", "first")))).alias("listed")]
+    totals = docs.groupBy(F.col("patient_id").alias("of_patient")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_abnormal").alias("abnormal"), *(listed() if lists else []))
     seen = reviews.join(docs, F.col("document_id") == F.col("id")).select("doctor_user_id", "patient_id", F.lit(0).alias("may_see"), "id", "n_abnormal")
     both = access.select("doctor_user_id", "patient_id", F.lit(1).alias("may_see"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_abnormal")).unionByName(seen)
-    pairs = both.groupBy("doctor_user_id", "patient_id").agg(F.max("may_see").alias("may_see"), F.count("id").alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal"), F.collect_set("id").alias("seen")).where("may_see = 1")
+    pairs = both.groupBy("doctor_user_id", "patient_id").agg(F.max("may_see").alias("may_see"), F.count("id").alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal"), *([F.collect_set("id").alias("seen")] if lists else [])).where("may_see = 1")
     joined = pairs.join(totals, F.col("patient_id") == F.col("of_patient"), "left").fillna(0, ["docs", "abnormal"])
+    count = F.col("docs") - F.col("seen_docs")
+    counts = [count.alias("new_records_count"), (F.col("abnormal") - F.col("seen_abnormal")).alias("abnormal_count"), (count > 0).alias("has_new_records")]
+    if not lists:
+        return joined.select("doctor_user_id", "patient_id", *counts)
     new = F.filter(F.coalesce("listed", F.array().cast("array<struct<order:bigint,id:bigint,first:array<string>>>")), lambda d: ~F.array_contains("seen", d["id"]))
     names = F.slice(F.flatten(F.transform(new, lambda d: d["first"])), 1, n)
-    count = F.col("docs") - F.col("seen_docs")
-    return joined.select("doctor_user_id", "patient_id", count.alias("new_records_count"), (F.col("abnormal") - F.col("seen_abnormal")).alias("abnormal_count"), (count > 0).alias("has_new_records"), names.alias("abnormal_keys"))
+    return joined.select("doctor_user_id", "patient_id", *counts, names.alias("abnormal_keys"))
 
 
 def care_context(patients: DataFrame, events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
