@@ -105,23 +105,53 @@ def worklist_counts(documents: DataFrame, labs: DataFrame, access: DataFrame, re
     return joined.select("doctor_user_id", "patient_id", new.alias("new_records_count"), (F.col("abnormal") - F.col("seen_abnormal")).alias("abnormal_count"), (new > 0).alias("has_new_records"))
 
 
+def first_abnormal(labs: DataFrame, n: int, *kept: str) -> DataFrame:
+    """Of each document (labs_of) how many labs are abnormal, and the kept columns of the n first of them as a sorted array; with n = 0 no array."""
+    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
+    bad = flags.worklist_abnormal(F.col("flag"))
+    listed = lambda: [F.slice(F.sort_array(F.collect_list(F.when(bad, F.struct(*order, *kept)))), 1, n).alias("first")]
+    per = labs.groupBy(F.col("document_id").alias("labs_of")).agg(F.count_if(bad).alias("n_abnormal"), *(listed() if n else []))
+    return per.withColumn("first", F.transform("first", lambda x: F.struct(*[x[c].alias(c) for c in kept]))) if n else per
+
+
+def doctor_pairs(access: DataFrame, receipts: DataFrame, lists: bool) -> DataFrame:
+    """Of each pair of the bridge what the doctor has seen of the patient: seen_docs, seen_abnormal and, if asked for, the documents' ids.
+
+    receipts: (doctor_user_id, patient_id, id, n_abnormal), one row per doctor and document. Rows are dealt by patient, so that pairs
+    meet their patient without moving again.
+    """
+    none = [F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_abnormal")]
+    seen = receipts.where("doctor_user_id IS NOT NULL").select("doctor_user_id", "patient_id", F.lit(0).alias("may_see"), "id", "n_abnormal")
+    both = access.select("doctor_user_id", "patient_id", F.lit(1).alias("may_see"), *none).unionByName(seen).repartition("patient_id")
+    pair = ["patient_id", "doctor_user_id"]
+    if not lists:
+        return both.groupBy(*pair).agg(F.max("may_see").alias("may_see"), F.count("id").alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal")).where("may_see = 1")
+    # A window lists ids in one pass over sorted rows, where a group by would list them twice; the bridge's row is the one that stays.
+    w = Window.partitionBy(*pair)
+    return both.select(*pair, "may_see", F.count("id").over(w).alias("seen_docs"), F.sum("n_abnormal").over(w).alias("seen_abnormal"), F.collect_list("id").over(w).alias("seen")).where("may_see = 1")
+
+
+def not_seen(docs: Column, n: int) -> Column:
+    """The n first of a patient's documents that a pair hasn't seen, or some more: what was seen hides no more than its own number, so only as many are looked at."""
+    return F.filter(F.slice(docs, F.lit(1), F.size("seen") + n), lambda d: ~F.array_contains("seen", d["id"]))
+
+
 def top_abnormal(documents: DataFrame, labs: DataFrame, access: DataFrame, reviews: DataFrame, n: int = 3) -> DataFrame:
     """The n first abnormal labs of each (doctor, patient)'s documents not reviewed, newest document first.
 
-    A document gives n labs at most. A patient's documents are one sorted array, which meets its doctors once: rows are doctors
-    by patients, not doctors by labs.
+    A document gives n labs at most. A patient's documents are one sorted array, which meets its doctors once and isn't moved after
+    that: rows are doctors by patients, not doctors by labs, and what a doctor has seen is joined to the pair before.
     """
-    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
-    bad = labs.where(flags.worklist_abnormal(F.col("flag"))).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).where(F.col("rank") <= n)
-    lab = F.struct("rank", "document_id", "test_key", "flag")
-    per_doc = bad.groupBy("document_id").agg(F.array_sort(F.collect_list(lab)).alias("labs"))
-    of_patient = per_doc.join(documents.select("id", "patient_id"), F.col("document_id") == F.col("id"))
-    docs = of_patient.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("document_id")).alias("order"), "document_id", "labs"))).alias("docs"))
-    seen = reviews.join(of_patient.select("document_id", "patient_id"), "document_id").groupBy("doctor_user_id", "patient_id").agg(F.collect_set("document_id").alias("seen"))
-    joined = access.join(docs, "patient_id").join(seen, ["doctor_user_id", "patient_id"], "left")
-    new = F.filter("docs", lambda d: ~F.coalesce(F.array_contains("seen", d["document_id"]), F.lit(False)))
-    first = F.slice(F.flatten(F.transform(new, lambda d: d["labs"])), 1, n)
-    each = joined.select("doctor_user_id", "patient_id", F.posexplode(first).alias("place", "lab"))
+    bad = labs.where(flags.worklist_abnormal(F.col("flag")))
+    docs = documents.select("id", "patient_id")
+    of_patient = docs.join(first_abnormal(bad, n, "test_key", "flag"), F.col("id") == F.col("labs_of"))
+    listed = of_patient.groupBy(F.col("patient_id").alias("of_patient")).agg(F.sort_array(F.collect_list(F.struct((-F.col("id")).alias("order"), "id", "first"))).alias("docs"))
+    seen = reviews.join(docs, F.col("document_id") == F.col("id")).select("doctor_user_id", "patient_id", "id", F.lit(0).cast("long").alias("n_abnormal"))
+    joined = doctor_pairs(access, seen, True).join(listed, F.col("patient_id") == F.col("of_patient"))
+    lab = lambda d: F.transform(d["first"], lambda x: F.struct(d["id"].alias("document_id"), x["test_key"].alias("test_key"), x["flag"].alias("flag")))
+    first = F.slice(F.flatten(F.transform(not_seen(F.col("docs"), n), lab)), 1, n)
+    # The outer form: Spark would make the array once more, to filter rows where it is empty.
+    each = joined.select("doctor_user_id", "patient_id", first.alias("labs")).select("doctor_user_id", "patient_id", F.posexplode_outer("labs").alias("place", "lab")).where("place IS NOT NULL")
     return each.select("doctor_user_id", "patient_id", "lab.document_id", "lab.test_key", "lab.flag", (F.col("place") + 1).alias("place"))
 
 
@@ -132,24 +162,19 @@ def worklist_rows(documents: DataFrame, labs: DataFrame, access: DataFrame, revi
     receipts meet in one group by (doctor, patient). With n = 0 there are no test keys, and no lists are made for them.
     """
     lists = n > 0
-    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
-    bad = flags.worklist_abnormal(F.col("flag"))
-    first = lambda: [F.transform(F.slice(F.array_sort(F.collect_list(F.when(bad, F.struct(*order, "test_key")))), 1, n), lambda x: x["test_key"]).alias("first")]
-    per = labs.groupBy(F.col("document_id").alias("labs_of")).agg(F.count_if(bad).alias("n_abnormal"), *(first() if lists else []))
-    docs = documents.select("id", "patient_id").join(per, F.col("id") == F.col("labs_of"), "left").select("id", "patient_id", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), *(["first"] if lists else []))
+    docs = documents.select("id", "patient_id").join(first_abnormal(labs, n, "test_key"), F.col("id") == F.col("labs_of"), "left")
+    docs = docs.select("id", "patient_id", F.coalesce("n_abnormal", F.lit(0)).alias("n_abnormal"), *([F.transform("first", lambda x: x["test_key"]).alias("first")] if lists else []))
     docs = written(docs, "worklist-documents")
-    listed = lambda: [F.array_sort(F.collect_list(F.when(F.coalesce(F.size("first"), F.lit(0)) > 0, F.struct((-F.col("id")).alias("order"), "id", "first")))).alias("listed")]
+    listed = lambda: [F.sort_array(F.collect_list(F.when(F.coalesce(F.size("first"), F.lit(0)) > 0, F.struct((-F.col("id")).alias("order"), "id", "first")))).alias("listed")]
     totals = docs.groupBy(F.col("patient_id").alias("of_patient")).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_abnormal").alias("abnormal"), *(listed() if lists else []))
-    seen = reviews.join(docs, F.col("document_id") == F.col("id")).select("doctor_user_id", "patient_id", F.lit(0).alias("may_see"), "id", "n_abnormal")
-    both = access.select("doctor_user_id", "patient_id", F.lit(1).alias("may_see"), F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n_abnormal")).unionByName(seen)
-    pairs = both.groupBy("doctor_user_id", "patient_id").agg(F.max("may_see").alias("may_see"), F.count("id").alias("seen_docs"), F.sum("n_abnormal").alias("seen_abnormal"), *([F.collect_set("id").alias("seen")] if lists else [])).where("may_see = 1")
-    joined = pairs.join(totals, F.col("patient_id") == F.col("of_patient"), "left").fillna(0, ["docs", "abnormal"])
+    seen = reviews.join(docs.select("id", "patient_id", "n_abnormal"), F.col("document_id") == F.col("id"))
+    joined = doctor_pairs(access, seen, lists).join(totals, F.col("patient_id") == F.col("of_patient"), "left").fillna(0, ["docs", "abnormal"])
     count = F.col("docs") - F.col("seen_docs")
     counts = [count.alias("new_records_count"), (F.col("abnormal") - F.col("seen_abnormal")).alias("abnormal_count"), (count > 0).alias("has_new_records")]
     if not lists:
         return joined.select("doctor_user_id", "patient_id", *counts)
-    new = F.filter(F.coalesce("listed", F.array().cast("array<struct<order:bigint,id:bigint,first:array<string>>>")), lambda d: ~F.array_contains("seen", d["id"]))
-    names = F.slice(F.flatten(F.transform(new, lambda d: d["first"])), 1, n)
+    listed = F.coalesce("listed", F.array().cast("array<struct<order:bigint,id:bigint,first:array<string>>>"))
+    names = F.slice(F.flatten(F.transform(not_seen(listed, n), lambda d: d["first"])), 1, n)
     return joined.select("doctor_user_id", "patient_id", *counts, names.alias("abnormal_keys"))
 
 
