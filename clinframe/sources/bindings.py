@@ -18,6 +18,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table's files to a task, about half a million lab lines.
+TASK_BYTES = 8 << 20
+
+
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Size of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(at).getLength()
+
+
+def dealt(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """df by keys in as many tasks as size bytes of input need, where these are more than the session's: a task's rows stay as many when tables grow."""
+    n = size // TASK_BYTES
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("patient_identifier"),
@@ -75,10 +91,12 @@ def _lab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The doctor-patient bridge, one row per pair."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("doctor_user_id"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("patient_id"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doctor_user_id", "patient_id").distinct()
+    """The doctor-patient bridge, one row per pair. Lines, orders and pairs are dealt to tasks by the size of the lines' table."""
+    size = table_bytes(spark, sf_dir, "lineitem")
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("doctor_user_id")), size, "l_orderkey")
+    orders = dealt(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("patient_id")), size, "o_orderkey")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("doctor_user_id", "patient_id")
+    return dealt(pairs, size, "doctor_user_id", "patient_id").distinct()
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
