@@ -68,7 +68,9 @@ def scopes(callers: DataFrame, patients: DataFrame, access: DataFrame) -> DataFr
     is linked to it; callers without patients and unknown roles have no row.
     """
     admins = callers.where("role = 'admin'").select("caller_id", "role", F.lit(None).cast("long").alias("patient_id"))
-    bridge = callers.where("role = 'doctor'").join(access, F.col("caller_id") == F.col("doctor_user_id")).select("caller_id", "role", "patient_id").distinct()
+    # Both sides once each, before they meet: the joined rows, which are many, aren't grouped again.
+    doctors, pairs = callers.where("role = 'doctor'").distinct(), access.select("doctor_user_id", "patient_id").distinct()
+    bridge = doctors.join(pairs, F.col("caller_id") == F.col("doctor_user_id")).select("caller_id", "role", "patient_id")
     own = callers.where("role = 'patient'").join(patients, F.col("caller_id") == F.col("user_id")).select("caller_id", "role", F.col("id").alias("patient_id"))
     return admins.unionByName(bridge).unionByName(own)
 
