@@ -144,9 +144,11 @@ def top_abnormal(documents: DataFrame, labs: DataFrame, access: DataFrame, revie
     A document gives n labs at most. A patient's documents are one sorted array, which meets its doctors once and isn't moved after
     that: rows are doctors by patients, not doctors by labs, and what a doctor has seen is joined to the pair before.
     """
-    bad = labs.where(flags.worklist_abnormal(F.col("flag")))
+    order = [c for c in LAB_ORDER if c not in ("test_date", "document_id")]
+    bad = labs.where(flags.worklist_abnormal(F.col("flag"))).withColumn("rank", F.row_number().over(Window.partitionBy("document_id").orderBy(*order))).where(F.col("rank") <= n)
+    per_doc = bad.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("rank", "test_key", "flag"))).alias("first"))
     docs = documents.select("id", "patient_id")
-    of_patient = docs.join(first_abnormal(bad, n, "test_key", "flag"), F.col("id") == F.col("labs_of"))
+    of_patient = docs.join(per_doc, F.col("id") == F.col("document_id")).drop("document_id")
     listed = of_patient.groupBy(F.col("patient_id").alias("of_patient")).agg(F.sort_array(F.collect_list(F.struct((-F.col("id")).alias("order"), "id", "first"))).alias("docs"))
     seen = reviews.join(docs, F.col("document_id") == F.col("id")).select("doctor_user_id", "patient_id", "id", F.lit(0).cast("long").alias("n_abnormal"))
     joined = doctor_pairs(access, seen, True).join(listed, F.col("patient_id") == F.col("of_patient"))
