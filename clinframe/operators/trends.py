@@ -64,7 +64,7 @@ def nested(labs: DataFrame, documents: DataFrame, n: int = 5) -> DataFrame:
     documents: (id, patient_id, section, report_name, filename and the six dates of dates.best_document_date). Values that are
     nil are no points; a lab without a name belongs to no test. Points follow the strict date key (dates.iso_key: what isn't
     an ISO date counts as 0), then document and line. `place`: a patient's tests, abnormal ones first, then by display name, then
-    by key. Only a task's own last n points of a test are shuffled (WindowGroupLimit).
+    by key. Points are moved once by patient and test: names and last points come from the same sorted rows.
     """
     date = F.coalesce(dates.best_document_date(*[F.col(c) for c in ("test_date", "collected_on", "reported_on", "generated_on", "registered_on", "created_at")]), F.lit(""))
     docs = documents.where("section = 'bloodwork'").select(F.col("id").alias("of"), "patient_id", date.alias("date"), texts.first_filled(F.col("report_name"), F.col("filename")).alias("report_name"))
@@ -72,12 +72,13 @@ def nested(labs: DataFrame, documents: DataFrame, n: int = 5) -> DataFrame:
     shown = F.coalesce(texts.first_filled(F.col("display_name"), F.col("canonical_name"), F.col("raw_test_name")), key)
     pts = labs.withColumns({"test_key": key, "shown": shown, "value_num": numbers.lab_value(F.col("value"))}).where("value_num IS NOT NULL AND test_key <> ''").join(docs, F.col("document_id") == F.col("of"))
     pts = pts.withColumn("at", dates.iso_key(F.col("date")))
-    first = F.min_by(F.struct(F.col("shown").alias("display_name"), "canonical_name", "category", "unit"), F.struct("document_id", "line_no"))
-    named = pts.groupBy("patient_id", "test_key").agg(first.alias("first"))
-    w = Window.partitionBy("patient_id", "test_key").orderBy(F.desc("at"), F.desc("document_id"), F.desc("line_no"))
+    of_test = Window.partitionBy("patient_id", "test_key")
+    first = F.min_by(F.struct(F.col("shown").alias("display_name"), "canonical_name", "category", "unit"), F.struct("document_id", "line_no")).over(of_test)
+    w = of_test.orderBy(F.desc("at"), F.desc("document_id"), F.desc("line_no"))
     point = F.struct("document_id", "date", F.col("value_num").alias("value"), F.trim("value").alias("value_display"), "flag", "report_name", "reference_range")
-    last = pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).groupBy("patient_id", "test_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("o"), point.alias("p")))).alias("sorted"))
-    trends = last.join(named, ["patient_id", "test_key"]).select("patient_id", "test_key", "first.*", F.transform("sorted", lambda x: x["p"]).alias("points"))
+    placed = pts.withColumns({"first": first, "rn": F.row_number().over(w)}).where(F.col("rn") <= n)
+    last = placed.groupBy("patient_id", "test_key").agg(F.first("first").alias("first"), F.sort_array(F.collect_list(F.struct((-F.col("rn")).alias("o"), point.alias("p")))).alias("sorted"))
+    trends = last.select("patient_id", "test_key", "first.*", F.transform("sorted", lambda x: x["p"]).alias("points"))
     trends = trends.withColumns({"latest": F.try_element_at("points", F.lit(-1)), "previous": F.try_element_at("points", F.lit(-2))}).withColumn("delta", F.round(F.col("latest.value") - F.col("previous.value"), 2))
     order = Window.partitionBy("patient_id").orderBy(F.coalesce(flags.trend_abnormal(F.col("latest.flag")), F.lit(False)).desc(), F.coalesce("display_name", F.lit("")), "test_key")
     return trends.withColumn("place", F.row_number().over(order).cast("int"))
