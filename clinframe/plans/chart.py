@@ -26,7 +26,7 @@ points AS (SELECT d.patient_id, l.*, d.test_date, row_number() OVER (PARTITION B
 
 
 def trend_last5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = trends.points(bindings.lab_results(spark, sf_dir), bindings.documents(spark, sf_dir))
+    pts = bindings.named(trends.points(*_tables(spark, sf_dir, "lab_flags", "documents")), spark, sf_dir)
     return trends.last_points(pts, 5).select(
         "patient_id", "test_key", "document_id", F.date_format("test_date", "yyyy-MM-dd").alias("point_date"), F.col("value_num").alias("point_value"), "flag", F.col("rn").cast("int").alias("recency"),
     )
@@ -49,7 +49,7 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def trend_latest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.summary(trends.last_points(trends.points(*_tables(spark, sf_dir, "lab_results", "documents")), 5))
+    return trends.summary(trends.last_points(bindings.named(trends.points(*_tables(spark, sf_dir, "lab_flags", "documents")), spark, sf_dir), 5))
 
 
 def trend_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:

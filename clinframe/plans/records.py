@@ -196,7 +196,7 @@ def full_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _last_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.last_points(trends.points(*_tables(spark, sf_dir, "lab_results", "documents")), 5)
+    return trends.last_points(bindings.named(trends.points(*_tables(spark, sf_dir, "lab_flags", "documents")), spark, sf_dir), 5)
 
 
 def trend_recut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def trend_recut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.first_seen(trends.points(*_tables(spark, sf_dir, "lab_results", "documents")))
+    return trends.first_seen(bindings.named(trends.points(*_tables(spark, sf_dir, "lab_flags", "documents")), spark, sf_dir))
 
 
 def trend_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
