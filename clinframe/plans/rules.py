@@ -218,8 +218,8 @@ def report_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = l.select(F.col("l_orderkey").alias("document"), F.lit(0).alias("page"), full.alias("full_text"), F.lit(100.0).alias("width"), F.lit(200.0).alias("height"), F.array(mark(F.lit(0), F.length(word)), mark(F.length(word), F.length(word))).alias("tokens"))
     tokens = extraction.flatten_marks(pages, "tokens")
     cells_ = l.select(F.col("l_orderkey").alias("document"), F.lit(0).alias("page"), F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_no"), F.posexplode(F.array(word, F.lit("x"))).alias("cell_no", "text"))
-    lines, words_, tables = extraction.reading_order(tokens, "\n").toDF("document", "lines"), extraction.reading_order(tokens).toDF("d2", "tokens"), extraction.rendered_tables(cells_).toDF("d3", "tables")
-    both = lines.join(words_, F.col("document") == F.col("d2")).join(tables, F.col("document") == F.col("d3"))
+    marks, tables = extraction.reading_orders(tokens, lines="\n", tokens=" "), extraction.rendered_tables(cells_).toDF("d3", "tables")
+    both = marks.join(tables, F.col("document") == F.col("d3"))
     text = extraction.assembled(F.when(F.col("document") % 2 == 0, "plain"), F.col("lines"), F.col("tables"), F.col("tokens"))
     n = F.size(F.split("lines", "\n"))
     return both.select("document", text.alias("text"), extraction.counts_line(n, F.lit(1), n, n).alias("found"), F.size(texts.lines_of(text, "--- TOKENS ---")).alias("n_token_lines"))
