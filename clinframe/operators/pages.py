@@ -18,6 +18,8 @@ MODES = ["all", "active", "inactive", "new", "abnormal"]
 
 def contains_term(term: str, *fields: Column) -> Column:
     """Do the fields that aren't empty, joined by blanks, contain the term in any case?"""
+    if not term.strip():
+        return F.lit(True)
     kept = F.filter(F.array(*fields), lambda f: F.coalesce(f, F.lit("")) != "")
     return F.lower(F.array_join(kept, " ")).contains(term.strip().lower())
 

@@ -29,3 +29,12 @@ def test_top_abnormal_of_seen_documents(spark):
     got = {(r.doctor_user_id, r.place): r.test_key for r in chart.top_abnormal(documents, labs, access, reviews).collect()}
     newest = {1: "t7.1", 2: "t7.2", 3: "t6.1"}
     assert got == {(1, 1): "t4.1", (1, 2): "t4.2", (1, 3): "t2.1"} | {(d, p): t for d in (2, None) for p, t in newest.items()}
+
+
+def test_no_term_looks_at_no_text(spark):
+    """An empty term is in every text, so none is put together for it."""
+    from clinframe.operators import pages
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "A"), (2, None)], "id long, name string").where(pages.contains_term(" ", F.col("name")))
+    assert "name" not in rows.select("id")._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0].replace("Project [id#", "") and rows.count() == 2
