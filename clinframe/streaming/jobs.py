@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,77 +138,109 @@ def _remove(spark: SparkSession, path: str) -> None:
 #: What an event says of a job, and the states in which a job is under way.
 MOVES = {"signup": "queued", "view": "processing", "click": "processing", "purchase": "done", "error": "error"}
 UNDER_WAY = ("queued", "processing", "stuck")
-TRANSITIONS = "user_id long, event_id long, state string, at timestamp"
+QUEUED, PROCESSING, DONE, ERROR, STUCK = range(5)
+NAMES = np.array(["queued", "processing", "done", "error", "stuck"], dtype=object)
 
 
-def transitions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def transitions(events: DataFrame, patience: str = "1 hour", late: str = "10 minutes", buckets: int = 4096) -> DataFrame:
     """The transitions of each user's job: queued, processing, done or error, and stuck after `patience` without a move.
 
     A job is queued from any state; it goes on, ends or fails only while it is under way, and other events of it are ignored.
-    Events wait in keyed state until the watermark has passed them and are applied in order of (ts, event_id); a timer at
-    the job's deadline marks it stuck, at the deadline's time, if it is queued or processing. So what comes out depends
-    on the events alone, not on batches. A job that is done or failed has no state, one that is under way has one row.
+    Events wait in keyed state until the watermark has passed them and are applied in order of (ts, event_id), without an id last;
+    a timer at the job's deadline marks it stuck, at the deadline's time, if it is queued or processing. So what comes out
+    depends on the events alone, not on batches. A job that is done or failed has no state, one that is under way has one row.
+
+    State is kept by buckets of users, since a call of the processor, a frame of rows and a call of the store cost some
+    milliseconds each, however few rows they are about. A bucket's users are told apart in arrays.
     """
-    seconds = int(pd.Timedelta(patience).total_seconds() * 1000)
-    plain = events.select("user_id", "event_id", "event_type", "ts").where(F.col("user_id").isNotNull() & F.col("event_type").isin(*MOVES))
-    grouped = plain.withWatermark("ts", late).groupBy("user_id")
-    return grouped.transformWithStateInPandas(statefulProcessor=_Job(seconds), outputStructType=TRANSITIONS, outputMode="Append", timeMode="EventTime")
+    millis = int(pd.Timedelta(patience).total_seconds() * 1000)
+    state = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(int(np.flatnonzero(NAMES == v)[0]))) for k, v in MOVES.items()])
+    known = events.where(F.col("user_id").isNotNull() & F.col("event_type").isin(*MOVES)).withWatermark("ts", late)
+    # ts is there for the watermark; its milliseconds are those of UTC, whatever the session's time zone.
+    rows = known.select(
+        F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"), "user_id", F.unix_millis("ts").alias("at"),
+        F.coalesce("event_id", F.lit(0)).alias("event_id"), F.col("event_id").isNull().alias("no_id"), state.alias("state"), "ts",
+    )
+    moved = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Jobs(millis), outputStructType="user_id long, event_id long, state string, at long", outputMode="Append", timeMode="EventTime")
+    return moved.withColumn("at", F.timestamp_millis("at"))
+
+
+#: An event that waits; or a job under way as the event that brought it there.
+EVENT = np.dtype([("user_id", "i8"), ("at", "i8"), ("event_id", "i8"), ("no_id", "?"), ("state", "i1"), ("job", "?")])
+#: Events in one row of state at most.
+CHUNK = 10_000
+
 
+def _chunks(events: np.ndarray) -> list[tuple[bytes]]:
+    return [(events[i : i + CHUNK].tobytes(),) for i in range(0, len(events), CHUNK)]
 
-class _Job(StatefulProcessor):
-    """Keyed state: the events that wait, and of a job under way its state and since when (in milliseconds)."""
+
+def _moves(rows: np.ndarray, now: int, patience: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Jobs and the events up to `now`: events that moved a job, jobs that got stuck (at their deadlines), jobs under way.
+
+    Whether a job is under way is said by its last event that queues or ends it: what else comes goes on with it or is ignored.
+    """
+    rows = rows[np.lexsort((rows["event_id"], rows["no_id"], rows["at"], ~rows["job"], rows["user_id"]))]
+    user, at, state, job = (rows[c] for c in ("user_id", "at", "state", "job"))
+    first = np.ones(len(rows), bool)
+    first[1:] = user[1:] != user[:-1]
+    last = np.append(first[1:], True)
+    opens = job | (state == QUEUED)
+    says = first | opens | (state == DONE) | (state == ERROR)
+    under = opens[np.maximum.accumulate(np.where(says, np.arange(len(rows)), 0))]
+    before = np.append(False, under[:-1]) & ~first
+    until = np.where(last, now, np.append(at[1:], now))
+    late = under & (state != STUCK) & (at + patience < until)
+    stuck = rows[late]
+    stuck["at"] += patience
+    stuck["state"], stuck["no_id"] = STUCK, True
+    left = rows[under & last]
+    left["state"][late[under & last]] = STUCK
+    left["job"] = True
+    return rows[~job & (opens | before)], stuck, left
+
+
+class _Jobs(StatefulProcessor):
+    """State of a bucket of users: the events that wait, a row for each frame of them, and the jobs under way, as arrays of EVENT."""
 
     def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, event_id long, state string")
-        self.job = handle.getValueState("job", "state string, since long")
+        self.waiting = handle.getListState("waiting", "events binary")
+        self.jobs = handle.getValueState("jobs", "jobs binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
         for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64") // 1000
-            new = [(int(t), int(i), MOVES[k]) for t, i, k in zip(at, frame["event_id"], frame["event_type"])]
-            self.waiting.appendList(new)
-            first = min([first, *(n[0] for n in new)], key=lambda x: (x is None, x)) if new else first
-        if first is not None:
-            self.handle.registerTimer(first + 1)
+            new = np.zeros(len(frame), EVENT)
+            for c in ("user_id", "at", "event_id", "no_id", "state"):
+                new[c] = frame[c]
+            self.waiting.appendList(_chunks(new))
+            self.handle.registerTimer(int(new["at"].min()) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [x for x in held if x[0] < now], [x for x in held if x[0] >= now]
-        state, since = self.job.get() if self.job.exists() else (None, 0)
-        out = []
-
-        def expire(at: int) -> None:
-            nonlocal state
-            if state in ("queued", "processing") and since + self.patience < at:
-                state = "stuck"
-                out.append((None, "stuck", since + self.patience))
-
-        for at, event_id, said in due:
-            expire(at)
-            if said == "queued" or state in UNDER_WAY:
-                state, since = said, at
-                out.append((event_id, said, at))
-        expire(now)
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] + 1)
-        if state in UNDER_WAY:
-            self.job.update((state, since))
-            if state != "stuck":
-                self.handle.registerTimer(since + self.patience + 1)
+        held = np.frombuffer(b"".join(chunk for (chunk,) in self.waiting.get()), EVENT)
+        before = bytes((self.jobs.get() or (b"",))[0])
+        due = held["at"] < now
+        moved, stuck, left = _moves(np.concatenate([np.frombuffer(before, EVENT), held[due]]), now, self.patience)
+        if due.all():
+            self.waiting.clear()
         else:
-            self.job.clear()
-        if out:
-            frame = pd.DataFrame(out, columns=["event_id", "state", "at"])
-            yield pd.DataFrame({"user_id": key[0], "event_id": frame["event_id"].astype("Int64"), "state": frame["state"], "at": pd.to_datetime(frame["at"], unit="ms", utc=True).dt.tz_localize(None)})
+            if due.any():
+                self.waiting.put(_chunks(held[~due]))
+            self.handle.registerTimer(int(held["at"][~due].min()) + 1)
+        if not len(left):
+            self.jobs.clear()
+        elif left.tobytes() != before:
+            self.jobs.update((left.tobytes(),))
+        if len(waits := left["at"][left["state"] != STUCK]):
+            self.handle.registerTimer(int(waits.min()) + self.patience + 1)
+        out = np.concatenate([moved, stuck])
+        if len(out):
+            yield pd.DataFrame({"user_id": out["user_id"], "event_id": pd.arrays.IntegerArray(out["event_id"].copy(), out["no_id"].copy()), "state": NAMES[out["state"]], "at": out["at"]})
 
     def close(self) -> None:
         pass

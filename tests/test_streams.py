@@ -47,6 +47,40 @@ def test_transitions(spark, tmp_path, batches):
     assert {r.state for r in got} == {"queued", "processing", "done", "error", "stuck"}
 
 
+def test_transitions_of_odd_events_in_another_time_zone(spark, tmp_path):
+    """Ids beyond 2^53 beside events without an id (last among equals), and a session's time zone with summer time."""
+    big, minute = 2**53, 60 * 24 * 70
+    rows = [(big + 1, minute, 1, "signup"), (big + 3, minute + 1, 1, "view"), (None, minute + 1, 1, "error"), (None, minute, 2, "click"), (7, minute, 2, "signup")]
+    rows += [(8, minute + 950, 3, "signup"), (9, minute + 1100, 3, "purchase"), (10, minute + 1489, 4, "signup"), (11, minute + 1490, 5, "signup"), (99, minute + 1500, 9, "view")]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        moves = jobs.run_stateful(jobs.transitions(files(spark, tmp_path / "in", [rows])), "odd").select("user_id", "event_id", "state", F.unix_millis("at").alias("at"))
+        start = spark.sql("SELECT unix_millis(TIMESTAMP'2024-01-01 00:00:00 UTC')").first()[0]
+        got = sorted(((r.user_id, r.event_id, r.state, (r.at - start) / 60_000 - minute) for r in moves.collect()), key=lambda r: (r[0], r[3], r[1] is None))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [
+        (1, big + 1, "queued", 0), (1, big + 3, "processing", 1), (1, None, "error", 1), (2, 7, "queued", 0), (2, None, "processing", 0), (2, None, "stuck", 60),
+        (3, 8, "queued", 950), (3, None, "stuck", 1010), (3, 9, "done", 1100), (4, 10, "queued", 1489),
+    ]
+
+
+def test_state_of_transitions_is_kept_by_buckets_of_users(spark, tmp_path):
+    """300 users with three events each in four buckets: no more rows of state than a few for each bucket, and each user's own transitions."""
+    rows = [(u * 3 + i, u % 7 + 50 * i, u, t) for u in range(300) for i, t in enumerate(["signup", "view", "purchase"])] + [(5000, 5000, 999, "view")]
+    stream = files(spark, tmp_path / "in", [rows])
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        q = jobs.transitions(stream, buckets=4).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4 * 4
+    got = jobs.run_stateful(jobs.transitions(stream, buckets=4), "few").collect()
+    assert sorted((r.user_id, r.event_id, r.state, (r.at - START).total_seconds() / 60) for r in got) == [(u, e, s, float(m)) for u, e, s, m in sorted(plain(rows, 4990))]
+
+
 def test_latest_states_in_versions(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, rng.randrange(1000), rng.randrange(40), rng.choice(list(jobs.MOVES))) for i in range(200)]
