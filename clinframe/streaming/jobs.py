@@ -25,7 +25,7 @@ VALID = "event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND eve
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of files: every Parquet file or folder of the name events*.parquet."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def valid(events: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import shutil
 
 import pytest
 from clinframe.streaming import jobs
@@ -81,6 +82,16 @@ def test_state_of_transitions_is_kept_by_buckets_of_users(spark, tmp_path):
     assert sorted((r.user_id, r.event_id, r.state, (r.at - START).total_seconds() / 60) for r in got) == [(u, e, s, float(m)) for u, e, s, m in sorted(plain(rows, 4990))]
 
 
+def test_events_are_read_from_files_and_folders(spark, tmp_path):
+    """Spark writes a table as a folder of parts, whose names don't begin with events; another table's parts stay out."""
+    for name, ids in {"events.parquet": [1, 2], "events-2.parquet": [3], "pages.parquet": [4]}.items():
+        spark.createDataFrame([(i, START, i, "view", 1.0, "{}") for i in ids], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    part = next(p for p in (tmp_path / "in" / "pages.parquet").iterdir() if p.name.startswith("part"))
+    shutil.copy(part, tmp_path / "in" / "events-3.parquet")
+    got = jobs.run_append(jobs.read_events(spark, str(tmp_path / "in")).select("event_id"), "read")
+    assert sorted(r.event_id for r in got.collect()) == [1, 2, 3, 4]
+
+
 def test_latest_states_in_versions(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, rng.randrange(1000), rng.randrange(40), rng.choice(list(jobs.MOVES))) for i in range(200)]
