@@ -97,7 +97,8 @@ _META_WANT = [
 
 def meta_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header fields of reports in five layouts, one for each order."""
-    o = read(spark, sf_dir, "orders")
+    # A file of narrow rows makes few tasks, and each row is a text to be searched.
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
     parts = {
         "name": F.concat(F.lit("POP ANA "), F.element_at(F.array(*[F.lit(x) for x in ("MARIA", "IOANA", "ELENA")]), (F.col("o_custkey") % 3 + 1).cast("int"))), "cnp": F.lpad(F.col("o_orderkey").cast("string"), 13, "2"),
         "age": (F.col("o_custkey") % 80 + 10).cast("string"), "id": F.concat(F.lit("A"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")), "d1": F.date_format("o_orderdate", "dd.MM.yyyy"), "d2": F.date_format(F.date_add("o_orderdate", 3), "d MMM yyyy"),
